@@ -139,7 +139,7 @@ class Detection:
     @cached_property
     def features(self) -> DataFrame:
         density = self.density.select("cluster", "density")
-        return extract_features(self.aggregates.join(density, "cluster"))
+        return cut(extract_features(self.aggregates.join(density, "cluster")))
 
     @cached_property
     def clusters(self) -> DataFrame:
@@ -153,7 +153,7 @@ class Detection:
             )
         ids = self.cluster_ids.select("cluster", "cluster_id", F.col("size").alias("entity_count"))
         scored = scoring.score(inputs.join(ids, "cluster"), self.config)
-        return keep(scored.withColumn("method", F.lit(self.method)))
+        return cut(scored.withColumn("method", F.lit(self.method)))
 
     @cached_property
     def cluster_accounts(self) -> DataFrame:

@@ -11,7 +11,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tieline.functions.ids import anonymised_key, entity_id
+from tieline.functions.lineage import cut
+from tieline.operators.components import connected_components
+from tieline.operators.incidence import incidence
+from tieline.operators.links import guarded, inferred_edges
 from tieline.sources.tables import Activity
+from tieline.vocabulary import BENIGN_TEMPLATES, DIFFICULTIES, SUSPICIOUS_TEMPLATES
 
 TENURE_UNTIL = "2002-01-01"
 # Return reasons by line number; one part/supplier pair in fifty carries text
@@ -124,3 +129,34 @@ def accounts(spark: SparkSession, path: str) -> DataFrame:
 
 def activity(spark: SparkSession, path: str) -> Activity:
     return Activity(accounts(spark, path), orders(spark, path), returns(spark, path), refunds(spark, path))
+
+
+def labelled_groups(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Groups for the evaluation operators: (rings, members, truth).
+
+    A group is a component of the payment links alone.  Its smallest account
+    number decides label, template, difficulty and split by a fixed rule, so the
+    labels mean nothing and only exercise the operators.
+    """
+    data = activity(spark, path)
+    paying = incidence(data.orders, data.accounts).where(F.col("kind") == "PAYMENT")
+    linked = connected_components(inferred_edges(guarded(paying)))
+    members = cut(
+        linked.select(
+            F.col("component"), F.replace(F.col("node"), F.lit("ent_acc_"), F.lit("")).alias("account_id")
+        )
+    )
+    first = members.groupBy("component").agg(F.min(F.col("account_id").cast("bigint")).alias("m"))
+    m = F.col("m")
+    pick = lambda names, n: F.element_at(F.array(*[F.lit(x) for x in names]), (n % 4 + 1).cast("int"))
+    suspicious = m % 2 == 0
+    rings = first.select(
+        "component",
+        F.concat(F.lit("ring_"), m.cast("string")).alias("id"),
+        F.when(suspicious, "SUSPICIOUS").otherwise("BENIGN").alias("label"),
+        F.when(suspicious, pick(SUSPICIOUS_TEMPLATES, m)).otherwise(pick(BENIGN_TEMPLATES, m)).alias("template"),
+        pick(DIFFICULTIES, F.floor(m / 4)).alias("difficulty"),
+        split_of(m).alias("split"),
+    )
+    named = members.join(rings.select("component", F.col("id").alias("ring_id"), "label"), "component")
+    return rings.drop("component"), named.select("ring_id", "account_id"), named.select("account_id", "label")
