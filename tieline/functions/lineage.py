@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -28,9 +29,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write the frame to the checkpoint folder and go on from the written copy."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write the frame to the checkpoint folder and go on from the written table.
+
+    Reading files back gives the planner their true size.  A checkpointed RDD
+    would carry the estimate of the plan behind it instead, and estimates of
+    joins multiply, so that after a few rounds of a loop they are useless and
+    slow to compute.  One folder per application holds all its tables.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def keep(df: DataFrame) -> DataFrame:

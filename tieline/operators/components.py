@@ -15,11 +15,12 @@ from tieline.operators.links import adjacency
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) with the smallest node id naming the component.
 
-    The graph is contracted until no edge is left: every node points at its
-    smallest neighbour, pointers are followed two steps, edges are rewritten to
-    the nodes pointed at, and duplicates and loops go.  Each round works on a
-    graph a fraction of the size of the last; the written maps are then composed
-    from the smallest up.
+    Randomised contraction: every node points at whichever of itself and its
+    neighbours hashes lowest, pointers are followed two steps, edges are
+    rewritten to the nodes pointed at, and duplicates and loops go.  A fresh
+    hash per round keeps chains short however the ids are laid out, so each
+    round works on a graph a fraction of the size of the last.  The written maps
+    are then composed from the smallest up.
     """
     remaining = cut(
         edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
@@ -28,9 +29,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
     )
     maps: list[DataFrame] = []
     while not remaining.isEmpty():
+        order = lambda name: F.struct(F.xxhash64(F.lit(len(maps)), name).alias("hash"), F.col(name).alias("id"))
         both = remaining.union(remaining.select("dst", "src")).toDF("node", "neighbour")
         # min() combines map-side, so a hub's rows shrink before the shuffle
-        nearest = both.groupBy("node").agg(F.least("node", F.min("neighbour")).alias("parent"))
+        lowest = F.least(order("node"), F.min(order("neighbour")))
+        nearest = both.groupBy("node").agg(lowest["id"].alias("parent"))
         grand = nearest.toDF("parent", "target")
         jump = cut(nearest.join(grand, "parent").select("node", "target"))
         maps.append(jump)
@@ -42,16 +45,16 @@ def connected_components(edges: DataFrame) -> DataFrame:
             .distinct()
         )
     if not maps:
-        return remaining.select(F.col("src").alias("node"), F.col("dst").alias("component"))
+        return remaining.toDF("node", "component")
     composed = maps.pop()
     while maps:
-        onward = composed.toDF("target", "component")
+        onward = composed.toDF("target", "onward")
         composed = (
-            maps.pop()
-            .join(onward, "target", "left")
-            .select("node", F.coalesce("component", "target").alias("component"))
+            maps.pop().join(onward, "target", "left").select("node", F.coalesce("onward", "target").alias("target"))
         )
-    return composed.toDF("node", "component")
+    composed = cut(composed)
+    names = composed.groupBy("target").agg(F.min("node").alias("component"))
+    return composed.join(names, "target").select("node", "component")
 
 
 def clusters_of(components: DataFrame, config: DetectConfig = DetectConfig()) -> DataFrame:
