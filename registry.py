@@ -19,6 +19,7 @@ from tieline.operators import (
 from tieline.plans.detection import LOUVAIN, Detection, member_rows, ranked, run_outcome
 from tieline.plans.evaluation import Evaluation
 from tieline.sources import adapter, dossier
+from tieline.sources.tables import read_table
 from tieline.vocabulary import FEATURES
 
 NOW = "2002-01-01 00:00:00"
@@ -51,7 +52,7 @@ class Run:
         self.activity = adapter.activity(spark, path)
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{name}.parquet")
+        return read_table(self.spark, f"{self.path}/{name}.parquet")
 
     now = property(lambda self: F.lit(NOW).cast("timestamp"))
 
@@ -79,6 +80,10 @@ class Run:
     def evaluation(self) -> Evaluation:
         return Evaluation(self.low, *adapter.labelled_groups(self.spark, self.path))
 
+    @property
+    def baseline(self) -> DataFrame:
+        return baseline.account_baseline(baseline.baseline_inputs(self.activity))
+
     @cached_property
     def subgraph_edges(self) -> DataFrame:
         d = self.detection
@@ -290,8 +295,8 @@ def build() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "explanations": lambda r: scoring.explanations(d(r).clusters).select("cluster_id", "summary", F.to_json("signals").alias("signals"), F.to_json("caveats").alias("caveats")),
         "explanation_gate": lambda r: r.gated.select("cluster_id", "valid", "verdict_violation", F.get("rejected_signals", F.lit(0)).alias("rejected_signal")),
         # baseline
-        "account_baseline": lambda r: e(r).baseline.drop("reasons"),
-        "baseline_reasons": lambda r: e(r).baseline.select("account_id", F.explode("reasons").alias("reason")),
+        "account_baseline": lambda r: r.baseline.drop("reasons"),
+        "baseline_reasons": lambda r: r.baseline.select("account_id", F.explode("reasons").alias("reason")),
         "baseline_sweep": lambda r: baseline.baseline_sweep(baseline.baseline_inputs(r.activity)),
         # evaluation
         "ring_match": lambda r: e(r).all_predictions,

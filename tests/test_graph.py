@@ -299,7 +299,7 @@ def test_louvain_packs_match_one_sequential_pass(spark, seed, start):
 
 def test_louvain_by_joins_matches_the_sequential_visit(spark):
     rows = random_edges(11, 14, 18)
-    by_joins = DetectConfig(max_group_rows=0, louvain_passes=20)
+    by_joins = DetectConfig(max_group_rows=1)
     assert groups(louvain_communities(edges_of(spark, rows), by_joins, "n005")) == sequential_louvain(rows, start="n005")
 
 

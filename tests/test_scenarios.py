@@ -40,7 +40,7 @@ def test_isolated_account_is_no_cluster_but_an_account_signal(spark):
         F.lit("c").alias("cluster"), "entity_id", F.col("id").alias("account_id"), "tenure_days"
     )
     measures = aggregate.aggregate_clusters(
-        owned, incidence.account_activity(activity), incidence.account_keys(activity.orders), activity.returns
+        owned, incidence.account_activity(activity), activity.orders, activity.returns
     ).withColumn("density", F.lit(0).cast("decimal(9,4)"))
     (row,) = scoring.score(extract_features(measures)).collect()
     assert float(row.risk_score) == 60.84

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tieline.config import DetectConfig
 from tieline.functions.fixed import half_up, ratio, scaled
-from tieline.sources.tables import Activity
+from tieline.functions.lineage import cut
+from tieline.operators import incidence
 from tieline.vocabulary import NO_RETURNS_DAYS
 
 # Values per bucket in the two-step median.  For milliseconds this splits 35
@@ -58,13 +60,35 @@ def exact_median(values: DataFrame, key: str, value: str, bucket: int = MEDIAN_B
     )
 
 
-def return_spread(cluster_returns: DataFrame) -> DataFrame:
+def return_spread(cluster_returns: DataFrame, config: DetectConfig = DetectConfig()) -> DataFrame:
     """Median absolute deviation of return times per cluster.
 
     ``spread_quarter_ms`` is four times the deviation in milliseconds, a whole
-    number; clusters with fewer than two returns have no row.
+    number; clusters with fewer than two returns have no row.  The built-in
+    median holds a group's distinct values in one task, so it only serves
+    clusters of at most ``max_group_rows`` returns; larger ones, if there are
+    any, go through ``exact_median``.
     """
     times = cluster_returns.select("cluster", F.unix_millis("initiated_at").alias("t"))
+    sizes = times.groupBy("cluster").agg(F.count("*").alias("n"))
+    large = cut(sizes.where(F.col("n") > config.max_group_rows).select("cluster"))
+    if large.isEmpty():
+        return _built_in_spread(times)
+    rest = _built_in_spread(times.join(large, "cluster", "left_anti"))
+    return rest.unionByName(_wide_spread(times.join(large, "cluster", "left_semi")))
+
+
+def _built_in_spread(times: DataFrame) -> DataFrame:
+    centre = times.groupBy("cluster").agg(F.median("t").alias("centre"), F.count("*").alias("n"))
+    return (
+        times.join(centre.where(F.col("n") >= 2), "cluster")
+        .groupBy("cluster")
+        # times and centre end in .0 or .5, the deviation in quarters at most
+        .agg((F.median(F.abs(F.col("t") - F.col("centre"))) * 4).cast("bigint").alias("spread_quarter_ms"))
+    )
+
+
+def _wide_spread(times: DataFrame) -> DataFrame:
     centre = exact_median(times, "cluster", "t").where(F.col("n") >= 2)
     away = times.join(centre, "cluster").select(
         "cluster", F.abs(F.col("t") * 2 - F.col("middle_sum")).alias("away")
@@ -81,11 +105,14 @@ def cluster_accounts(members: DataFrame, accounts: DataFrame) -> DataFrame:
     ).select("cluster", "entity_id", "account_id", "tenure_days")
 
 
-def aggregate_clusters(owned: DataFrame, rollup: DataFrame, keys: DataFrame, returns: DataFrame) -> DataFrame:
+def aggregate_clusters(
+    owned: DataFrame, rollup: DataFrame, orders: DataFrame, returns: DataFrame,
+    config: DetectConfig = DetectConfig(),
+) -> DataFrame:
     """The sixteen measures of each cluster.
 
     ``owned`` is (cluster, entity_id, account_id, tenure_days), ``rollup`` one
-    row per account, ``keys`` the distinct keys per account.
+    row per account.
     """
     figures = owned.join(rollup.drop("entity_id", "tenure_days"), "account_id")
     # ten decimals per account keep the mean exact to the four that are shown
@@ -102,7 +129,9 @@ def aggregate_clusters(owned: DataFrame, rollup: DataFrame, keys: DataFrame, ret
         F.max(top_rate).alias("max_account_return_rate"),
         F.sum(rate.cast("decimal(28,0)")).alias("rate_sum"),
     )
-    distinct_keys = owned.join(keys, "account_id").select("cluster", "kind", "key").distinct()
+    distinct_keys = incidence.distinct_keys(
+        orders.join(owned.select("cluster", "account_id"), "account_id"), "cluster"
+    )
     distinct_counts = distinct_keys.groupBy("cluster").agg(
         *[
             F.count_if(F.col("kind") == kind).alias(name)
@@ -116,7 +145,7 @@ def aggregate_clusters(owned: DataFrame, rollup: DataFrame, keys: DataFrame, ret
         returns.select("account_id", "initiated_at", "days_after_delivery"), "account_id"
     )
     delays = came_back.groupBy("cluster").agg(F.median("days_after_delivery").alias("median_days"))
-    spread = return_spread(came_back)
+    spread = return_spread(came_back, config)
     zero = F.lit(0)
     joined = base
     for part in (distinct_counts, delays, spread):

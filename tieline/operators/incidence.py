@@ -174,15 +174,15 @@ def incidence(orders: DataFrame, accounts: DataFrame, nodes: DataFrame | None =
     )
 
 
-def account_keys(orders: DataFrame) -> DataFrame:
-    """Distinct infrastructure keys and categories of each account."""
+def distinct_keys(orders: DataFrame, owner: str = "account_id") -> DataFrame:
+    """Distinct infrastructure keys and categories of each owner of orders."""
     columns = {kind: column for kind, (column, *_) in LINKING.items()} | {"CATEGORY": "product_category"}
     keys = F.array(
         *[F.struct(F.lit(k).alias("kind"), F.col(c).alias("key")) for k, c in columns.items()]
     )
     return (
-        orders.select("account_id", F.explode(keys).alias("touched"))
+        orders.select(owner, F.explode(keys).alias("touched"))
         .where(F.col("touched.key").isNotNull())
-        .select("account_id", "touched.kind", "touched.key")
+        .select(owner, "touched.kind", "touched.key")
         .distinct()
     )

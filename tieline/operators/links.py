@@ -50,14 +50,16 @@ def skipped_nodes(fan_outs: DataFrame, config: DetectConfig = DetectConfig()) ->
     return fan_outs.where(F.col("account_count") > config.max_accounts_per_node)
 
 
-def guarded(incidences: DataFrame, config: DetectConfig = DetectConfig()) -> DataFrame:
+def guarded(
+    incidences: DataFrame, config: DetectConfig = DetectConfig(), counts: DataFrame | None = None
+) -> DataFrame:
     """Incidences of the nodes that may link accounts: two up to the cap.
 
     A default value or gateway seen by a large share of all accounts would put
     its rows into one task only to be dropped there, so such nodes are removed
     by a broadcast list of provably bounded length before the shuffle.
     """
-    counts = fan_out(incidences)
+    counts = fan_out(incidences) if counts is None else counts
     share = counts.agg(F.sum("account_count") / HOT_SHARE).scalar()
     hot = counts.where(
         (F.col("account_count") > config.max_accounts_per_node) & (F.col("account_count") > share)

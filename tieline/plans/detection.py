@@ -46,11 +46,11 @@ class Detection:
 
     @cached_property
     def fan_out(self) -> DataFrame:
-        return links.fan_out(self.incidence)
+        return keep(links.fan_out(self.incidence))
 
     @cached_property
     def guarded(self) -> DataFrame:
-        return keep(links.guarded(self.incidence, self.config))
+        return keep(links.guarded(self.incidence, self.config, self.fan_out))
 
     @cached_property
     def edges(self) -> DataFrame:
@@ -122,7 +122,7 @@ class Detection:
     @cached_property
     def aggregates(self) -> DataFrame:
         return aggregate.aggregate_clusters(
-            self.owned, self.rollup, incidence.account_keys(self.activity.orders), self.activity.returns
+            self.owned, self.rollup, self.activity.orders, self.activity.returns, self.config
         )
 
     @cached_property

@@ -15,7 +15,7 @@ from tieline.functions.lineage import cut
 from tieline.operators.components import connected_components
 from tieline.operators.incidence import incidence
 from tieline.operators.links import guarded, inferred_edges
-from tieline.sources.tables import Activity
+from tieline.sources.tables import Activity, read_table
 from tieline.vocabulary import BENIGN_TEMPLATES, DIFFICULTIES, SUSPICIOUS_TEMPLATES
 
 TENURE_UNTIL = "2002-01-01"
@@ -29,7 +29,7 @@ HOSTILE_REASON = (
 
 
 def _table(spark: SparkSession, path: str, name: str, *columns: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/{name}.parquet").select(*columns)
+    return read_table(spark, f"{path}/{name}.parquet", *columns)
 
 
 def order_lines(spark: SparkSession, path: str) -> DataFrame:
