@@ -152,6 +152,20 @@ SELECT cluster, count(*) AS size,
        'clu_' || substr(sha256('{"members":[' || string_agg('"' || entity_id || '"', ',' ORDER BY entity_id) || '],"method":"shared-entity"}'), 1, 20) AS cluster_id
 FROM members GROUP BY cluster""")
 
+cte("bfs", "steps sizes", """
+SELECT cluster, cluster AS node, 0 AS level FROM sizes
+UNION SELECT bfs.cluster, steps.b, bfs.level + 1 FROM steps JOIN bfs ON bfs.node = steps.a JOIN sizes ON sizes.cluster = bfs.cluster
+WHERE bfs.level + 1 < sizes.size""")
+cte("levels", "bfs", "SELECT cluster, node, min(level) AS level FROM bfs GROUP BY cluster, node")
+cte("paths", "levels edges", f"""
+SELECT l.cluster, l.node AS entity_id, l.level, coalesce(first(e.type || ' with ' || right(e.near, 8) || ' via ' || right(e.via, 8)
+    || ' (weight ' || format('{{:.2f}}', ({half_up('e.weight_u', '100')})::DOUBLE / 100) || ')' ORDER BY e.weight_u DESC, e.near, e.type), 'seed') AS joined_via
+FROM levels l LEFT JOIN (SELECT e.node, e.near, e.type, e.weight_u, e.via, levels.level FROM (
+        SELECT src AS near, dst AS node, type, weight_u, via FROM edges WHERE weight_u >= 3000
+        UNION ALL SELECT dst, src, type, weight_u, via FROM edges WHERE weight_u >= 3000) e JOIN levels ON levels.node = e.near) e
+  ON e.node = l.node AND e.level = l.level - 1
+GROUP BY l.cluster, l.node, l.level""")
+
 # --- behaviour -----------------------------------------------------------------
 cte("rollup", "m_accounts m_orders m_returns m_refunds", """
 SELECT a.id AS account_id, a.entity_id, a.customer_key, a.opened_at, a.tenure_days, a.split,
@@ -509,6 +523,7 @@ def oracles() -> dict[str, str]:
         "cluster_ids": s("ids", "SELECT cluster, cluster_id, size FROM ids"),
         "density": s("density", f"SELECT cluster, size, {_q('density_u', 'density')} FROM density"),
         "bridging": s("inside", "SELECT DISTINCT cluster, via FROM inside WHERE weight_u >= 3000"),
+        "join_paths": s("paths", "SELECT cluster, entity_id, level::BIGINT AS level, joined_via FROM paths"),
         # behaviour and score
         "cluster_aggregate": s("aggregate", f"SELECT cluster, {AGG_COLUMNS} FROM aggregate"),
         "features": s("features", f"SELECT cluster, {', '.join(_q(n + '_u', n) for n in POINTS)} FROM features"),
@@ -521,6 +536,17 @@ def oracles() -> dict[str, str]:
         "member_contribution": s("scored members", f"""SELECT 'mem_' || substr(sha256(cluster_id || '|' || entity_id), 1, 20) AS id, cluster_id, entity_id,
             ({half_up('risk_u', '(size * 100)', 4)})::DOUBLE / 10000 AS contribution FROM members JOIN scored USING (cluster)"""),
         "untrusted_findings": s("findings ids", "SELECT cluster_id, n AS injection_findings FROM findings JOIN ids USING (cluster)"),
+        "cluster_members": s("scored members paths", f"""SELECT 'mem_' || substr(sha256(cluster_id || '|' || m.entity_id), 1, 20) AS id, cluster_id, m.entity_id,
+            'ACCOUNT' AS entity_type, ({half_up('risk_u', '(size * 100)', 4)})::DOUBLE / 10000 AS contribution, joined_via
+            FROM members m JOIN scored USING (cluster) JOIN paths p ON p.entity_id = m.entity_id"""),
+        "explanations": s("scored", f"""SELECT cluster_id, CASE WHEN verdict = 'INSUFFICIENT_DATA'
+              THEN account_count || ' accounts are linked, but there is too little activity to tell coordination from ordinary sharing.'
+              ELSE account_count || ' accounts are connected through shared infrastructure. Score ' || ({half_up('risk_u', '100')})::VARCHAR || ' of 100: '
+                || ({half_up('behavioural_u', '100')})::VARCHAR || ' from behaviour and ' || ({half_up('structural_u', '100')})::VARCHAR
+                || ' from structure, at ' || ({half_up('confidence_u', '100')})::VARCHAR || '% confidence.' END AS summary,
+            ({' + '.join(f'CASE WHEN {n}_p > 5 THEN 1 ELSE 0 END' for n in POINTS)})::BIGINT AS signals,
+            (counters + CASE WHEN capped THEN 2 ELSE 1 END)::BIGINT AS caveats,
+            (SELECT f.signal FROM ({signals}) f WHERE f.cluster_id = scored.cluster_id AND f.p > 5 ORDER BY f.p DESC, f.w LIMIT 1) AS first_signal FROM scored"""),
         "explanation_gate": s("scored", """SELECT cluster_id, account_count % 4 NOT IN (2, 3) AS valid,
             CASE WHEN account_count % 4 = 2 THEN 'fraudulent' END AS verdict_violation,
             CASE WHEN account_count % 4 = 3 THEN 'SHARED_IP_SUBNET' END AS rejected_signal FROM scored"""),
@@ -528,7 +554,18 @@ def oracles() -> dict[str, str]:
         "account_baseline": s("baseline", f"SELECT account_id, entity_id, score::BIGINT AS score, flagged, {_q('rate_u', 'return_rate')}, {_q('share_u', 'refund_share')}, order_count FROM baseline"),
         "baseline_sweep": s("rates", f"""SELECT cut::DOUBLE / 10000 AS return_rate, count(*) FILTER (order_count >= 3 AND ({_account_points('cut')}) >= 45) AS flagged
             FROM rates, (SELECT unnest([2500, 3000, 3500, 4000, 4500, 5000, 6000, 7000]) AS cut) GROUP BY cut"""),
+        "baseline_reasons": s("baseline", f"""SELECT account_id, unnest(CASE WHEN order_count < 3 THEN ['Only ' || order_count || ' order(s), below the 3-order minimum.']
+            WHEN len(found) = 0 THEN ['Return and refund behaviour is within normal range for a single account.'] ELSE found END) AS reason
+            FROM (SELECT *, list_filter([
+              CASE WHEN rate_u >= 4500 THEN 'Return rate ' || ({half_up('rate_u', '100')}) || '% is at or above the 45% threshold.'
+                   WHEN rate_u * 10 >= 31500 THEN 'Return rate ' || ({half_up('rate_u', '100')}) || '% is elevated.' END,
+              CASE WHEN share_u >= 5000 THEN 'Refund value is ' || ({half_up('share_u', '100')}) || '% of order value, at or above the 50% threshold.' END,
+              CASE WHEN return_count >= 3 AND fast_returns * 10 > return_count * 6 THEN fast_returns || ' of ' || return_count || ' returns initiated within 5 days.' END,
+              CASE WHEN tenure_days < 90 AND rate_u > 3000 THEN 'Account is ' || tenure_days || ' days old with a ' || ({half_up('rate_u', '100')}) || '% return rate.' END
+            ], lambda x: x IS NOT NULL) AS found FROM baseline)"""),
         # evaluation
+        "evaluation_list": s("predictions", f"""SELECT 'evr_1' AS id, 'held-out' AS split, 'graph' AS detector, 'shared-entity' AS method,
+            20::BIGINT AS risk_threshold, count(*) AS ring_count, '{NOW}' AS started_at, '{NOW}' AS finished_at FROM predictions WHERE split = 'held-out'"""),
         "ring_match": s("predictions", f"SELECT {PREDICTION_COLUMNS} FROM predictions"),
         "evaluation_cases": s("predictions", f"""SELECT ring_id, cluster_id, template, difficulty, actual_label, {_q('risk_u', 'predicted_risk', 2)},
             flagged AS predicted_flagged, abstained, {OUTCOME} AS classification, {_q('overlap_u', 'member_overlap')} FROM predictions WHERE split = 'held-out'"""),
@@ -542,7 +579,7 @@ def oracles() -> dict[str, str]:
               count(*) FILTER (NOT baseline_flagged) AS baseline_missed, count(*) FILTER (NOT baseline_flagged AND flagged) AS graph_recovered,
               count(*) FILTER (baseline_flagged AND NOT flagged) AS graph_missed_baseline_caught
             FROM predictions JOIN base_flags USING (ring_id) WHERE actual_label = 'SUSPICIOUS' GROUP BY template)"""),
-        "threshold_sweep": s("predictions", f"""SELECT *, {SWEEP_COST} AS total_cost, {ratio(SWEEP_COST, 'total')} AS cost_per_group,
+        "threshold_sweep": s("predictions", f"""SELECT * REPLACE (threshold::BIGINT AS threshold), {SWEEP_COST} AS total_cost, {ratio(SWEEP_COST, 'total')} AS cost_per_group,
             fp AS household_false_positives FROM ({everything})"""),
         "selected_threshold": s("predictions", f"""SELECT arg_min(threshold, {{'c': c, 't': threshold}})::BIGINT AS threshold, min(c) AS cost_at_selection,
             count(*) AS candidates_evaluated, max(total) AS groups FROM (SELECT *, {SWEEP_COST} AS c FROM ({dev}))"""),
@@ -575,6 +612,9 @@ def oracles() -> dict[str, str]:
             UNION ALL SELECT account_id, initiated_at, 'RETURN', id, 0 FROM m_returns
             UNION ALL SELECT account_id, processed_at, 'REFUND', id, amount_minor FROM m_refunds) JOIN owned USING (account_id) JOIN ids USING (cluster)"""),
         "overview": s("entities edges observed scored reviewed orphans m_orders m_returns m_refunds", overview),
+        "run_summary": s("entities edges observed scored", f"""SELECT 'run_1' AS id, 'shared-entity' AS method, (SELECT count(*) FROM entities) AS entity_count,
+            (SELECT count(*) FROM observed) AS edge_count, (SELECT count(*) FROM edges) AS derived_edge_count, (SELECT count(*) FROM scored) AS cluster_count, '{NOW}' AS created_at"""),
+        "latest_run": s("scored", f"SELECT 'run_1' AS id, 'shared-entity' AS method, (SELECT count(*) FROM scored) AS cluster_count, '{NOW}' AS created_at"),
         "header_counts": s("scored reviewed", "SELECT (SELECT count(*) FROM scored) AS clusters, (SELECT count(*) FROM reviewed WHERE status = 'PENDING') AS pending_reviews"),
         "failure_summary": s("log scored findings", """SELECT category, coalesce(events, 0) AS events FROM (
             SELECT 'GUARDRAIL_APPLIED' AS category, (SELECT count(*) FROM log WHERE action = 'GUARDRAIL_APPLIED') AS events

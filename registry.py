@@ -78,7 +78,7 @@ class Run:
 
     @cached_property
     def evaluation(self) -> Evaluation:
-        return Evaluation(self.low, *adapter.labelled_groups(self.spark, self.path))
+        return Evaluation(self.low, *adapter.labelled_groups(self.detection.edges))
 
     @property
     def baseline(self) -> DataFrame:
@@ -238,10 +238,12 @@ def _evasion(r: Run) -> DataFrame:
 
 
 def _masked(r: Run) -> DataFrame:
-    documents = r.table("documents").select("doc_id", "text")
-    return screening.mask_columns(documents.withColumn("before", F.col("doc_id"))).join(
-        documents.select("doc_id", F.col("text").alias("original")), "doc_id"
-    ).select("doc_id", F.md5(F.col("text").cast("binary")).alias("masked_md5"), (F.col("text") != F.col("original")).alias("changed"))
+    # the copy to compare with is binary, which masking leaves alone
+    documents = r.table("documents").select("doc_id", "text", F.encode("text", "utf-8").alias("original"))
+    return screening.mask_columns(documents).select(
+        "doc_id", F.md5(F.encode("text", "utf-8")).alias("masked_md5"),
+        (F.encode("text", "utf-8") != F.col("original")).alias("changed"),
+    )
 
 
 def build() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -292,7 +294,10 @@ def build() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "cluster_members": lambda r: d(r).cluster_members,
         "untrusted_findings": lambda r: d(r).findings.join(d(r).cluster_ids, "cluster").select("cluster_id", "injection_findings"),
         "score_lines": lambda r: scoring.explain_score(d(r).clusters).select("cluster_id", F.posexplode("lines").alias("line", "text")),
-        "explanations": lambda r: scoring.explanations(d(r).clusters).select("cluster_id", "summary", F.to_json("signals").alias("signals"), F.to_json("caveats").alias("caveats")),
+        "explanations": lambda r: scoring.explanations(d(r).clusters).select(
+            "cluster_id", "summary", F.size("signals").alias("signals"), F.size("caveats").alias("caveats"),
+            F.transform("signals", lambda x: x["signal_type"])[0].alias("first_signal"),
+        ),
         "explanation_gate": lambda r: r.gated.select("cluster_id", "valid", "verdict_violation", F.get("rejected_signals", F.lit(0)).alias("rejected_signal")),
         # baseline
         "account_baseline": lambda r: r.baseline.drop("reasons"),

@@ -54,6 +54,16 @@ def compare(spark_frame: pd.DataFrame, duck_frame: pd.DataFrame) -> str | None:
     return None
 
 
+KINDS = {"bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
+
+
+def type_problem(frame, con, sql: str) -> str | None:
+    """Column types that differ between the two results."""
+    duck = {row[0]: row[1] for row in con.execute(f"DESCRIBE {sql}").fetchall()}
+    wrong = {n: (t, duck.get(n)) for n, t in frame.dtypes if KINDS.get(t) != duck.get(n)}
+    return f"types {wrong}" if wrong else None
+
+
 def main() -> int:
     from tests.conftest import session
 
@@ -68,7 +78,8 @@ def main() -> int:
     for name in wanted:
         began = time.time()
         try:
-            got = queries[name](spark, folder).toPandas()
+            frame = queries[name](spark, folder)
+            got = frame.toPandas()
         except Exception as error:  # keep going, report at the end
             failed.append(name)
             print(f"ERROR {name}: {str(error)[:600]}", flush=True)
@@ -79,7 +90,7 @@ def main() -> int:
             continue
         began = time.time()
         try:
-            problem = compare(got, con.execute(sql[name]).df())
+            problem = compare(got, con.execute(sql[name]).df()) or type_problem(frame, con, sql[name])
         except Exception as error:
             problem = f"oracle: {str(error)[:600]}"
         print(f"{'ok   ' if problem is None else 'FAIL '} {name}: {len(got)} rows (spark {spent:.1f}s, duckdb {time.time() - began:.1f}s) {problem or ''}", flush=True)

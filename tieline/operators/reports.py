@@ -183,12 +183,11 @@ def coverage(activity: Activity, orphans: DataFrame) -> DataFrame:
 
 
 def beside(*one_row: DataFrame) -> DataFrame:
-    """Frames of exactly one row each, side by side."""
-    key = F.lit(0).alias("_one")
-    first, *others = [frame.select(key, "*") for frame in one_row]
-    for other in others:
-        first = first.join(other, "_one")
-    return first.drop("_one")
+    """Frames of exactly one row each, side by side; stacked and folded, not joined."""
+    stacked = one_row[0]
+    for frame in one_row[1:]:
+        stacked = stacked.unionByName(frame, allowMissingColumns=True)
+    return stacked.agg(*[F.max(c).alias(c) for c in stacked.columns])
 
 
 def long_counts(df: DataFrame, section: str, key: str | None = None) -> DataFrame:

@@ -13,8 +13,6 @@ from pyspark.sql import functions as F
 from tieline.functions.ids import anonymised_key, entity_id
 from tieline.functions.lineage import cut
 from tieline.operators.components import connected_components
-from tieline.operators.incidence import incidence
-from tieline.operators.links import guarded, inferred_edges
 from tieline.sources.tables import Activity, read_table
 from tieline.vocabulary import BENIGN_TEMPLATES, DIFFICULTIES, SUSPICIOUS_TEMPLATES
 
@@ -33,29 +31,36 @@ def _table(spark: SparkSession, path: str, name: str, *columns: str) -> DataFram
 
 
 def order_lines(spark: SparkSession, path: str) -> DataFrame:
-    """One row per ordered line with its account, ids and dates."""
+    """One row per ordered line with its account, ids, category and dates.
+
+    The only join of the large tables: written once, after which every model
+    table is a projection over the columns it needs.
+    """
     lines = _table(
         spark, path, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
         "l_shipdate", "l_extendedprice", "l_discount", "l_returnflag",
     )
     owners = _table(spark, path, "orders", "o_orderkey", "o_custkey")
+    parts = _table(spark, path, "part", "p_partkey", "p_brand")
     day = F.date_format("l_shipdate", "yyyy-MM-dd")
-    return lines.join(owners, lines.l_orderkey == owners.o_orderkey).select(
+    joined = lines.join(owners, lines.l_orderkey == owners.o_orderkey).join(
+        parts, lines.l_partkey == parts.p_partkey
+    ).select(
         F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", day).alias("line_id"),
         F.col("o_custkey").cast("string").alias("account_id"),
         F.col("l_shipdate").cast("timestamp").alias("placed_at"),
+        F.col("p_brand").alias("product_category"),
         "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_discount", "l_returnflag",
     )
+    return cut(joined)
 
 
-def orders(spark: SparkSession, path: str) -> DataFrame:
-    lines = order_lines(spark, path)
-    parts = _table(spark, path, "part", "p_partkey", "p_brand")
+def orders(lines: DataFrame) -> DataFrame:
     part, supplier = F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string")
-    return lines.join(parts, lines.l_partkey == parts.p_partkey).select(
+    return lines.select(
         F.concat(F.lit("ord_"), "line_id").alias("id"),
         "account_id",
-        F.col("p_brand").alias("product_category"),
+        "product_category",
         F.round(F.col("l_extendedprice") * 100).cast("bigint").alias("amount_minor"),
         "placed_at",
         F.when(
@@ -67,11 +72,10 @@ def orders(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def _returned_lines(spark: SparkSession, path: str) -> DataFrame:
+def _returned(lines: DataFrame) -> DataFrame:
     days = ((F.col("l_partkey") * 7 + F.col("l_linenumber")) % 28).cast("int")
     return (
-        order_lines(spark, path)
-        .where(F.col("l_returnflag") == "R")
+        lines.where(F.col("l_returnflag") == "R")
         .withColumn("days_after_delivery", days)
         .withColumn(
             "initiated_at",
@@ -82,20 +86,20 @@ def _returned_lines(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def returns(spark: SparkSession, path: str) -> DataFrame:
+def returns(lines: DataFrame) -> DataFrame:
     reason = F.when((F.col("l_partkey") + F.col("l_suppkey")) % 50 == 0, F.lit(HOSTILE_REASON)).otherwise(
         F.element_at(F.array(*[F.lit(r) for r in REASONS]), (F.col("l_linenumber") % 5 + 1).cast("int"))
     )
-    return _returned_lines(spark, path).select(
+    return _returned(lines).select(
         F.concat(F.lit("ret_"), "line_id").alias("id"),
         F.concat(F.lit("ord_"), "line_id").alias("order_id"),
         "account_id", reason.alias("reason"), "initiated_at", "days_after_delivery",
     )
 
 
-def refunds(spark: SparkSession, path: str) -> DataFrame:
+def refunds(lines: DataFrame) -> DataFrame:
     paid = F.round(F.col("l_extendedprice") * (1 - F.col("l_discount")) * 100).cast("bigint")
-    return _returned_lines(spark, path).select(
+    return _returned(lines).select(
         F.concat(F.lit("rfd_"), "line_id").alias("id"),
         F.concat(F.lit("ret_"), "line_id").alias("return_id"),
         "account_id",
@@ -110,8 +114,8 @@ def split_of(number: Column) -> Column:
     return F.when(digit <= 5, "train").when(digit <= 7, "dev").otherwise("held-out")
 
 
-def accounts(spark: SparkSession, path: str) -> DataFrame:
-    opened = order_lines(spark, path).groupBy("account_id").agg(F.min("placed_at").alias("opened_at"))
+def accounts(lines: DataFrame) -> DataFrame:
+    opened = lines.groupBy("account_id").agg(F.min("placed_at").alias("opened_at"))
     tenure = F.call_function(
         "div",
         F.unix_millis(F.lit(TENURE_UNTIL).cast("timestamp")) - F.unix_millis("opened_at"),
@@ -128,19 +132,18 @@ def accounts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def activity(spark: SparkSession, path: str) -> Activity:
-    return Activity(accounts(spark, path), orders(spark, path), returns(spark, path), refunds(spark, path))
+    lines = order_lines(spark, path)
+    return Activity(accounts(lines), orders(lines), returns(lines), refunds(lines))
 
 
-def labelled_groups(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def labelled_groups(edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Groups for the evaluation operators: (rings, members, truth).
 
     A group is a component of the payment links alone.  Its smallest account
     number decides label, template, difficulty and split by a fixed rule, so the
     labels mean nothing and only exercise the operators.
     """
-    data = activity(spark, path)
-    paying = incidence(data.orders, data.accounts).where(F.col("kind") == "PAYMENT")
-    linked = connected_components(inferred_edges(guarded(paying)))
+    linked = connected_components(edges.where(F.col("type") == "SHARES_PAYMENT"))
     members = cut(
         linked.select(
             F.col("component"), F.replace(F.col("node"), F.lit("ent_acc_"), F.lit("")).alias("account_id")

@@ -6,10 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def replace_inferred(edges: DataFrame, path: str) -> None:
-    """Replace the inferred half of an edge table and leave the observed half alone."""
+def _write_half(edges: DataFrame, path: str, derived: bool) -> None:
     (
-        edges.withColumn("derived", F.lit(True))
+        edges.withColumn("derived", F.lit(derived))
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("derived")
@@ -17,14 +16,19 @@ def replace_inferred(edges: DataFrame, path: str) -> None:
     )
 
 
+def replace_inferred(edges: DataFrame, path: str) -> None:
+    """Replace the inferred half of an edge table and leave the observed half alone."""
+    _write_half(edges, path, True)
+
+
 def write_observed(edges: DataFrame, path: str) -> None:
-    (
-        edges.withColumn("derived", F.lit(False))
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("derived")
-        .parquet(path)
-    )
+    """Replace the observed half and leave the inferred half alone."""
+    _write_half(edges, path, False)
+
+
+def read_edges(spark: SparkSession, path: str) -> DataFrame:
+    # a folder name only tells the text, not the boolean
+    return spark.read.parquet(path).withColumn("derived", F.col("derived").cast("boolean"))
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
