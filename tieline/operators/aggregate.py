@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tieline.config import DetectConfig
 from tieline.functions.fixed import half_up, ratio, scaled
 from tieline.functions.lineage import cut
+from tieline.functions.skew import attach
 from tieline.operators import incidence
 from tieline.vocabulary import NO_RETURNS_DAYS
 
@@ -70,12 +71,12 @@ def return_spread(cluster_returns: DataFrame, config: DetectConfig = DetectConfi
     any, go through ``exact_median``.
     """
     times = cluster_returns.select("cluster", F.unix_millis("initiated_at").alias("t"))
-    sizes = times.groupBy("cluster").agg(F.count("*").alias("n"))
-    large = cut(sizes.where(F.col("n") > config.max_group_rows).select("cluster"))
-    if large.isEmpty():
+    sizes = cut(times.groupBy("cluster").agg(F.count("*").alias("size")))
+    if sizes.where(F.col("size") > config.max_group_rows).isEmpty():
         return _built_in_spread(times)
-    rest = _built_in_spread(times.join(large, "cluster", "left_anti"))
-    return rest.unionByName(_wide_spread(times.join(large, "cluster", "left_semi")))
+    sized = attach(times, sizes, "cluster", "t")
+    small = F.col("size") <= config.max_group_rows
+    return _built_in_spread(sized.where(small)).unionByName(_wide_spread(sized.where(~small)))
 
 
 def _built_in_spread(times: DataFrame) -> DataFrame:
@@ -90,7 +91,7 @@ def _built_in_spread(times: DataFrame) -> DataFrame:
 
 def _wide_spread(times: DataFrame) -> DataFrame:
     centre = exact_median(times, "cluster", "t").where(F.col("n") >= 2)
-    away = times.join(centre, "cluster").select(
+    away = attach(times, centre, "cluster", "t").select(
         "cluster", F.abs(F.col("t") * 2 - F.col("middle_sum")).alias("away")
     )
     return exact_median(away, "cluster", "away", 2 * MEDIAN_BUCKET).select(

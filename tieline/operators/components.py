@@ -9,6 +9,7 @@ from tieline.config import DetectConfig
 from tieline.functions.fixed import half_up, scaled, units
 from tieline.functions.ids import payload_hash
 from tieline.functions.lineage import cut
+from tieline.functions.skew import attach
 from tieline.operators.links import adjacency
 
 
@@ -116,7 +117,7 @@ def cluster_ids(members: DataFrame, method: str, config: DetectConfig = DetectCo
     hashed in parts by member hash, and the id is taken over the part hashes.
     """
     name = F.lit(method)
-    sized = members.join(cluster_sizes(members), "cluster")
+    sized = attach(members, cluster_sizes(members), "cluster", "entity_id")
     parts = F.ceil(F.col("size") / config.max_group_rows)
     chunked = (
         sized.withColumn("part", F.pmod(F.xxhash64("entity_id"), parts))

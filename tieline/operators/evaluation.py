@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tieline.config import DetectConfig
 from tieline.functions.fixed import half_up, ratio, scaled, units
+from tieline.functions.skew import attach
 from tieline.operators.overlap import overlaps
 
 RATES = {
@@ -43,12 +44,12 @@ def match_rings(
     the group counts as unmatched, but its best overlap stays visible.  A match
     the detector declined to interpret is an abstention.
     """
-    scored = overlaps(
+    found = overlaps(
         members.select(F.col("ring_id").alias("group"), F.col("account_id").alias("member")),
         cluster_accounts.select(F.col("cluster_id").alias("group"), F.col("account_id").alias("member")),
-    ).join(
-        clusters.select(F.col("cluster_id").alias("right_group"), "risk_score", "verdict"), "right_group"
     )
+    facts = clusters.select(F.col("cluster_id").alias("right_group"), "risk_score", "verdict")
+    scored = attach(found, facts, "right_group", "left_group")
     best = scored.groupBy(F.col("left_group").alias("ring_id")).agg(
         F.min(
             F.struct(

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tieline.functions.fixed import ratio, scaled, half_up, units
+from tieline.functions.fixed import half_up, ratio, scaled, units
+from tieline.functions.skew import attach
 
 
 def jaccard_arrays(a: Column, b: Column) -> Column:
@@ -29,13 +30,10 @@ def overlaps(left: DataFrame, right: DataFrame) -> DataFrame:
     r_size = r.groupBy("right_group").agg(F.count("*").alias("right_size"))
     common = l.join(r, "member").groupBy("left_group", "right_group").agg(F.count("*").alias("common"))
     either = F.col("left_size") + F.col("right_size") - F.col("common")
-    return (
-        common.join(l_size, "left_group")
-        .join(r_size, "right_group")
-        .select(
-            "left_group", "right_group", "left_size", "right_size", "common",
-            ratio(F.col("common"), either).alias("overlap"),
-        )
+    # a group that meets very many others must not gather them in one task
+    return attach(attach(common, l_size, "left_group", "right_group"), r_size, "right_group", "left_group").select(
+        "left_group", "right_group", "left_size", "right_size", "common",
+        ratio(F.col("common"), either).alias("overlap"),
     )
 
 

@@ -133,7 +133,7 @@ def accounts(lines: DataFrame) -> DataFrame:
 
 def activity(spark: SparkSession, path: str) -> Activity:
     lines = order_lines(spark, path)
-    return Activity(accounts(lines), orders(lines), returns(lines), refunds(lines))
+    return Activity(cut(accounts(lines)), orders(lines), returns(lines), refunds(lines))
 
 
 def labelled_groups(edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
