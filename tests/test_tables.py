@@ -134,6 +134,13 @@ def test_performance_has_denominators(spark):
     assert nothing.precision.value is None and nothing.f1 is None and nothing.total == 0
 
 
+def test_evaluation_events(spark):
+    measured = evaluation.performance(predictions(spark, CASES))
+    events = {e.action: json.loads(e.metadata) for e in audit.evaluation_events(measured, "evr_1", "dev", now(), "c").collect()}
+    assert events["EVALUATION_STARTED"] == {"split": "dev"}
+    assert events["EVALUATION_COMPLETED"] == {"rings": 6, "precision": 0.5, "recall": 0.5}
+
+
 def test_sweep_keeps_abstentions_and_takes_the_cheapest(spark):
     sweep = {r.threshold: r for r in evaluation.threshold_sweep(predictions(spark, CASES)).collect()}
     assert all(r.abstained == 1 for r in sweep.values())

@@ -115,6 +115,25 @@ def run_events(outcome: DataFrame, run_id: str, method: str, at: Column, correla
     return started.unionByName(completed)
 
 
+def evaluation_events(measured: DataFrame, run_id: str, split: str, at: Column, correlation_id: str) -> DataFrame:
+    """Start and completion of an evaluation from its one row of performance figures."""
+    common = dict(
+        at=at, actor_type="SYSTEM", actor_id=F.lit("tieline"), object_type="evaluation_run",
+        object_id=F.lit(run_id), correlation_id=correlation_id, severity="info",
+    )
+    started = event(
+        measured, action="EVALUATION_STARTED", result="INFO", metadata=F.struct(F.lit(split).alias("split")), **common
+    )
+    completed = event(
+        measured, action="EVALUATION_COMPLETED", result="SUCCESS",
+        metadata=F.struct(
+            F.col("total").alias("rings"), F.col("precision.value").alias("precision"), F.col("recall.value").alias("recall")
+        ),
+        **common,
+    )
+    return started.unionByName(completed)
+
+
 def query_audit(
     log: DataFrame, *, cluster_id: str | None = None, correlation_id: str | None = None, action: str | None = None,
     actor_id: str | None = None, severity: str | None = None, result: str | None = None,

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tieline.config import DetectConfig
 from tieline.functions.fixed import half_up, scaled, units
 from tieline.functions.ids import payload_hash
-from tieline.functions.lineage import cut
+from tieline.functions.lineage import cut, keep
 from tieline.functions.skew import attach
 from tieline.operators.links import adjacency
 
@@ -36,7 +36,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         lowest = F.least(order("node"), F.min(order("neighbour")))
         nearest = both.groupBy("node").agg(lowest["id"].alias("parent"))
         grand = nearest.toDF("parent", "target")
-        jump = cut(nearest.join(grand, "parent").select("node", "target"))
+        # three readers, one step away from a written table
+        jump = keep(nearest.join(grand, "parent").select("node", "target"))
         maps.append(jump)
         remaining = cut(
             remaining.join(jump.toDF("src", "s"), "src")
@@ -47,13 +48,15 @@ def connected_components(edges: DataFrame) -> DataFrame:
         )
     if not maps:
         return remaining.toDF("node", "component")
-    composed = maps.pop()
-    while maps:
+    composed = maps[-1]
+    for smaller in reversed(maps[:-1]):
         onward = composed.toDF("target", "onward")
-        composed = (
-            maps.pop().join(onward, "target", "left").select("node", F.coalesce("onward", "target").alias("target"))
+        composed = smaller.join(onward, "target", "left").select(
+            "node", F.coalesce("onward", "target").alias("target")
         )
     composed = cut(composed)
+    for jump in maps:
+        jump.unpersist()
     names = composed.groupBy("target").agg(F.min("node").alias("component"))
     return composed.join(names, "target").select("node", "component")
 
