@@ -44,8 +44,10 @@ class Activity(NamedTuple):
 
 
 # Below this many bytes per core a file's few row groups would leave most cores
-# idle, and moving the rows costs next to nothing.
+# idle, and moving the rows costs next to nothing.  The absolute limit keeps a
+# wide cluster from shuffling a table that is only small for its size.
 SMALL_INPUT_PER_CORE = 32 << 20
+SMALL_INPUT = 1 << 30
 
 
 def read_table(spark: SparkSession, path: str, *columns: str, schema: str | None = None) -> DataFrame:
@@ -60,7 +62,8 @@ def read_table(spark: SparkSession, path: str, *columns: str, schema: str | None
     cores = spark.sparkContext.defaultParallelism
     if columns:
         table = table.select(*columns)
-    return table.repartition(cores) if 1 << 20 < size < cores * SMALL_INPUT_PER_CORE else table
+    small = 1 << 20 < size < min(SMALL_INPUT, cores * SMALL_INPUT_PER_CORE)
+    return table.repartition(cores) if small else table
 
 
 def read_activity(spark: SparkSession, path: str) -> Activity:
