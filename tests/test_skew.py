@@ -21,3 +21,35 @@ def test_attach_is_a_plain_join_spread_out(spark):
         assert placed.where("k = 'hot'").distinct().count() > 1
     finally:
         spark.conf.set(merging, "true")
+
+
+def test_adaptive_execution_splits_a_hot_key_unless_it_is_grouped_by_again(spark, tmp_path):
+    """Why some joins are left to the planner and others are salted."""
+    settings = {
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "100KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "50KB",
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+    }
+    before = {k: spark.conf.get(k) for k in settings}
+    key = F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string"))
+    spark.range(0, 90_000, 1, 8).select(
+        key.alias("account_id"), F.sha2(F.col("id").cast("string"), 256).alias("infra")
+    ).write.parquet(str(tmp_path / "rows"))
+    rows = spark.read.parquet(str(tmp_path / "rows"))
+    rows.select("account_id").distinct().withColumn("account", F.concat(F.lit("ent_"), "account_id")).write.parquet(
+        str(tmp_path / "owners")
+    )
+    joined = rows.join(spark.read.parquet(str(tmp_path / "owners")), "account_id")
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        split = {}
+        for by in ("infra", "account_id"):
+            grouped = joined.groupBy(by).agg(F.max("account").alias("account"), F.count("infra").alias("n"))
+            grouped.collect()
+            split[by] = "skew=true" in grouped._jdf.queryExecution().executedPlan().toString()
+        assert split == {"infra": True, "account_id": False}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
