@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import public_tokenizers
 import corpus_pipeline
-from tieline.llm import exact_dedup, mixing, quality_rules, sharding, sql
+from tieline.llm import exact_dedup, huffman, mixing, packing, quality_rules, sharding, sql, token_counts
 from tieline.llm.text import read_documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +20,19 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs, reasons=False).drop("text")
 
 
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(read_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(read_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = huffman.through_files(read_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+    return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(read_documents(spark, sf_dir), 40)
 
@@ -34,6 +48,9 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op4_quality_rules": op4,
+        "op5_packing": op5,
+        "op6_token_counts": op6,
+        "op7_token_files": op7,
         "op8_sharding": op8,
         "op9_mixing": op9,
         "op10_exact_dedup": op10,
