@@ -4,17 +4,32 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
 import corpus_pipeline
-from tieline.llm import exact_dedup, huffman, mixing, packing, quality_rules, sharding, sql, token_counts
+from tieline.llm import context_tree, exact_dedup, huffman, mixing, packing, pair_ranking, quality_rules, sharding, sql, token_counts
 from tieline.llm.text import read_documents
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def fold(of: int) -> Column:
+    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(of))
+
+
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_documents(spark, sf_dir).select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(fold(4) != 2)
+    ranked = pair_ranking.score(docs, pair_ranking.fit(docs, labels))
+    return ranked.select("doc_id", F.coalesce(fold(4) == 2, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_tree.score_texts(read_documents(spark, sf_dir), fold(7) == 2)
+
+
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_documents(spark, sf_dir).select("doc_id", "text")
     return quality_rules.judge(docs, reasons=False).drop("text")
@@ -47,6 +62,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_quality_ranking": op1,
+        "op2_context_tree": op2,
         "op4_quality_rules": op4,
         "op5_packing": op5,
         "op6_token_counts": op6,
