@@ -29,8 +29,8 @@ from tieline.functions.lineage import cut
 from tieline.llm.pretokens import Spans
 from tieline.llm.text import whole
 
-DEPTH = 4
-HOT_GRAMS = 1 << 20  # 12 bytes each
+DEPTH = 5
+HOT_GRAMS = 1 << 21  # 16 bytes each
 HOT_WORDS = 1 << 19
 STREAM = 1 << 20  # bytes looked at together
 END = 10
@@ -198,7 +198,7 @@ def _partition(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarra
 
 def gram_scores(grams: DataFrame) -> DataFrame:
     """(key, n, score): natural log probability of the gram's last byte after the others."""
-    # all rows of a subtree in one task: a subtree has at most 256 ** (DEPTH - 1) grams
+    # all rows of a subtree in one task; its size is bounded by the depth, not by the corpus
     dealt = cut(grams.select("key", "n").repartition(F.shiftright("key", 8).bitwiseAND(0xFFFF)).withColumn("part", F.spark_partition_id()))
     placed = dealt.repartition("part")
 
@@ -246,11 +246,22 @@ def gram_scores(grams: DataFrame) -> DataFrame:
 
 
 def hottest(table: DataFrame, value: str, most: int) -> tuple[np.ndarray, np.ndarray, bool]:
-    """The ``most`` most frequent keys, sorted, with their values, and whether that is all of them."""
-    found = table.orderBy(F.desc("n"), "key").limit(most + 1).select("key", F.col(value).cast("double").alias("v")).toArrow()
-    keys, values = found.column("key").to_numpy()[:most], found.column("v").to_numpy()[:most]
+    """The most frequent keys, at most ``most``, sorted, with their values, and whether that is all of them.
+
+    Frequencies fall into a few thousand classes; the classes that fit are taken,
+    from the most frequent down, so nothing is sorted and what is taken is bounded.
+    """
+    classed = table.withColumn("class", F.floor(F.log2(F.col("n") + 1) * 64).cast("int"))
+    sizes = {r["class"]: r["count"] for r in classed.groupBy("class").count().collect()}
+    held, lowest = 0, 1 << 30
+    for c in sorted(sizes, reverse=True):
+        if held + sizes[c] > most:
+            break
+        held, lowest = held + sizes[c], c
+    found = classed.where(F.col("class") >= lowest).select("key", F.col(value).cast("double").alias("v")).toArrow()
+    keys, values = found.column("key").to_numpy(), found.column("v").to_numpy()
     order = np.argsort(keys)
-    return keys[order], values[order], found.num_rows <= most
+    return keys[order], values[order], held == sum(sizes.values())
 
 
 def _looked_up(keys: np.ndarray, table: tuple[np.ndarray, np.ndarray, bool]) -> tuple[np.ndarray, np.ndarray]:
