@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+import public_tokenizers
+
 from tieline.functions.lineage import cut
-from tieline.llm import exact_dedup, mixing, quality_rules
+from tieline.llm import exact_dedup, mixing, ngram_join, packing, quality_rules
 from tieline.llm.text import read_documents
 
 
@@ -19,12 +21,25 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.drop_exact_copies(docs, keep="largest")
 
 
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The smallest id of each group of near copies, and all documents in none."""
+    return ngram_join.drop_near_copies(docs)
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources at their target weights; a document used twice is two rows."""
     return mixing.mixed_documents(docs)
 
 
-STAGES = [("quality rules", quality), ("exact dedup", exact), ("mixing", mix)]
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each piece of each document is in the training sequences."""
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality rules", quality), ("exact dedup", exact), ("n-gram jaccard join", near),
+    ("mixing to target weights", mix), ("best-fit packing", pack),
+]
 
 # Near-duplicate components, pseudorandom draws and tokenization are beyond SQL.
 ORACLE_SQL = None

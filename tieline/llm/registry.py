@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 import corpus_pipeline
-from tieline.llm import context_tree, exact_dedup, huffman, mixing, packing, pair_ranking, quality_rules, sharding, sql, token_counts
+from tieline.llm import (
+    context_tree, exact_dedup, huffman, mixing, ngram_join, packing, pair_ranking, quality_rules, sharding, sql,
+    token_counts,
+)
 from tieline.llm.text import read_documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +33,10 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context_tree.score_texts(read_documents(spark, sf_dir), fold(7) == 2)
 
 
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_groups(read_documents(spark, sf_dir))
+
+
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_documents(spark, sf_dir).select("doc_id", "text")
     return quality_rules.judge(docs, reasons=False).drop("text")
@@ -64,6 +71,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_quality_ranking": op1,
         "op2_context_tree": op2,
+        "op3_ngram_join": op3,
         "op4_quality_rules": op4,
         "op5_packing": op5,
         "op6_token_counts": op6,
