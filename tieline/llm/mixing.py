@@ -61,11 +61,12 @@ def mixture(
 ) -> dict[str, DataFrame]:
     """What is drawn from where.
 
-    ``documents`` (doc_id, source, rank, size, source_size, target, start, key):
-    one row per input row, with its place among the words of its source.
+    ``documents`` (doc_id, source, tie, rank, size, source_size, target, start):
+    one row per input row, with a hash of its text and its place among the words
+    of its source; (rank, start) names a row that has words.
     ``counts`` (shard, rank, n): blocks of each source in each output shard.
     ``slots`` (slot, shard, rank, block): the drawn block for each output slot.
-    ``fragments`` (key, rank, block, skip, length, uses): which words of a row a
+    ``fragments`` (rank, start, block, skip, length, uses): which words of a row a
     block holds and how often the block is drawn.
 
     The words of a source, rows in order of id, form one sequence cut into
@@ -97,7 +98,7 @@ def mixture(
     attach = placed["source"].eqNullSafe(shares["source"])
     documents = cut(
         placed.join(shares, attach)
-        .select("doc_id", placed["source"], "rank", "size", "source_size", "target", "start")
+        .select("doc_id", placed["source"], "tie", "rank", "size", "source_size", "target", "start")
     )
     total = shares.agg(F.max("upto")).first()[0] or 0
     spark = docs.sparkSession
@@ -155,24 +156,32 @@ def mixed_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     """The mix as documents with all their columns: one row for each time a row is used.
 
     The k-th row of a document holds its words that are drawn at least k times,
-    so all rows together hold every word as often as it was taken.  Words are
-    joined as they stood where a row is used whole, by spaces otherwise.  Rows
-    of equal id and text share their draws evenly in the order of their starts.
+    so all rows together hold every word as often as it was taken.  A row used
+    whole keeps its text, another has its words joined by spaces, and ``n_chars``
+    follows.  Rows that nothing is drawn from are not in the mix.
     """
     made = mixture(docs, doc_id=doc_id, text=text, source=source, **how)
     drawn = made["fragments"].groupBy("rank", "start").agg(
         F.array_sort(F.collect_list(F.struct("skip", "length", "uses"))).alias("parts"), F.max("uses").alias("times")
     )
-    plan = cut(made["documents"].where("size > 0").join(drawn, ["rank", "start"]).select(
-        F.col("doc_id").alias("_id"), F.col("source").alias("_source"), "size", "start", "parts", "times"
-    ))
-    same = docs[doc_id].eqNullSafe(plan["_id"]) & docs[source].eqNullSafe(plan["_source"])
-    used = docs.join(plan, same & (F.regexp_count(whole(text), F.lit(WORD)) == plan["size"]))
-    used = used.withColumn("_k", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("times"))))
-    used = used.withColumn("_parts", F.filter("parts", lambda p: p["uses"] >= F.col("_k")))
-    held = F.aggregate("_parts", F.lit(0).cast("bigint"), lambda a, p: a + p["length"])
-    cut_out = F.flatten(F.transform("_parts", lambda p: F.slice(F.col("_words"), (p["skip"] + 1).cast("int"), p["length"].cast("int"))))
-    used = used.withColumn("_held", held).withColumn("_words", F.when(F.col("_held") < F.col("size"), words(whole(text))))
-    mixed = F.when(F.col("_held") < F.col("size"), F.array_join(cut_out, " ")).otherwise(F.col(text))
-    names = [mixed.alias(text) if c == text else F.length(mixed).cast("bigint").alias(c) if c == "n_chars" else docs[c] for c in docs.columns]
-    return used.select(*names)
+    # rows of equal id, source and text are told apart by number
+    keys = ["_id", "_source", "_tie"]
+    numbered = lambda df, order: df.withColumn("_copy", F.row_number().over(Window.partitionBy(*keys).orderBy(order)))
+    plan = made["documents"].where("size > 0").join(drawn, ["rank", "start"]).select(
+        F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("tie").alias("_tie"), "size", "start", "parts", "times"
+    )
+    plan = cut(numbered(plan, "start"))
+    rows = docs.select(
+        F.struct(*docs.columns).alias("_row"), F.col(doc_id).alias("_id"), F.col(source).alias("_source"), F.xxhash64(whole(text)).alias("_tie")
+    )
+    rows = numbered(rows, "_tie")
+    same = [rows[k].eqNullSafe(plan[k]) for k in (*keys, "_copy")]
+    used = rows.join(plan, same).select("_row", "size", "parts", F.explode(F.sequence(F.lit(1).cast("bigint"), "times")).alias("k"))
+    used = used.withColumn("parts", F.filter("parts", lambda p: p["uses"] >= F.col("k")))
+    used = used.withColumn("held", F.aggregate("parts", F.lit(0).cast("bigint"), lambda a, p: a + p["length"]))
+    body = F.col("_row")[text]
+    used = used.withColumn("words", F.when(F.col("held") < F.col("size"), words(body)))
+    taken = F.flatten(F.transform("parts", lambda p: F.slice("words", (p["skip"] + 1).cast("int"), p["length"].cast("int"))))
+    used = used.withColumn("mixed", F.when(F.col("held") < F.col("size"), F.array_join(taken, " ")).otherwise(body))
+    new = {text: F.col("mixed"), "n_chars": F.length("mixed").cast("bigint")}
+    return used.select(*(new.get(c, F.col("_row")[c]).alias(c) for c in docs.columns))

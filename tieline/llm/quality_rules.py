@@ -126,4 +126,7 @@ def drop_poor(docs: DataFrame, **how) -> DataFrame:
     # names of counts may clash with columns of the table, so it passes through as one struct
     text = how.pop("text", "text")
     packed = docs.select(F.struct(*docs.columns).alias("_row"), F.col(text).alias("_text"))
-    return judge(packed, text="_text", reasons=False, **how).where("kept").select("_row.*")
+    judged = judge(packed, text="_text", reasons=False, **how).withColumn("_task", F.spark_partition_id())
+    # asking for the task as well keeps the filter above the counts; pushed below them, it would
+    # repeat their expressions at every use
+    return judged.where(F.col("kept") & (F.col("_task") >= 0)).select("_row.*")
