@@ -32,7 +32,7 @@ from tieline.llm.text import whole
 DEPTH = 5
 HOT_GRAMS = 1 << 21  # 16 bytes each
 HOT_WORDS = 1 << 19
-STREAM = 1 << 20  # bytes looked at together
+STREAM = 1 << 18  # bytes looked at together
 END = 10
 
 LOWER = np.arange(256, dtype=np.uint8)
@@ -90,15 +90,16 @@ class Tally:
     """Sums by key, compacted now and then."""
 
     def __init__(self):
-        self.keys, self.sums, self.size = [], [], 0
+        self.keys, self.sums, self.size, self.least = [], [], 0, 0
 
     def add(self, keys: np.ndarray, sums: np.ndarray) -> None:
         self.keys.append(keys)
         self.sums.append(sums)
         self.size += len(keys)
-        if self.size > 1 << 22:
+        if self.size > 1 << 20 and self.size > 2 * self.least:
             keys, sums = self.total()
-            self.keys, self.sums, self.size = [keys], [sums], 0
+            self.keys, self.sums, self.size = [keys], [sums], len(keys)
+            self.least = len(keys)
 
     def total(self) -> tuple[np.ndarray, np.ndarray]:
         if not self.keys:
@@ -335,6 +336,7 @@ def score_texts(
 
     schema = f"row bigint, kind int, doc_id {key_kind}, held_out boolean, key bigint, n bigint, n_known bigint, base double, score double, bytes bigint"
     told = cut(rows.mapInArrow(score, schema))
+    sent.destroy()  # frees the tables in the workers; what they were for is written
     ask = lambda kind: told.where(f"kind = {kind}").select("row", "key", F.col("n").alias("times"))
     of_words = ask(WORDS).join(words.select("key", "n"), "key", "left").select(
         "row", F.when(F.col("n") > 0, F.col("times")).otherwise(0).alias("n_known"),
