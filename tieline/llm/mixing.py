@@ -102,18 +102,19 @@ def mixture(
     )
     total = shares.agg(F.max("upto")).first()[0] or 0
     spark = docs.sparkSession
-    slots = spark.range(total).select(F.col("id").alias("slot"), F.col("id").alias("draw"), F.lit(total).alias("of"))
+    slots = spark.range(total).select(F.col("id").alias("slot"), F.col("id").alias("draw"), F.lit(max(total, 1)).alias("of"))
     slots = permuted(slots, "draw", "of", F.lit(seed))
     # as many rows as there are sources: an interval lookup by sorted search
     bounds = shares.where("draws > 0").select("rank", "blocks", "draws", "upto")
     table = bounds.agg(F.array_sort(F.collect_list(F.struct("upto", "rank", "blocks", "draws"))).alias("table"))
-    one = table.first()["table"] if total else []
+    none = [{"upto": 0, "rank": 0, "blocks": 1, "draws": 0}]  # nothing to draw: no slot asks
+    one = table.first()["table"] if total else none
     uptos = F.array(*[F.lit(r["upto"]) for r in one]).cast("array<bigint>")
     found = F.size(F.filter(uptos, lambda u: u <= F.col("draw")))
     pick = lambda f: F.element_at(F.array(*[F.lit(r[f]) for r in one]).cast("array<bigint>"), F.col("at") + 1)
-    slots = slots.withColumn("at", found) if one else slots.withColumn("at", F.lit(0))
     slots = (
-        slots.withColumn("rank", pick("rank").cast("int"))
+        slots.withColumn("at", found)
+        .withColumn("rank", pick("rank").cast("int"))
         .withColumn("k", F.col("draw") - pick("upto") + pick("draws"))
         .withColumn("blocks", pick("blocks"))
         .withColumn("block", F.pmod("k", "blocks"))

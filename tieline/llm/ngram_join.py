@@ -35,7 +35,7 @@ from tieline.operators.components import connected_components
 
 WIDTH = 5  # words of a shingle
 PERCENT = 75
-GROUPS = 32
+GROUPS = 64
 CLASSES = 1 << 18  # counted together to tell frequent shingles
 SLICE = 2048  # points of a tree
 LEAF = 32
@@ -125,15 +125,15 @@ def points(rows: DataFrame, counts: np.ndarray, percent: int = PERCENT) -> DataF
                     rare = np.argsort(sent.value[(s % np.uint64(len(sent.value))).astype(np.int64)], kind="stable")[:few]
                     sizes.append(n)
                     sigs.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                    groups.append(np.bincount((s >> np.uint64(59)).astype(np.int64), minlength=GROUPS))
+                    groups.append(np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=GROUPS))
                     prefixes.append(s[rare].view(np.int64))
-                flat = lambda x: pa.ListArray.from_arrays(
-                    pa.array(np.concatenate([[0], np.cumsum([len(y) for y in x])]), pa.int32()), pa.array(np.concatenate(x), pa.int64()))
+                flat = lambda x, kind: pa.ListArray.from_arrays(
+                    pa.array(np.concatenate([[0], np.cumsum([len(y) for y in x])]), pa.int32()), pa.array(np.concatenate(x), kind))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(start, len(sets)), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary()), flat(groups), flat(prefixes)],
+                    [batch.column("doc_id").slice(start, len(sets)), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary()), flat(groups, pa.int32()), flat(prefixes, pa.int64())],
                     ["doc_id", "n", "sig", "counts", "prefix"])
 
-    return rows.mapInArrow(make, "doc_id bigint, n bigint, sig binary, counts array<bigint>, prefix array<bigint>")
+    return rows.mapInArrow(make, "doc_id bigint, n bigint, sig binary, counts array<int>, prefix array<bigint>")
 
 
 def cell_members(entries: DataFrame) -> DataFrame:
@@ -261,23 +261,45 @@ def within_bound(pairs: DataFrame, nodes: DataFrame, percent: int = PERCENT) ->
     """Pairs (a, b) whose sum of coordinate minima allows a link."""
     of = lambda side: nodes.select(F.col("doc").alias(side), F.col("n").alias(f"n{side}"), F.col("counts").alias(f"c{side}"))
     both = pairs.join(of("a"), "a").join(of("b"), "b")
-    least = F.aggregate(F.zip_with("ca", "cb", lambda x, y: F.least(x, y)), F.lit(0).cast("bigint"), lambda s, x: s + x)
+    least = F.aggregate(F.zip_with("ca", "cb", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
     return both.where((100 + percent) * least >= overlap_needed(F.col("na"), F.col("nb"), percent)).select("a", "b")
 
 
 BITS = 1 << 24
 
 
+def place(doc: str) -> Column:
+    return F.pmod(F.xxhash64(doc), F.lit(BITS))
+
+
+def bit_table(docs: DataFrame) -> DataFrame:
+    """(w, bits) with a bit for the place of every ``doc``: BITS / 32 rows at most, whatever the input."""
+    placed = docs.select(place("doc").alias("p"))
+    return placed.groupBy(F.shiftright("p", 5).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(p & 31 AS int)))").alias("bits"))
+
+
+def node_rows(some: DataFrame, nodes_of: DataFrame) -> DataFrame:
+    """The rows that stand for their set.
+
+    Most rows do.  Those that may not, by a bit table of the others, are looked
+    up; the rest need no shuffle.
+    """
+    others = some.select("doc_id", "sig").join(nodes_of, "sig").where("doc_id != node").select(F.col("doc_id").alias("doc"))
+    marked = some.withColumn("p", place("doc_id")).withColumn("w", F.shiftright("p", 5))
+    marked = marked.join(F.broadcast(cut(bit_table(others))), "w", "left")
+    doubtful = F.coalesce(F.expr("shiftright(bits, cast(p & 31 AS int)) & 1") == 1, F.lit(False))
+    names = nodes_of.select(F.col("node").alias("doc_id")).distinct()
+    kept = lambda df: df.select("doc_id", "n", "prefix")
+    return kept(marked.where(~doubtful)).unionByName(kept(marked.where(doubtful)).join(names, "doc_id", "left_semi"))
+
+
 def whole_sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """(doc, set) for the wanted ids.
 
     A bit table of fixed size tells the task that reads a text whether it may be
     wanted, so texts need not be shuffled; the few taken in vain join nothing.
     """
-    place = lambda c: F.pmod(F.xxhash64(c), F.lit(BITS))
-    bits = wanted.select(place("doc").alias("p")).groupBy(F.shiftright("p", 5).alias("w")).agg(
-        F.bit_or(F.expr("shiftleft(1L, cast(p & 31 AS int))")).alias("bits")
-    ).toArrow()  # bounded: BITS / 32 rows
+    bits = bit_table(wanted).toArrow()  # bounded: BITS / 32 rows
     table = np.zeros(BITS // 32, np.int64)
     table[bits.column("w").to_numpy()] = bits.column("bits").to_numpy()
     sent = rows.sparkSession.sparkContext.broadcast(table.astype(np.uint32))
@@ -299,10 +321,10 @@ def whole_sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
 def verified(rows: DataFrame, pairs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Pairs (a, b) whose whole sets reach the similarity."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
-    sets = cut(whole_sets(rows, wanted).join(wanted, "doc", "left_semi").dropDuplicates(["doc"]))
+    sets = cut(whole_sets(rows, wanted))
     both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
-    return both.where(100 * shared >= percent * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
+    return both.where(100 * shared >= percent * (F.size("sa") + F.size("sb") - shared)).select("a", "b").distinct()
 
 
 def near_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT, slice_size: int = SLICE) -> DataFrame:
@@ -319,8 +341,7 @@ def near_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     some = made.where("n > 0 AND doc_id IS NOT NULL")
     nodes_of = cut(some.groupBy("sig").agg(F.min("doc_id").alias("node")))
     member = cut(made.select("doc_id", "n", "sig").join(nodes_of, "sig", "left").select("doc_id", "n", "node"))
-    nodes = some.join(nodes_of.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    entries = nodes.select(F.col("doc_id").alias("doc"), "n", F.explode("prefix").alias("cell"))
+    entries = node_rows(some, nodes_of).select(F.col("doc_id").alias("doc"), "n", F.explode("prefix").alias("cell"))
     members = cut(cell_members(entries.select("cell", "doc", "n")))
     shapes = cut(
         some.select(F.col("doc_id").alias("doc"), "n", "counts")

@@ -103,15 +103,16 @@ def fit(
         chosen = some if chosen is None else chosen.unionByName(some)
     # at most 2 * sample narrow rows
     used = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(chosen), "_id")
-    made = prepared(used, "_text").select("_y", F.array(*[v.cast("double") for v in features("_text").values()]).alias("x")).toArrow()
+    looks = [v.cast("double") for v in features("_text").values()]
+    made = prepared(used, "_text").select("_y", F.array(*looks).alias("x")).toArrow()
     y = made.column("_y").to_numpy()
-    x = np.array(made.column("x").to_pylist(), np.float64).reshape(len(y), -1)
+    x = np.array(made.column("x").to_pylist(), np.float64).reshape(len(y), len(looks))
+    order = np.lexsort((*x.T, y))  # neither sums nor pairs may depend on the order of arrival
+    x, y = x[order], y[order]
     if len(set(y.tolist())) < 2:
         return Ranking((), (), (), 0.0, float(y.mean()) if len(y) else 0.5)
     mean, spread = x.mean(0), np.maximum(x.std(0), 1e-9)
     z = (x - mean) / spread
-    order = np.lexsort((*z.T, y))  # pairs must not depend on the order of arrival
-    z, y = z[order], y[order]
     w = fit_pairs(z[y == 1], z[y == 0])
     s = z @ w
     # the quantile of all scores that tells the classes apart best
@@ -120,7 +121,7 @@ def fit(
     best = int(np.argmax(right))
     below = s[s < cuts[best]]
     cut = (cuts[best] + below.max()) / 2 if len(below) else cuts[best]
-    return Ranking(tuple(mean), tuple(spread), tuple(w), float(cut))
+    return Ranking(*(tuple(map(float, v)) for v in (mean, spread, w)), float(cut))
 
 
 def score(docs: DataFrame, ranking: Ranking, *, text: str = "text", low: float = CUT) -> DataFrame:

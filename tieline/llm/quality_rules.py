@@ -97,7 +97,10 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
         "n_dup_lines": F.size("_lines") - F.size(F.array_distinct("_lines")),
         "n_repeat_words": repeat_words(F.col("_w"), F.col("_h")),
     }
-    return made.withColumns({k: v.cast("bigint") for k, v in counts.items()}).drop("_w", "_lines", "_h")
+    # The condition always holds.  As it names the task, a filter on a count stays above the counts;
+    # pushed below, it would repeat their expressions, once for each word even.
+    held = lambda v: F.when(F.spark_partition_id() >= 0, v.cast("bigint"))
+    return made.withColumns({k: held(v) for k, v in counts.items()}).drop("_w", "_lines", "_h")
 
 
 def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, *, text: str = "text", reasons: bool = True) -> DataFrame:
@@ -126,7 +129,4 @@ def drop_poor(docs: DataFrame, **how) -> DataFrame:
     # names of counts may clash with columns of the table, so it passes through as one struct
     text = how.pop("text", "text")
     packed = docs.select(F.struct(*docs.columns).alias("_row"), F.col(text).alias("_text"))
-    judged = judge(packed, text="_text", reasons=False, **how).withColumn("_task", F.spark_partition_id())
-    # asking for the task as well keeps the filter above the counts; pushed below them, it would
-    # repeat their expressions at every use
-    return judged.where(F.col("kept") & (F.col("_task") >= 0)).select("_row.*")
+    return judge(packed, text="_text", reasons=False, **how).where("kept").select("_row.*")
