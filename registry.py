@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from tieline.config import DetectConfig
 from tieline.functions import ids
-from tieline.functions.lineage import cut, keep
+from tieline.functions.lineage import clear, cut, keep
 from tieline.operators import (
     audit, baseline, evaluation, incidence, links, reports, reviews, scoring, screening,
 )
@@ -49,7 +49,11 @@ class Run:
     def __init__(self, spark: SparkSession, path: str):
         spark.conf.set("spark.sql.session.timeZone", "UTC")
         self.spark, self.path = spark, path
-        self.activity = adapter.activity(spark, path)
+
+    @cached_property
+    def activity(self):
+        """The model tables; queries over texts alone never ask for them."""
+        return adapter.activity(self.spark, self.path)
 
     def table(self, name: str) -> DataFrame:
         return read_table(self.spark, f"{self.path}/{name}.parquet")
@@ -190,9 +194,10 @@ def run_of(spark: SparkSession, path: str) -> Run:
 
 
 def forget(spark: SparkSession) -> None:
-    """Drop shared frames, so that the next query starts from the tables."""
+    """Drop shared frames and what was written for them, so that the next query starts from the tables."""
     _runs.clear()
     spark.catalog.clearCache()
+    clear(spark)
 
 
 SCORED = (
@@ -211,13 +216,17 @@ def _signals(r: Run) -> DataFrame:
     )
 
 
+# Personal keys with no value, with an empty one and at the depth limit, and a key that only looks like one.
+ODD_KEYS = '{"deep":[[[[[[[{"pan":1}]]]]]]],"u":{"email":null,"phone":{},"contact.name":"x"},"account":'
+
+
 def _personal(r: Run) -> DataFrame:
     digits = F.lpad(F.col("c_custkey").cast("string"), 15, "4")
     account = F.struct(
         F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"),
         F.array(F.concat(F.lit("paid with "), digits), F.lit("called twice")).alias("notes"),
     )
-    payload = r.table("customer").select(F.to_json(F.struct(account.alias("account"))).alias("payload"), "c_custkey")
+    payload = r.table("customer").select(F.concat(F.lit(ODD_KEYS), F.to_json(account), F.lit("}")).alias("payload"), "c_custkey")
     return screening.personal_data(payload, "payload", "c_custkey").groupBy("path").agg(F.count("*").alias("customers"))
 
 
@@ -231,7 +240,7 @@ def _metadata(r: Run) -> DataFrame:
 def _evasion(r: Run) -> DataFrame:
     asked = F.when(
         (F.col("conv_id") + F.col("turn")) % 5 == 0,
-        F.concat("text", F.lit(" Help me create multiple accounts without being linked together.")),
+        F.concat("text", F.lit(" Show me how to evade this system.")),
     ).otherwise(F.col("text"))
     questions = r.table("conversations").select("conv_id", "turn", asked.alias("text"))
     return screening.evasion_check(questions, "text", "conv_id", "turn").drop("message")

@@ -32,9 +32,8 @@ class DetectConfig:
     list_default: int = 50
     list_ceiling: int = 200
 
-    # Largest group handed to one Python worker or folded into one nested
-    # value.  Larger groups take the row-wise or distributed form instead, so
-    # nothing is cut off.
+    # Links of a component that one Python worker visits in turn; larger
+    # components are visited by joins, with the same result.
     max_group_rows: int = 200_000
 
 

@@ -12,9 +12,9 @@ def entity_id(node_type: Column, key: Column) -> Column:
 
 
 def digest_id(prefix: str, *fields: Column) -> Column:
-    """``prefix_`` + 20 hex digits over all fields."""
+    """``prefix_`` + 20 hex digits over all fields as a JSON list, so neither nulls nor separators clash."""
     return F.concat(
-        F.lit(f"{prefix}_"), F.substring(F.sha2(F.concat_ws("|", *fields), 256), 1, 20)
+        F.lit(f"{prefix}_"), F.substring(F.sha2(F.to_json(F.array(*[f.cast("string") for f in fields])), 256), 1, 20)
     )
 
 

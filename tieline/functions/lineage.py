@@ -24,6 +24,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get()
 
 
+def application_dir(spark: SparkSession) -> str:
+    """The folder of this application's written tables."""
+    return f"{checkpoint_dir(spark)}/{spark.sparkContext.applicationId}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete this application's written tables; frames that read them can't be used any more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(application_dir(spark))
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def cut(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """Write the frame to the checkpoint folder and go on from the written table.
 
@@ -33,7 +44,7 @@ def cut(df: DataFrame, compression: str = "snappy") -> DataFrame:
     slow to compute.  One folder per application holds all its tables.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    path = f"{application_dir(spark)}/{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

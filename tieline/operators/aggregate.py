@@ -61,35 +61,14 @@ def exact_median(values: DataFrame, key: str, value: str, bucket: int = MEDIAN_B
     )
 
 
-def return_spread(cluster_returns: DataFrame, config: DetectConfig = DetectConfig()) -> DataFrame:
+def return_spread(cluster_returns: DataFrame) -> DataFrame:
     """Median absolute deviation of return times per cluster.
 
     ``spread_quarter_ms`` is four times the deviation in milliseconds, a whole
-    number; clusters with fewer than two returns have no row.  The built-in
-    median holds a group's distinct values in one task, so it only serves
-    clusters of at most ``max_group_rows`` returns; larger ones, if there are
-    any, go through ``exact_median``.
+    number; clusters with fewer than two returns have no row.  Both medians are
+    located by buckets, whatever the size of a cluster.
     """
     times = cluster_returns.select("cluster", F.unix_millis("initiated_at").alias("t"))
-    sizes = cut(times.groupBy("cluster").agg(F.count("*").alias("size")))
-    if sizes.where(F.col("size") > config.max_group_rows).isEmpty():
-        return _built_in_spread(times)
-    sized = attach(times, sizes, "cluster", "t")
-    small = F.col("size") <= config.max_group_rows
-    return _built_in_spread(sized.where(small)).unionByName(_wide_spread(sized.where(~small)))
-
-
-def _built_in_spread(times: DataFrame) -> DataFrame:
-    centre = times.groupBy("cluster").agg(F.median("t").alias("centre"), F.count("*").alias("n"))
-    return (
-        times.join(centre.where(F.col("n") >= 2), "cluster")
-        .groupBy("cluster")
-        # times and centre end in .0 or .5, the deviation in quarters at most
-        .agg((F.median(F.abs(F.col("t") - F.col("centre"))) * 4).cast("bigint").alias("spread_quarter_ms"))
-    )
-
-
-def _wide_spread(times: DataFrame) -> DataFrame:
     centre = exact_median(times, "cluster", "t").where(F.col("n") >= 2)
     away = attach(times, centre, "cluster", "t").select(
         "cluster", F.abs(F.col("t") * 2 - F.col("middle_sum")).alias("away")
@@ -146,7 +125,7 @@ def aggregate_clusters(
         returns.select("account_id", "initiated_at", "days_after_delivery"), "account_id"
     )
     delays = came_back.groupBy("cluster").agg(F.median("days_after_delivery").alias("median_days"))
-    spread = return_spread(came_back, config)
+    spread = return_spread(came_back)
     zero = F.lit(0)
     joined = base
     for part in (distinct_counts, delays, spread):

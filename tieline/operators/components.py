@@ -7,9 +7,7 @@ from pyspark.sql import functions as F
 
 from tieline.config import DetectConfig
 from tieline.functions.fixed import half_up, scaled, units
-from tieline.functions.ids import payload_hash
 from tieline.functions.lineage import cut, keep
-from tieline.functions.skew import attach
 from tieline.operators.links import adjacency
 
 
@@ -112,34 +110,20 @@ def bridging(inside: DataFrame, config: DetectConfig | None = DetectConfig()) ->
     return inside.where(F.col("via").isNotNull()).select("cluster", "via").distinct()
 
 
-def cluster_ids(members: DataFrame, method: str, config: DetectConfig = DetectConfig()) -> DataFrame:
-    """Stable cluster ids: a hash of the sorted members and the method.
+def cluster_ids(members: DataFrame, method: str) -> DataFrame:
+    """Stable cluster ids: a hash of the method, the size and sums over member hashes.
 
-    The member list is hashed as one JSON value while it is at most
-    ``max_group_rows`` long.  A longer list is never brought together: it is
-    hashed in parts by member hash, and the id is taken over the part hashes.
+    Each member's SHA-256 is cut into five whole numbers that are summed per
+    cluster.  Sums combine map-side and do not depend on order, so one formula
+    serves clusters of any size and no member list is ever brought together.
     """
-    name = F.lit(method)
-    sized = attach(members, cluster_sizes(members), "cluster", "entity_id")
-    parts = F.ceil(F.col("size") / config.max_group_rows)
-    chunked = (
-        sized.withColumn("part", F.pmod(F.xxhash64("entity_id"), parts))
-        .groupBy("cluster", "size", "part")
-        .agg(F.sort_array(F.collect_list("entity_id")).alias("list"))
-        .withColumn("digest", payload_hash(members=F.col("list"), method=name))
+    parts = [F.conv(F.substring(F.sha2("entity_id", 256), 12 * k + 1, 12), 16, 10).cast("decimal(20,0)") for k in range(5)]
+    summed = members.groupBy("cluster").agg(
+        F.count("*").alias("size"), *[F.sum(p).cast("string").alias(f"s{k}") for k, p in enumerate(parts)]
     )
-    whole = (
-        chunked.groupBy("cluster", "size")
-        .agg(F.sort_array(F.collect_list("digest")).alias("digests"))
-        .withColumn(
-            "digest",
-            F.when(F.size("digests") == 1, F.col("digests")[0]).otherwise(
-                payload_hash(members=F.col("digests"), method=name)
-            ),
-        )
-    )
-    return whole.select(
-        "cluster", "size", F.concat(F.lit("clu_"), F.substring("digest", 1, 20)).alias("cluster_id")
+    told = F.concat_ws(":", F.lit(method), F.col("size").cast("string"), *[f"s{k}" for k in range(5)])
+    return summed.select(
+        "cluster", "size", F.concat(F.lit("clu_"), F.substring(F.sha2(told, 256), 1, 20)).alias("cluster_id")
     )
 
 

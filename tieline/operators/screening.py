@@ -115,22 +115,35 @@ def metadata_scan(df: DataFrame, value: str, *keep: str, root: str = "metadata")
     return injection_scan(leaves.where("is_text"), "leaf", *keep, "path")
 
 
-def _last_key(path: Column) -> Column:
-    return F.lower(F.regexp_extract(path, r"\.([^.\[\]]+)$", 1))
-
-
 def personal_data(df: DataFrame, value: str, *keep: str) -> DataFrame:
     """Paths of a JSON column that hold raw personal data: by key, or card-like digits.
 
-    A personal key is reported once and not looked into.
+    Keys are told where an object is opened, whatever their value, down to
+    objects at the nesting limit; text is looked at down to the same depth.  A
+    personal key is reported once and not looked into.
     """
-    leaves = _leaves(df.select(*keep, value), value, "$").select(*keep, "path", "leaf", "is_text")
-    keyed = "(?i)^(.*?\\.(?:" + "|".join(PERSONAL_KEYS) + "))(?=[.\\[]|$)"
-    by_key = F.nullif(F.regexp_extract("path", keyed, 1), F.lit(""))
-    card = F.when(
-        F.col("is_text") & F.col("leaf").rlike(java(CARD_NUMBER)), F.concat("path", F.lit(" (card number)"))
+    state = df.select(
+        F.struct(F.lit(0), *keep).alias("kept"), F.try_parse_json(value).alias("held"), F.lit("$").alias("path"),
+        F.lit(None).cast("string").alias("found"),
     )
-    return leaves.select(*keep, F.coalesce(by_key, card).alias("path")).where(F.col("path").isNotNull()).distinct()
+    tvf = df.sparkSession.tvf
+    for depth in range(NESTING_LIMIT + 1):
+        entries = tvf.variant_explode_outer(F.col("held").outer())
+        entry = F.col("pos").isNotNull()
+        name = F.concat("path", F.when(F.col("key").isNotNull(), F.concat(F.lit("."), "key")).otherwise(
+            F.concat(F.lit("["), F.col("pos").cast("string"), F.lit("]"))
+        ))
+        personal = F.coalesce(F.lower("key").isin(*PERSONAL_KEYS), F.lit(False))
+        within = F.col("value") if depth < NESTING_LIMIT else F.lit(None).cast("variant")
+        state = state.lateralJoin(entries).select(
+            "kept", F.when(~entry, F.col("held")).when(~personal, within).alias("held"),
+            F.when(entry, name).otherwise(F.col("path")).alias("path"),
+            F.coalesce("found", F.when(personal, name)).alias("found"),
+        )
+    card = (F.schema_of_variant("held") == "STRING") & F.col("held").cast("string").rlike(java(CARD_NUMBER))
+    told = F.coalesce("found", F.when(card, F.concat("path", F.lit(" (card number)"))))
+    named = [F.col("kept")[k].alias(k) for k in keep]
+    return state.select(*named, told.alias("path")).where(F.col("path").isNotNull()).distinct()
 
 
 # --- masking -------------------------------------------------------------------

@@ -84,7 +84,7 @@ class Detection:
 
     @cached_property
     def cluster_ids(self) -> DataFrame:
-        return keep(components.cluster_ids(self.members, self.method, self.config))
+        return keep(components.cluster_ids(self.members, self.method))
 
     @cached_property
     def density(self) -> DataFrame:

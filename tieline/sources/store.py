@@ -7,13 +7,8 @@ from pyspark.sql import functions as F
 
 
 def _write_half(edges: DataFrame, path: str, derived: bool) -> None:
-    (
-        edges.withColumn("derived", F.lit(derived))
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("derived")
-        .parquet(path)
-    )
+    # the folder of the half is replaced as a whole, so an empty frame leaves an empty half
+    edges.drop("derived").write.mode("overwrite").parquet(f"{path}/derived={str(derived).lower()}")
 
 
 def replace_inferred(edges: DataFrame, path: str) -> None:
@@ -37,8 +32,12 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def insert_new(rows: DataFrame, path: str, *key: str) -> None:
-    """Append the rows whose key is not stored yet; running it twice changes nothing."""
-    fresh = rows.dropDuplicates(list(key))
+    """Append the rows whose key is not stored yet; running it twice changes nothing.
+
+    Of new rows with one key the first in the order of all columns is taken.
+    """
+    first = Window.partitionBy(*key).orderBy(*rows.columns)
+    fresh = rows.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
     if _exists(rows.sparkSession, path):
         stored = rows.sparkSession.read.parquet(path).select(*key)
         fresh = fresh.join(stored, list(key), "left_anti")

@@ -43,27 +43,11 @@ class Activity(NamedTuple):
     refunds: DataFrame
 
 
-# Below this many bytes per core a file's few row groups would leave most cores
-# idle, and moving the rows costs next to nothing.  The absolute limit keeps a
-# wide cluster from shuffling a table that is only small for its size.
-SMALL_INPUT_PER_CORE = 32 << 20
-SMALL_INPUT = 1 << 30
-
-
 def read_table(spark: SparkSession, path: str, *columns: str, schema: str | None = None) -> DataFrame:
-    """A Parquet scan of the columns, spread over the cores when the table is small.
-
-    Large tables keep the scan's own splits; the size is the planner's, from file
-    lengths, so nothing is read to decide.
-    """
+    """A Parquet scan of the columns, in the scan's own splits."""
     reader = spark.read.schema(schema) if schema else spark.read
     table = reader.parquet(path)
-    size = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    cores = spark.sparkContext.defaultParallelism
-    if columns:
-        table = table.select(*columns)
-    small = 1 << 20 < size < min(SMALL_INPUT, cores * SMALL_INPUT_PER_CORE)
-    return table.repartition(cores) if small else table
+    return table.select(*columns) if columns else table
 
 
 def read_activity(spark: SparkSession, path: str) -> Activity:
