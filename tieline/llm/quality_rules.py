@@ -43,7 +43,7 @@ RULES = (
     Rule("symbols per word", per("n_symbols", "n_words"), 0, 0.1),
     Rule("capitals per character", per("n_capitals", "word_chars"), 0, 0.4, 20),
     Rule("stop words per word", per("n_stop_words", "n_words"), 0.01, 1, 50),
-    Rule("repeated lines per line", per("n_dup_lines", "n_lines"), 0, 0.3, 20),
+    Rule("repeated lines per line", per("n_dup_lines", "n_lines"), 0, 0.5, 20),
 )
 
 

@@ -48,7 +48,7 @@ SELECT *, NOT base_failed AND n_words <= 1000000
        AND n_symbols / greatest(n_words, 1) <= 0.1::DOUBLE
        AND (n_words < 20 OR n_capitals / greatest(word_chars, 1) <= 0.4::DOUBLE)
        AND (n_words < 50 OR n_stop_words / greatest(n_words, 1) >= 0.01::DOUBLE)
-       AND (n_words < 20 OR n_dup_lines / greatest(n_lines, 1) <= 0.3::DOUBLE) AS kept
+       AND (n_words < 20 OR n_dup_lines / greatest(n_lines, 1) <= 0.5::DOUBLE) AS kept
 FROM base
 """
 
