@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from tieline.functions.lineage import cut
 from tieline.llm.pretokens import Spans
-from tieline.llm.text import whole
+from tieline.llm.text import small_batches, whole
 
 DEPTH = 5
 HOT_GRAMS = 1 << 21  # 16 bytes each
@@ -290,7 +290,8 @@ def score_texts(
     rows = docs.select(
         F.col(doc_id).alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), whole(text).cast("binary").alias("text")
     )
-    counts = cut(corpus_counts(rows))
+    with small_batches(docs.sparkSession):
+        counts = cut(corpus_counts(rows))
     words = counts.where(f"kind = {WORDS}")
     model = cut(gram_scores(counts.where(f"kind = {GRAMS}")))
     trained = rows.where(~F.col("held_out")).count()
@@ -335,7 +336,8 @@ def score_texts(
                 row += m
 
     schema = f"row bigint, kind int, doc_id {key_kind}, held_out boolean, key bigint, n bigint, n_known bigint, base double, score double, bytes bigint"
-    told = cut(rows.mapInArrow(score, schema))
+    with small_batches(docs.sparkSession):
+        told = cut(rows.mapInArrow(score, schema))
     sent.destroy()  # frees the tables in the workers; what they were for is written
     ask = lambda kind: told.where(f"kind = {kind}").select("row", "key", F.col("n").alias("times"))
     of_words = ask(WORDS).join(words.select("key", "n"), "key", "left").select(

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tieline.functions.lineage import checkpoint_dir, cut
 from tieline.llm.encoding import encoder
-from tieline.llm.text import whole
+from tieline.llm.text import small_batches, whole
 
 LONGEST = 20  # bits of a code
 BLOCK = 1 << 16  # ids in a block, unless one document has more
@@ -251,5 +251,6 @@ def through_files(docs: DataFrame, path: str, *, folder: str | None = None, **ho
     """
     spark = docs.sparkSession
     folder = folder or f"{checkpoint_dir(spark)}/{spark.sparkContext.applicationId}/ids-{uuid.uuid4().hex}"
-    write_ids(cut(token_ids(docs, path, **how), "zstd"), path, folder)
+    with small_batches(spark):
+        write_ids(cut(token_ids(docs, path, **how), "zstd"), path, folder)
     return read_ids(spark, folder)

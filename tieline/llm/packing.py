@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tieline.functions.lineage import cut
 from tieline.llm.encoding import encoder
-from tieline.llm.text import whole
+from tieline.llm.text import small_batches, whole
 
 LENGTH = 2048
 OPEN = 512  # open bins of a packer
@@ -123,7 +123,8 @@ def pack_documents(docs: DataFrame, path: str, *, doc_id: str = "doc_id", text:
     rows; other columns are not read.
     """
     made = pieces(docs, path, doc_id=doc_id, text=text, length=length, end=end)
-    narrow = cut(made.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
+    with small_batches(docs.sparkSession):
+        narrow = cut(made.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
     return packed(narrow, length=length, **how)
 
 
