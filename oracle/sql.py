@@ -530,6 +530,10 @@ def oracles() -> dict[str, str]:
         "cluster_aggregate": s("aggregate", f"SELECT cluster, {AGG_COLUMNS} FROM aggregate"),
         "features": s("features", f"SELECT cluster, {', '.join(_q(n + '_u', n) for n in POINTS)} FROM features"),
         "signals": s("scored", f"SELECT cluster_id, signal, feature_value, max_points, points, row_number() OVER (PARTITION BY cluster_id ORDER BY p DESC, w) - 1 AS position FROM ({signals})"),
+        "top_breakdown": s("scored", f"""SELECT cluster_id, risk_score, verdict, position, signal, points, max_points
+            FROM (SELECT cluster_id, {_q('risk_u', 'risk_score', 2)}, verdict FROM scored ORDER BY risk_u DESC, cluster_id LIMIT 10)
+            JOIN (SELECT cluster_id, signal, max_points, points, row_number() OVER (PARTITION BY cluster_id ORDER BY p DESC, w) - 1 AS position FROM ({signals}))
+            USING (cluster_id)"""),
         "counter_signals": s("scored", counters),
         "scored_clusters": s("scored", f"SELECT {SCORED_COLUMNS} FROM scored"),
         "scored_at_low_threshold": s("scored20", f"SELECT {SCORED_COLUMNS} FROM scored20"),

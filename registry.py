@@ -16,7 +16,7 @@ from tieline.functions.lineage import clear, cut, keep
 from tieline.operators import (
     audit, baseline, evaluation, incidence, links, reports, reviews, scoring, screening,
 )
-from tieline.plans.detection import LOUVAIN, Detection, member_rows, ranked, run_outcome
+from tieline.plans.detection import LOUVAIN, Detection, member_rows, ranked, run_outcome, top_breakdown
 from tieline.plans.evaluation import Evaluation
 from tieline.sources import adapter, dossier
 from tieline.sources.tables import read_table
@@ -294,6 +294,7 @@ def build() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "signals": _signals,
         "counter_signals": lambda r: d(r).clusters.select("cluster_id", F.explode("counter_signals").alias("s")).select("cluster_id", "s.signal"),
         "scored_clusters": lambda r: ranked(scored(d(r))),
+        "top_breakdown": lambda r: top_breakdown(d(r).clusters),
         "scored_at_low_threshold": lambda r: scored(r.low),
         "run_outcome": lambda r: run_outcome(d(r).clusters),
         "member_contribution": lambda r: member_rows(

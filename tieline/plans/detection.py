@@ -187,6 +187,14 @@ def run_outcome(clusters: DataFrame) -> DataFrame:
     )
 
 
+def top_breakdown(clusters: DataFrame, count: int = 10) -> DataFrame:
+    """The riskiest clusters with every signal of their score, strongest first."""
+    best = clusters.orderBy(F.desc("risk_score"), "cluster_id").limit(count)
+    return best.select("cluster_id", "risk_score", "verdict", F.posexplode("signals").alias("position", "s")).select(
+        "cluster_id", "risk_score", "verdict", "position", "s.signal", "s.points", "s.max_points"
+    )
+
+
 def ranked(clusters: DataFrame) -> DataFrame:
     """Clusters by risk, highest first."""
     return clusters.orderBy(F.desc("risk_score"), "cluster_id")
