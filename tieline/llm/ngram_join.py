@@ -30,12 +30,13 @@ from pyspark.sql import functions as F
 from tieline.functions.lineage import cut
 from tieline.llm.context_tree import BLANK, LOWER, batches_of
 from tieline.llm.pretokens import Spans
-from tieline.llm.text import whole
+from tieline.llm.text import small_batches, whole
 from tieline.operators.components import connected_components
 
 WIDTH = 5  # words of a shingle
 PERCENT = 75
-GROUPS = 64
+GROUPS = 256
+ORDERS = 4  # ways in which members of cells follow each other
 CLASSES = 1 << 18  # counted together to tell frequent shingles
 SLICE = 2048  # points of a tree
 LEAF = 32
@@ -125,27 +126,38 @@ def points(rows: DataFrame, counts: np.ndarray, percent: int = PERCENT) -> DataF
                     rare = np.argsort(sent.value[(s % np.uint64(len(sent.value))).astype(np.int64)], kind="stable")[:few]
                     sizes.append(n)
                     sigs.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                    groups.append(np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=GROUPS))
+                    counts = np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=GROUPS)
+                    most = counts.max(initial=0)
+                    groups.append(counts.astype("<u4" if most >> 16 else "<u2" if most >> 8 else "<u1").tobytes())
                     prefixes.append(s[rare].view(np.int64))
                 flat = lambda x, kind: pa.ListArray.from_arrays(
                     pa.array(np.concatenate([[0], np.cumsum([len(y) for y in x])]), pa.int32()), pa.array(np.concatenate(x), kind))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(start, len(sets)), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary()), flat(groups, pa.int32()), flat(prefixes, pa.int64())],
+                    [batch.column("doc_id").slice(start, len(sets)), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary()), pa.array(groups, pa.binary()), flat(prefixes, pa.int64())],
                     ["doc_id", "n", "sig", "counts", "prefix"])
 
-    return rows.mapInArrow(make, "doc_id bigint, n bigint, sig binary, counts array<int>, prefix array<bigint>")
+    return rows.mapInArrow(make, "doc_id bigint, n bigint, sig binary, counts binary, prefix array<bigint>")
+
+
+def as_points(counts: pa.Array) -> np.ndarray:
+    """Rows of GROUPS counts of one byte each, two or four where one of a row needs them."""
+    cells = counts.to_pylist()
+    if all(len(c) == GROUPS for c in cells):
+        return np.frombuffer(b"".join(cells), "<u1").reshape(-1, GROUPS)
+    return np.array([np.frombuffer(c, f"<u{len(c) // GROUPS}") for c in cells], np.uint32).reshape(-1, GROUPS)
 
 
 def cell_members(entries: DataFrame) -> DataFrame:
-    """(cell, doc, n, before, first) for cells of two members or more; ``entries`` has (cell, doc, n).
+    """(cell, doc, n, place, before, n_before, first, n_first) for cells of two members or more; ``entries`` has (cell, doc, n).
 
-    Members come by size, so one that precedes is close in size; ``before`` and
-    ``first`` are null for the first.  Rows stream in order; none are held back
-    but the last.
+    Members follow each other by one of ORDERS hashes, by cell, so documents that
+    are together in many cells meet a few partners and not always the same one.
+    ``place`` counts them from 0, where ``before`` and ``first`` are null.  Rows
+    stream in order; none are held back but the last.
     """
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # last row, its cell's first member, and the member before it
+        held = None  # the last row, and whether its cell had a row before
         for batch in batches:
             cell, doc, n = (batch.column(c).to_numpy() for c in ("cell", "doc", "n"))
             if not len(cell):
@@ -153,32 +165,29 @@ def cell_members(entries: DataFrame) -> DataFrame:
             before = np.full(len(cell), -1, np.int64)
             before[1:] = np.where(cell[1:] == cell[:-1], np.arange(len(cell) - 1), -1)
             heads = np.maximum.accumulate(np.where(before < 0, np.arange(len(cell)), 0))
-            first, previous = doc[heads], doc[before]
-            alone = before < 0
-            if held is not None and held[0] == cell[0]:  # the cell goes on from the last batch
+            rows = {
+                "cell": cell, "doc": doc, "n": n, "place": np.arange(len(cell)) - heads,
+                "before": doc[before], "n_before": n[before], "first": doc[heads], "n_first": n[heads],
+            }
+            if held is not None and held["cell"][0] == cell[0]:  # the cell goes on from the last batch
                 run = heads == 0
-                first = np.where(run, held[3], first)
-                previous[0], alone[0] = held[1], False
-            follows = np.append(cell[1:] == cell[:-1], False)
-            paired = ~alone | follows
-            if held is not None and (held[4] or held[0] == cell[0]):
-                yield _members([held[0]], [held[1]], [held[2]], [held[5]], [held[3]], [not held[4]])
-            keep = paired.copy()
+                rows["first"], rows["n_first"] = (np.where(run, held[c], rows[c]) for c in ("first", "n_first"))
+                rows["place"] = np.where(run, rows["place"] + held["place"][0] + 1, rows["place"])
+                rows["before"][0], rows["n_before"][0] = held["doc"][0], held["n"][0]
+            if held is not None and (held["place"][0] or held["cell"][0] == cell[0]):
+                yield pa.RecordBatch.from_pydict({c: pa.array(v) for c, v in held.items()})
+            keep = rows["place"] > 0
+            keep[:-1] |= cell[1:] == cell[:-1]
             keep[-1] = False  # whether the last row has a follower is not known yet
-            yield _members(cell[keep], doc[keep], n[keep], previous[keep], first[keep], alone[keep])
-            held = (cell[-1], doc[-1], n[-1], first[-1], not alone[-1], previous[-1])
-        if held is not None and held[4]:
-            yield _members([held[0]], [held[1]], [held[2]], [held[5]], [held[3]], [False])
-
-    ordered = entries.repartition("cell").sortWithinPartitions("cell", "n", "doc")
-    return ordered.mapInArrow(link, "cell bigint, doc bigint, n bigint, before bigint, first bigint")
+            yield pa.RecordBatch.from_pydict({c: pa.array(v[keep]) for c, v in rows.items()})
+            held = {c: v[-1:].copy() for c, v in rows.items()}
+        if held is not None and held["place"][0]:
+            yield pa.RecordBatch.from_pydict({c: pa.array(v) for c, v in held.items()})
 
-
-def _members(cell, doc, n, before, first, alone) -> pa.RecordBatch:
-    mask = np.asarray(alone, bool)
-    arrays = [pa.array(np.asarray(x, np.int64)) for x in (cell, doc, n)]
-    arrays += [pa.array(np.asarray(x, np.int64), mask=mask) for x in (before, first)]
-    return pa.RecordBatch.from_arrays(arrays, ["cell", "doc", "n", "before", "first"])
+    turn = F.xxhash64("doc", F.pmod("cell", F.lit(ORDERS)))
+    ordered = entries.repartition("cell").sortWithinPartitions("cell", turn, "doc")
+    names = ("cell", "doc", "n", "place", "before", "n_before", "first", "n_first")
+    return ordered.mapInArrow(link, ", ".join(f"{c} bigint" for c in names))
 
 
 class Box:
@@ -199,7 +208,7 @@ class Box:
         """Leaves that may hold a linked point of another component."""
         if self.comp == comp or 100 * self.most < percent * size or 100 * size < percent * self.least:
             return
-        if (100 + percent) * np.minimum(self.top, point).sum() < overlap_needed(size, self.least, percent):
+        if (100 + percent) * np.minimum(self.top, point).sum(dtype=np.int64) < overlap_needed(size, self.least, percent):
             return
         if not self.children:
             found.append(self.at)
@@ -216,7 +225,7 @@ def tree_pairs(right: dict[str, np.ndarray], left: dict[str, np.ndarray], percen
         tree.search(point, n, comp, percent, leaves)
         if leaves:
             at = np.concatenate(leaves)
-            shared = np.minimum(right["counts"][at], point).sum(1)
+            shared = np.minimum(right["counts"][at], point).sum(1, dtype=np.int64)
             fits = (100 + percent) * shared >= overlap_needed(n, right["n"][at], percent)
             fits &= right["comp"][at] != comp
             out.extend((doc, other) for other in right["doc"][at[fits]].tolist())
@@ -231,7 +240,7 @@ def searched(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
         rest: dict[str, np.ndarray] | None = None
         for batch in batches:
             now = {c: batch.column(c).to_numpy() for c in names}
-            now["counts"] = batch.column("counts").flatten().to_numpy().reshape(-1, GROUPS)
+            now["counts"] = as_points(batch.column("counts"))
             if rest is not None:
                 now = {c: np.concatenate([rest[c], now[c]]) for c in now}
             change = np.flatnonzero(np.any([now[c][1:] != now[c][:-1] for c in ("cell", "i", "j")], axis=0)) + 1
@@ -261,8 +270,14 @@ def within_bound(pairs: DataFrame, nodes: DataFrame, percent: int = PERCENT) ->
     """Pairs (a, b) whose sum of coordinate minima allows a link."""
     of = lambda side: nodes.select(F.col("doc").alias(side), F.col("n").alias(f"n{side}"), F.col("counts").alias(f"c{side}"))
     both = pairs.join(of("a"), "a").join(of("b"), "b")
-    least = F.aggregate(F.zip_with("ca", "cb", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
-    return both.where((100 + percent) * least >= overlap_needed(F.col("na"), F.col("nb"), percent)).select("a", "b")
+
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            least = np.minimum(as_points(batch.column("ca")), as_points(batch.column("cb"))).sum(1, dtype=np.int64)
+            need = overlap_needed(batch.column("na").to_numpy(), batch.column("nb").to_numpy(), percent)
+            yield batch.select(["a", "b"]).filter(pa.array((100 + percent) * least >= need))
+
+    return both.select("a", "b", "na", "nb", "ca", "cb").mapInArrow(bound, "a bigint, b bigint")
 
 
 BITS = 1 << 24
@@ -278,6 +293,13 @@ def bit_table(docs: DataFrame) -> DataFrame:
     return placed.groupBy(F.shiftright("p", 5).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(p & 31 AS int)))").alias("bits"))
 
 
+def among(rows: DataFrame, doc: str, wanted: DataFrame) -> DataFrame:
+    """Rows whose ``doc`` may be wanted by a bit table: all that are, and few others."""
+    marked = rows.withColumn("p", place(doc)).withColumn("w", F.shiftright("p", 5))
+    marked = marked.join(F.broadcast(cut(bit_table(wanted))), "w")
+    return marked.where("shiftright(bits, cast(p & 31 AS int)) & 1 = 1").select(*rows.columns)
+
+
 def node_rows(some: DataFrame, nodes_of: DataFrame) -> DataFrame:
     """The rows that stand for their set.
 
@@ -294,7 +316,7 @@ def node_rows(some: DataFrame, nodes_of: DataFrame) -> DataFrame:
 
 
 def whole_sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(doc, set) for the wanted ids.
+    """(doc, fine, set) for the wanted ids; ``fine`` is the set's point among 65,536 groups, as a list.
 
     A bit table of fixed size tells the task that reads a text whether it may be
     wanted, so texts need not be shuffled; the few taken in vain join nothing.
@@ -312,17 +334,43 @@ def whole_sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
             for start, sets in _texts(some, spans):
                 for k, s in enumerate(sets):
                     yield pa.RecordBatch.from_arrays(
-                        [some.column("doc_id").slice(start + k, 1), pa.ListArray.from_arrays(pa.array([0, len(s)], pa.int32()), pa.array(s.view(np.int64)))],
-                        ["doc", "set"])
+                        [some.column("doc_id").slice(start + k, 1), pa.array([(s >> np.uint64(48)).astype("<u2").tobytes()], pa.binary()),
+                         pa.ListArray.from_arrays(pa.array([0, len(s)], pa.int32()), pa.array(s.view(np.int64)))],
+                        ["doc", "fine", "set"])
 
-    return rows.withColumn("p", place("doc_id")).mapInArrow(make, "doc bigint, set array<bigint>")
+    return rows.withColumn("p", place("doc_id")).mapInArrow(make, "doc bigint, fine binary, set array<bigint>")
+
+
+def numbered(groups: np.ndarray) -> np.ndarray:
+    """Sorted groups of a set with repeats told apart by number, so that common entries sum the minima."""
+    return groups.astype(np.uint64) << np.uint64(32) | (np.arange(len(groups)) - np.searchsorted(groups, groups)).astype(np.uint64)
 
 
 def verified(rows: DataFrame, pairs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Pairs (a, b) whose whole sets reach the similarity."""
+    """Pairs (a, b) whose whole sets reach the similarity.
+
+    The bound is asked once more among 65,536 groups, where it is close to the
+    truth and takes a quarter of the bytes; whole sets only meet for what is left.
+    """
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
     sets = cut(whole_sets(rows, wanted))
-    both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
+    of = lambda column, side: sets.select(F.col("doc").alias(side), F.col(column).alias(f"s{side}"))
+    close = pairs.join(of("fine", "a"), "a").join(of("fine", "b"), "b")
+
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fits = []
+            for x, y in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist()):
+                x, y = numbered(np.frombuffer(x, "<u2")), numbered(np.frombuffer(y, "<u2"))
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                fits.append((100 + percent) * shared >= overlap_needed(len(x), len(y), percent))
+            yield batch.select(["a", "b"]).filter(pa.array(fits, pa.bool_()))
+
+    left = cut(close.mapInArrow(bound, "a bigint, b bigint").distinct())
+    # only the sets that are still asked for move
+    marked = among(sets, "doc", left.select(F.explode(F.array("a", "b")).alias("doc")))
+    whole_of = lambda side: marked.select(F.col("doc").alias(side), F.col("set").alias(f"s{side}"))
+    both = left.join(whole_of("a"), "a").join(whole_of("b"), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
     return both.where(100 * shared >= percent * (F.size("sa") + F.size("sb") - shared)).select("a", "b").distinct()
 
@@ -337,6 +385,16 @@ def near_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     sets by a 128-bit digest of them; ids must fit a long.
     """
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), whole(text).cast("binary").alias("text"))
+    with small_batches(docs.sparkSession):
+        member, groups = _groups(rows, percent, slice_size)
+    found = member.join(groups, "node", "left")
+    # the smallest id of a component is a node, as nodes are the smallest ids of their sets
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node", "doc_id"))
+    return found.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+
+
+def _groups(rows: DataFrame, percent: int, slice_size: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n, node) of every row, and (node, component) of linked nodes; both are written."""
     made = cut(points(rows, class_counts(rows), percent))
     some = made.where("n > 0 AND doc_id IS NOT NULL")
     nodes_of = cut(some.groupBy("sig").agg(F.min("doc_id").alias("node")))
@@ -347,7 +405,10 @@ def near_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
         some.select(F.col("doc_id").alias("doc"), "n", "counts")
         .join(members.select("doc").distinct(), "doc", "left_semi").dropDuplicates(["doc"])
     )
-    pair = lambda other: members.where(f"{other} != doc").select(F.least("doc", other).alias("a"), F.greatest("doc", other).alias("b"))
+    # the larger of two linked sets is at most 100 / percent times the smaller
+    pair = lambda other: members.where(
+        f"place > 0 AND {other} != doc AND 100 * least(n, n_{other}) >= {percent} * greatest(n, n_{other})"
+    ).select(F.least("doc", other).alias("a"), F.greatest("doc", other).alias("b"))
     near = cut(within_bound(pair("before").unionByName(pair("first")).distinct(), shapes, percent))
     links = cut(verified(rows, near, percent))
     groups = cut(connected_components(links.toDF("src", "dst")))
@@ -357,11 +418,7 @@ def near_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     if not later.isEmpty():
         links = links.unionByName(verified(rows, later, percent))
         groups = cut(connected_components(links.toDF("src", "dst")))
-    named = groups.select(F.col("node"), "component")
-    found = member.join(named, "node", "left")
-    # the smallest id of a component is a node, as nodes are the smallest ids of their sets
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node", "doc_id"))
-    return found.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+    return member, groups.select("node", "component")
 
 
 def _split(members: DataFrame, groups: DataFrame, slice_size: int) -> DataFrame:
@@ -371,7 +428,10 @@ def _split(members: DataFrame, groups: DataFrame, slice_size: int) -> DataFrame:
     all members (side 1, in slices j); every slice of one side meets every slice
     of the other, and none has many more than ``slice_size`` points.
     """
-    placed = members.select("cell", "doc", "n").distinct().join(groups.toDF("doc", "c"), "doc", "left")
+    # cells of up to three members are done: each pair was one with the row before or the first
+    wide = members.where("place = 3").select("cell")
+    held = members.select("cell", "doc", "n").join(wide, "cell", "left_semi")
+    placed = held.join(groups.toDF("doc", "c"), "doc", "left").distinct()
     placed = cut(placed.select("cell", "doc", "n", F.coalesce("c", "doc").alias("comp")))
     sizes = placed.groupBy("cell", "comp").agg(F.count("*").alias("k"))
     cells = cut(
