@@ -161,6 +161,22 @@ def test_few_sequences(spark):
     assert len({r["sequence_id"] for r in rows}) <= 1.01 * sum(r["length"] for r in rows) / 2048 + 1
 
 
+def test_few_sequences_of_a_full_packer(spark):
+    rng = np.random.default_rng(3)
+    sizes = np.concatenate([rng.integers(1100, 1900, 5000), rng.integers(50, 700, 9000)])
+    rows = spark.createDataFrame([(i, n) for i, n in enumerate(sizes.tolist())], "doc_id bigint, length bigint")
+    made = packing.packed(rows).collect()
+    assert len(made) == len(sizes)
+    assert len({r["sequence_id"] for r in made}) <= 1.01 * max(sizes.sum() / 2048, 5000) + 1
+
+
+def test_few_sequences_at_a_larger_size(spark):
+    from tieline.llm import registry
+
+    rows = registry.queries()["op5_packing"](spark, "/root/testdata/sf0.1").collect()
+    assert len({r["sequence_id"] for r in rows}) <= 1.01 * sum(r["length"] for r in rows) / 2048 + 1
+
+
 def test_sequences_hold_their_ids(docs, libraries):
     made = packing.sequences(docs, WORDS).collect()
     total = sum(len(libraries[WORDS].encode(t, add_special_tokens=False).ids) + 1 for _, t, _ in brute.rows_of(docs))

@@ -14,8 +14,7 @@ from tieline.llm.encoding import encoder
 from tieline.llm.text import small_batches, whole
 
 LENGTH = 2048
-OPEN = 512  # open bins of a packer
-GROUP = 16_384  # pieces for a packer, about
+GROUP = 16_384  # pieces for a packer, about, and its open bins
 
 
 def pieces(docs: DataFrame, path: str, *, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, end: int = 0) -> DataFrame:
@@ -91,22 +90,25 @@ class OpenBins:
         return name, self.capacity - free
 
 
-def packed(rows: DataFrame, *, length: int = LENGTH, open_bins: int = OPEN, group: int = GROUP) -> DataFrame:
+def packed(rows: DataFrame, *, length: int = LENGTH, open_bins: int | None = None, group: int = GROUP) -> DataFrame:
     """``rows``, which have their ``length``, with ``sequence_id`` and ``offset``.
 
     Pieces are dealt by hash to packers of about ``group`` pieces each, so their
     number grows with the data and none grows without bound.  A packer takes its
-    pieces as a stream, longest first, ties by the other columns in turn.  Only
-    these rows are shuffled, so they should be narrow.  Numbers of packer and bin
-    together make the sequence id.
+    pieces as a stream, longest first, ties by the other columns in turn.  Unless
+    ``open_bins`` says otherwise, as many bins stay open as a packer has pieces,
+    about: the pieces over half a sequence come first, and each bin they open must
+    still be open when the short pieces come.  Only these rows are shuffled, so
+    they should be narrow.  Numbers of packer and bin together make the sequence id.
     """
+    most = group if open_bins is None else open_bins
     packers = max(1, -(-rows.count() // group))
     names = [c for c in rows.columns if c != "length"]
     dealt = rows.withColumn("_packer", F.pmod(F.xxhash64(*rows.columns), F.lit(packers)).cast("bigint"))
 
     def pack(table: pa.Table) -> pa.Table:
         table = table.sort_by([("length", "descending"), *((c, "ascending") for c in names)])
-        bins = OpenBins(length, open_bins)
+        bins = OpenBins(length, most)
         put = np.array([bins.put(n) for n in table.column("length").to_pylist()], np.int64).reshape(-1, 2)
         first = table.column("_packer").to_numpy() << 32
         table = table.drop_columns("_packer")
