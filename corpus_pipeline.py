@@ -13,7 +13,7 @@ from tieline.llm.text import read_documents
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the quality rules."""
-    return quality_rules.drop_poor(docs)
+    return quality_rules.drop_poor(docs, lang="lang")
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

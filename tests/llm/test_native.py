@@ -50,6 +50,23 @@ def test_quality_filter_keeps_columns(docs):
     assert Counter(r["doc_id"] for r in kept.select("doc_id").collect()) == want
 
 
+def test_clean_texts_in_other_languages(spark):
+    other = " ".join(f"kissa{i} istuu{i * 3} puussa{i * 5}" for i in range(30))
+    rows = [(2, "fi", other), (3, None, other), (4, "en", other)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, lang string, text string")
+    kept = quality_rules.drop_poor(frame, lang="lang").select("doc_id").collect()
+    assert sorted(r["doc_id"] for r in kept) == [2, 3]
+    failed = {r["doc_id"]: r["failed_rules"] for r in quality_rules.judge(frame).select("doc_id", "failed_rules").collect()}
+    assert failed == {i: ["stop words per word"] for i in (2, 3, 4)}
+
+
+def test_no_text_is_too_long(spark):
+    (rule,) = [r for r in quality_rules.RULES if r.name == "length"]
+    counts = spark.createDataFrame([(9,), (10,), (1_000_001,), (1 << 40,)], "n_words bigint")
+    passes = rule.value({"n_words": F.col("n_words")}).between(rule.low, rule.high)
+    assert [r["n_words"] for r in counts.where(passes).collect()] == [10, 1_000_001, 1 << 40]
+
+
 def test_exact_groups(docs):
     texts = defaultdict(list)
     for i, text, _ in brute.rows_of(docs):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -14,6 +15,7 @@ SYMBOLS = "#*$%&|<>"
 WINDOW = 5
 
 # Frequent function words of English, French, Spanish and German.
+LANGUAGES = ("en", "fr", "es", "de")
 STOP_WORDS = (
     "the of and to in is that it for as was with be by on not he his at this are or from an which "
     "de la le les des et en un une du dans que qui pour par est sur au plus pas "
@@ -24,13 +26,18 @@ STOP_WORDS = (
 
 @dataclass(frozen=True)
 class Rule:
-    """A text passes when ``low <= value <= high``; texts under ``from_words`` words are not asked."""
+    """A text passes when ``low <= value <= high``.
+
+    Texts under ``from_words`` words are not asked, nor are texts in other than
+    ``languages``, if any are given and the table names the language of a text.
+    """
 
     name: str
     value: Callable[[dict[str, Column]], Column]
     low: float
     high: float
     from_words: int = 0
+    languages: tuple[str, ...] = ()
 
 
 def per(part: str, of: str) -> Callable[[dict[str, Column]], Column]:
@@ -38,11 +45,11 @@ def per(part: str, of: str) -> Callable[[dict[str, Column]], Column]:
 
 
 RULES = (
-    Rule("length", lambda m: m["n_words"], 10, 1_000_000),
+    Rule("length", lambda m: m["n_words"], 10, math.inf),
     Rule("mean word length", per("word_chars", "n_words"), 2, 12),
     Rule("symbols per word", per("n_symbols", "n_words"), 0, 0.1),
     Rule("capitals per character", per("n_capitals", "word_chars"), 0, 0.4, 20),
-    Rule("stop words per word", per("n_stop_words", "n_words"), 0.01, 1, 50),
+    Rule("stop words per word", per("n_stop_words", "n_words"), 0.01, 1, 50, LANGUAGES),
     Rule("repeated lines per line", per("n_dup_lines", "n_lines"), 0, 0.5, 20),
 )
 
@@ -103,16 +110,22 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
     return made.withColumns({k: held(v) for k, v in counts.items()}).drop("_w", "_lines", "_h")
 
 
-def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, *, text: str = "text", reasons: bool = True) -> DataFrame:
+def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, *, text: str = "text", lang: str | None = None, reasons: bool = True) -> DataFrame:
     """``docs`` with the counts, ``base_failed``, ``kept`` and the names of failed rules.
 
+    ``lang`` names the column with the language of a text; a rule for some
+    languages is then asked of texts in these only, not where the language is
+    another or null.  Without it such a rule is asked of every text, so from 50
+    words on clean text in a language without listed stop words fails.  No text
+    fails because it is long.
     A null or empty text has no words, so it fails.  Ties with a threshold pass.
     Repeated rows get equal verdicts, no rows give no rows, and other columns
     pass through unless they have the name of a count, which is replaced.
     """
     made = measures(docs, text)
     m = {c: F.col(c) for c in made.columns}
-    fails = [(m["n_words"] >= r.from_words) & ~r.value(m).between(r.low, r.high) for r in rules]
+    asked = lambda r: F.coalesce(m[lang].isin(*r.languages), F.lit(False)) if lang and r.languages else F.lit(True)
+    fails = [asked(r) & (m["n_words"] >= r.from_words) & ~r.value(m).between(r.low, r.high) for r in rules]
     base = (m["n_words"] < 10) | (100 * m["n_repeat_words"] > 20 * m["n_words"])
     any_fails = base
     for f in fails:
@@ -127,6 +140,8 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, *, text: str = "text
 def drop_poor(docs: DataFrame, **how) -> DataFrame:
     """The rows of ``docs`` that pass, with their own columns only."""
     # names of counts may clash with columns of the table, so it passes through as one struct
-    text = how.pop("text", "text")
-    packed = docs.select(F.struct(*docs.columns).alias("_row"), F.col(text).alias("_text"))
-    return judge(packed, text="_text", reasons=False, **how).where("kept").select("_row.*")
+    text, lang = how.pop("text", "text"), how.pop("lang", None)
+    packed = docs.select(
+        F.struct(*docs.columns).alias("_row"), F.col(text).alias("_text"), *([F.col(lang).alias("_lang")] if lang else [])
+    )
+    return judge(packed, text="_text", lang="_lang" if lang else None, reasons=False, **how).where("kept").select("_row.*")

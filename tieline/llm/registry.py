@@ -38,8 +38,8 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_documents(spark, sf_dir).select("doc_id", "text")
-    return quality_rules.judge(docs, reasons=False).drop("text")
+    docs = read_documents(spark, sf_dir).select("doc_id", "text", "lang")
+    return quality_rules.judge(docs, lang="lang", reasons=False).drop("text", "lang")
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
