@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm import brute
+from tieline.functions.lineage import cut
 from tieline.llm import exact_dedup, mixing, quality_rules, registry, sharding, sql
 
 QUERIES = registry.queries()
@@ -149,6 +150,34 @@ def test_permutation_is_one(spark):
     assert found != sorted(found)
 
 
+def test_sources_stay_off_the_driver(spark, monkeypatch):
+    rows = [(i, f"source {i % 300}", " ".join(f"w{i}x{k}" for k in range(100 + i % 7))) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, source string, text string")
+    seen, plain = [], type(docs).collect
+
+    def collect(self):
+        found = plain(self)
+        seen.extend(found)
+        return found
+
+    with monkeypatch.context() as m:
+        m.setattr(type(docs), "collect", collect)
+        made = mixing.mixture(docs)
+    assert len(seen) < 10 and not any(isinstance(v, list) for r in seen for v in r)
+    slots = made["slots"].collect()
+    assert sorted(r["slot"] for r in slots) == list(range(len(slots)))
+    words = sum(len(t.split()) for _, _, t in rows)
+    assert len({r["rank"] for r in slots}) == 300 and abs(len(slots) * mixing.BLOCK - words) < 300 * mixing.BLOCK
+
+
+def test_inverse_permutation(spark):
+    for n in (1, 17, 1000):
+        rows = spark.range(n).withColumns({"of": F.lit(n).cast("bigint"), "to": F.col("id")})
+        there = cut(mixing.permuted(rows, "to", "of", F.lit(3)))
+        back = mixing.permuted(there, "to", "of", F.lit(3), inverse=True).collect()
+        assert len(back) == n and all(r["id"] == r["to"] for r in back)
+
+
 def test_mixed_documents_hold_what_is_taken(docs):
     mixed = mixing.mixed_documents(docs)
     assert mixed.columns == docs.columns

@@ -10,19 +10,21 @@ from tieline.llm.text import WORD, running_sums, whole, words
 
 BLOCK = 32  # words
 SHARD = 4096  # blocks drawn for an output shard
+SLICE = 4096  # draws of a source made into rows together
 ROUNDS = 12
 WEIGHTS = (5, 2, 1)
 MOST = 3  # times a source may be used
 
 
-def permuted(rows: DataFrame, index: str, size: str, seed: Column, rounds: int = ROUNDS) -> DataFrame:
-    """Replace ``index`` in 0..size-1 by its image under a pseudorandom permutation.
+def permuted(rows: DataFrame, index: str, size: str, seed: Column, rounds: int = ROUNDS, inverse: bool = False) -> DataFrame:
+    """Replace ``index`` in 0..size-1 by its image under a pseudorandom permutation, or the inverse of it.
 
     The swap-or-not shuffle: each round pairs x with (key - x) mod size and
     exchanges the two or not by one hash bit of the larger, so every round and
-    all of them together map the range onto itself, whatever its size.
+    all of them together map the range onto itself, whatever its size.  A round
+    undoes itself, so the inverse takes them in turn from the last.
     """
-    for r in range(rounds):
+    for r in reversed(range(rounds)) if inverse else range(rounds):
         key = F.pmod(F.xxhash64(seed, F.lit(r)), F.col(size))
         rows = rows.withColumn("_other", F.pmod(key - F.col(index), F.col(size)))
         swap = F.xxhash64(seed, F.lit(r), F.greatest(index, "_other")).bitwiseAND(1) == 1
@@ -102,23 +104,19 @@ def mixture(
     )
     total = shares.agg(F.max("upto")).first()[0] or 0
     spark = docs.sparkSession
-    slots = spark.range(total).select(F.col("id").alias("slot"), F.col("id").alias("draw"), F.lit(max(total, 1)).alias("of"))
-    slots = permuted(slots, "draw", "of", F.lit(seed))
-    # as many rows as there are sources: an interval lookup by sorted search
-    bounds = shares.where("draws > 0").select("rank", "blocks", "draws", "upto")
-    table = bounds.agg(F.array_sort(F.collect_list(F.struct("upto", "rank", "blocks", "draws"))).alias("table"))
-    none = [{"upto": 0, "rank": 0, "blocks": 1, "draws": 0}]  # nothing to draw: no slot asks
-    one = table.first()["table"] if total else none
-    uptos = F.array(*[F.lit(r["upto"]) for r in one]).cast("array<bigint>")
-    found = F.size(F.filter(uptos, lambda u: u <= F.col("draw")))
-    pick = lambda f: F.element_at(F.array(*[F.lit(r[f]) for r in one]).cast("array<bigint>"), F.col("at") + 1)
-    slots = (
-        slots.withColumn("at", found)
-        .withColumn("rank", pick("rank").cast("int"))
-        .withColumn("k", F.col("draw") - pick("upto") + pick("draws"))
-        .withColumn("blocks", pick("blocks"))
-        .withColumn("block", F.pmod("k", "blocks"))
+    # each draw of a source becomes a row, in slices so that a large source is not one task's; the
+    # inverse permutation tells its slot
+    drawn = shares.where("draws > 0").select(
+        "rank", "blocks", "draws", (F.col("upto") - F.col("draws")).alias("low"),
+        F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(draws - 1) div {SLICE}"))).alias("part"),
     )
+    tasks = max(spark.sparkContext.defaultParallelism, total >> 20)
+    until = F.least((F.col("part") + 1) * SLICE, "draws") - 1
+    slots = drawn.repartition(tasks, "rank", "part").select(
+        "rank", "blocks", "low", F.explode(F.sequence(F.col("part") * SLICE, until)).alias("k")
+    )
+    slots = slots.withColumn("slot", F.col("low") + F.col("k")).withColumn("of", F.lit(max(total, 1)).cast("bigint"))
+    slots = permuted(slots, "slot", "of", F.lit(seed), inverse=True).withColumn("block", F.pmod("k", "blocks"))
     slots = permuted(slots, "block", "blocks", F.xxhash64(F.lit(seed), "rank"))
     # written, because filters pushed through the rounds would double with each of them
     slots = cut(slots.select("slot", F.floor(F.col("slot") / shard).alias("shard"), "rank", "block"))
