@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 import public_tokenizers
 import corpus_pipeline
 from tieline.llm import (
-    context_tree, exact_dedup, huffman, mixing, ngram_join, packing, pair_ranking, quality_rules, sharding, sql,
-    token_counts,
+    context_tree, exact_dedup, huffman, mixing, ngram_join, packing, pair_ranking, periodic_runs, quality_rules, sharding,
+    sql, token_counts,
 )
 from tieline.llm.text import read_documents
 
@@ -67,6 +67,19 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(read_documents(spark, sf_dir), keep="largest")
 
 
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_documents(spark, sf_dir).select("doc_id", periodic_runs.repeated_text().alias("text"))
+    found = periodic_runs.periodic_runs(docs).withColumn("best", periodic_runs.strongest(F.col("runs")))
+    told = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    best = [F.col("best")[name].alias(name) for name in ("start", "length", "period")]
+    return found.select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), *best,
+        F.floor(1000 * F.col("best")["length"] / F.col("best")["period"]).alias("exponent_milli"),
+        F.sha2(F.concat(F.array_join(told, "\n"), F.when(F.size("runs") > 0, "\n").otherwise("")), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_quality_ranking": op1,
@@ -79,6 +92,7 @@ def queries() -> dict[str, Query]:
         "op8_sharding": op8,
         "op9_mixing": op9,
         "op10_exact_dedup": op10,
+        "op11_periodic_runs": op11,
         "pipeline": corpus_pipeline.run,
     }
 
