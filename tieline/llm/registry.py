@@ -11,7 +11,7 @@ import public_tokenizers
 import corpus_pipeline
 from tieline.llm import (
     context_tree, exact_dedup, huffman, mixing, ngram_join, packing, pair_ranking, periodic_runs, quality_rules, sharding,
-    sql, token_counts,
+    sql, token_counts, whitening,
 )
 from tieline.llm.text import read_documents
 
@@ -80,6 +80,10 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_quality_ranking": op1,
@@ -93,6 +97,7 @@ def queries() -> dict[str, Query]:
         "op9_mixing": op9,
         "op10_exact_dedup": op10,
         "op11_periodic_runs": op11,
+        "op12_whitening": op12,
         "pipeline": corpus_pipeline.run,
     }
 
