@@ -11,7 +11,7 @@ import public_tokenizers
 import corpus_pipeline
 from tieline.llm import (
     context_tree, exact_dedup, huffman, mixing, ngram_join, packing, pair_ranking, periodic_runs, quality_rules, sharding,
-    sql, token_counts, whitening,
+    sql, token_counts, toxicity, whitening,
 )
 from tieline.llm.text import read_documents
 
@@ -84,6 +84,13 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_documents(spark, sf_dir).select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(fold(3) != 1)
+    found = toxicity.score(docs, toxicity.fit(docs, labels))
+    return found.select("doc_id", F.coalesce(fold(3) == 1, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_quality_ranking": op1,
@@ -98,6 +105,7 @@ def queries() -> dict[str, Query]:
         "op10_exact_dedup": op10,
         "op11_periodic_runs": op11,
         "op12_whitening": op12,
+        "op13_toxicity": op13,
         "pipeline": corpus_pipeline.run,
     }
 
