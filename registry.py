@@ -287,7 +287,7 @@ def build() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "join_paths": lambda r: d(r).join_paths,
         "louvain": lambda r: r.louvain.members,
         "stability": lambda r: r.louvain.stability,
-        "louvain_clusters": lambda r: r.louvain.clusters.select(*SCORED, "stability"),
+        "louvain_clusters": lambda r: r.louvain.clusters.join(r.louvain.convergence, "cluster").select(*SCORED, "stability", "converged"),
         # behaviour and score
         "cluster_aggregate": lambda r: d(r).aggregates,
         "features": lambda r: d(r).features.select("cluster", *FEATURES),

@@ -300,6 +300,102 @@ def test_louvain_by_joins_matches_the_sequential_visit(spark):
     assert groups(louvain_communities(edges_of(spark, rows), by_joins, "n005")) == sequential_louvain(rows, start="n005")
 
 
+def jobs_of(spark, work):
+    context = spark.sparkContext
+    context.setJobGroup("counted", "counted")
+    before = len(context.statusTracker().getJobIdsForGroup("counted"))
+    result = work()
+    context.setLocalProperty("spark.jobGroup.id", None)
+    return result, len(context.statusTracker().getJobIdsForGroup("counted")) - before
+
+
+def test_runs_of_one_graph_are_found_together(spark, monkeypatch):
+    from tieline.operators import louvain
+
+    rows = random_edges(3, 45, 70)
+    edges = edges_of(spark, rows)
+    calls = []
+    real = louvain.connected_components
+    monkeypatch.setattr(louvain, "connected_components", lambda e: calls.append(1) or real(e))
+    starts = [None, "n011", "n020", "n033"]
+    found, four = jobs_of(spark, lambda: louvain.louvain_runs(edges, DetectConfig(), starts).collect())
+    _, single = jobs_of(spark, lambda: louvain.louvain_runs(edges, DetectConfig(), [None]).collect())
+    assert len(calls) == 2 and four <= single + 2
+    for run, start in enumerate(starts):
+        got = {}
+        for r in found:
+            if r.run == run:
+                got.setdefault(r.cluster, []).append(r.entity_id)
+        assert sorted(sorted(m) for m in got.values()) == sequential_louvain(rows, start=start)
+    assert all(r.converged for r in found)
+
+
+@pytest.mark.parametrize("limit", [200_000, 1])
+def test_a_run_out_of_passes_is_told(spark, limit):
+    from tieline.operators.louvain import louvain_runs
+
+    config = DetectConfig(louvain_passes=1, max_group_rows=limit)
+    apart = [("y1", "y2", 1, "dz")]
+    found = louvain_runs(edges_of(spark, BRIDGED + apart), config, [None]).collect()
+    # the first pass always moves somebody, so no component can be known to be at rest
+    assert {"a2", "a3", "b2", "b3", "y1", "y2"} <= {r.entity_id for r in found} and not any(r.converged for r in found)
+
+
+def test_dense_component_ends(spark):
+    from tieline.operators.louvain import louvain_runs
+
+    n = 1000
+    names = spark.range(n).select(F.format_string("n%04d", "id").alias("src"))
+    pairs = names.join(names.select(F.col("src").alias("dst")), F.col("src") < F.col("dst")).select(
+        "src", "dst", F.lit("SHARES_DEVICE").alias("type"), F.lit(1).cast("decimal(9,4)").alias("weight"), F.lit("v").alias("via")
+    ).where((F.xxhash64("src", "dst") % 3) == 0)
+    found = louvain_runs(pairs, DetectConfig(), [None])
+    assert found.count() == n and found.where("converged is null").count() == 0
+
+
+# --- join paths -----------------------------------------------------------------------
+def breadth_first(rows, root):
+    near = {}
+    for a, b, *_ in rows:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    level, queue = {root: 0}, [root]
+    for node in queue:
+        for other in sorted(near[node]):
+            if other not in level:
+                level[other] = level[node] + 1
+                queue.append(other)
+    return level
+
+
+def test_long_chain_needs_no_round_a_level(spark):
+    rows = [(f"n{i:04d}", f"n{i + 1:04d}", 1, "v") for i in range(4_999)]
+    inside = edges_of(spark, rows).withColumn("cluster", F.lit("n0000"))
+    members = spark.range(5_000).select(F.lit("n0000").alias("cluster"), F.format_string("n%04d", "id").alias("entity_id"))
+    found, jobs = jobs_of(spark, lambda: components.join_paths(inside, members).collect())
+    assert jobs <= 30 and len(found) == 5_000
+    assert all(r.level == int(r.entity_id[1:]) for r in found)
+
+
+@pytest.mark.parametrize("seed", [4])
+def test_contracted_components_keep_their_levels(spark, seed):
+    from tieline.operators.levels import hop_levels
+
+    rng = random.Random(seed)
+    names = [f"n{i:03d}" for i in range(120)]
+    rows = [(names[rng.randrange(max(0, i - 12), i)], names[i]) for i in range(1, 90)]
+    rows += [(names[i], names[i + 1]) for i in range(89, 119)]
+    rows += [tuple(sorted(rng.sample(names[:90], 2))) for _ in range(12)]
+    core = [("n000", f"x{i}") for i in range(6)] + [(f"x{i}", f"x{j}") for i in range(6) for j in range(i)]
+    links = spark.createDataFrame(
+        [("n000", a, b) for a, b in rows + core] + [("n000", b, a) for a, b in rows + core], "cluster string, node string, neighbour string"
+    )
+    want = breadth_first(rows + core, "n000")
+    for limit in (60, 100_000):
+        got = hop_levels(links, limit).collect()
+        assert len(got) == len(want) and {r.node: r.level for r in got} == want
+
+
 def test_community_join_paths(spark):
     edges = edges_of(spark, BRIDGED)
     members = louvain_communities(edges)
@@ -324,12 +420,14 @@ def members_of(spark, found):
 
 def test_stability(spark):
     pair = members_of(spark, {"a": ["a", "b"]})
-    assert float(stability(pair, [pair, pair]).first().stability) == 1
-    split = members_of(spark, {"a": ["a"]})
-    assert float(stability(pair, [split]).first().stability) == 0.5
-    elsewhere = members_of(spark, {"x": ["x", "y"]})
-    assert float(stability(pair, [pair, elsewhere]).first().stability) == 0.5
-    assert float(stability(pair, []).first().stability) == 1
+
+    def mean(*runs):
+        tagged = [(n, c, m) for n, run in enumerate(runs) for c, group in run.items() for m in group]
+        frame = spark.createDataFrame(tagged, "run int, cluster string, entity_id string")
+        return float(stability(pair, frame, len(runs)).first().stability)
+
+    same, split, elsewhere = {"a": ["a", "b"]}, {"a": ["a"]}, {"x": ["x", "y"]}
+    assert [mean(same, same), mean(split), mean(same, elsewhere), mean()] == [1, 0.5, 0.5, 1]
 
 
 def test_overlaps_only_compare_groups_that_meet(spark):

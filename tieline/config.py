@@ -32,9 +32,10 @@ class DetectConfig:
     list_default: int = 50
     list_ceiling: int = 200
 
-    # Links of a component that one Python worker visits in turn; larger
-    # components are visited by joins, with the same result.
-    max_group_rows: int = 200_000
+    # Links of a component that one Python worker searches or visits in turn
+    # (about 300 bytes each); larger components are contracted or visited by
+    # joins, with the same result.
+    max_group_rows: int = 2_000_000
 
 
 @dataclass(frozen=True)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tieline.config import DetectConfig
 from tieline.functions.fixed import half_up, scaled, units
 from tieline.functions.lineage import cut, keep
+from tieline.operators.levels import hop_levels
 from tieline.operators.links import adjacency
 
 
@@ -140,40 +141,31 @@ def join_paths(inside: DataFrame, members: DataFrame, config: DetectConfig = Det
     """How each member of a component joined: breadth-first from its smallest id.
 
     The parent is the heaviest link from the previous level, then the smallest
-    id and kind.  One round per level, each only over the links that still lead
-    to members not reached.
+    id and kind.  Levels come from ``hop_levels``; parents are then one
+    aggregate over the links between neighbouring levels.
     """
     ways = cut(
         adjacency(inside.where(F.col("weight") >= F.lit(config.min_edge_weight)))
         .join(members.select(F.col("entity_id").alias("node"), "cluster"), "node")
     )
-    seeds = members.where(F.col("entity_id") == F.col("cluster")).select(
-        F.col("entity_id").alias("node"), F.lit(0).alias("level"), F.lit("seed").alias("joined_via")
+    levels = cut(hop_levels(ways, config.max_group_rows))
+    at = levels.select("node", "level")
+    by = F.min_by(F.struct("neighbour", "type", "weight", "via"), F.struct(-F.col("weight"), F.col("neighbour"), F.col("type")))
+    parents = (
+        ways.join(at, "node")
+        .join(at.toDF("neighbour", "before"), "neighbour")
+        .where(F.col("before") == F.col("level") - 1)
+        .groupBy("node").agg(by.alias("by"))
+        .select("node", "by.*")
+        .select(F.col("node").alias("entity_id"), _join_text(F.col("neighbour")).alias("joined_via"))
     )
-    reached = [cut(seeds)]
-    ways = cut(ways.join(seeds.select(F.col("node").alias("neighbour")), "neighbour", "left_anti"))
-    while True:
-        frontier = reached[-1]
-        step = ways.join(frontier.select("node", "level"), "node")
-        best = F.min_by(
-            F.struct("node", "type", "weight", "via", "level"),
-            F.struct(-F.col("weight"), F.col("node"), F.col("type")),
-        )
-        found = cut(
-            step.groupBy("neighbour").agg(best.alias("by")).select(
-                F.col("neighbour").alias("node"), "by.type", "by.weight", "by.via",
-                F.col("by.node").alias("parent"), (F.col("by.level") + 1).alias("level"),
-            ).select("node", "level", _join_text(F.col("parent")).alias("joined_via"))
-        )
-        if found.isEmpty():
-            break
-        reached.append(found)
-        ways = cut(ways.join(found.select(F.col("node").alias("neighbour")), "neighbour", "left_anti"))
-    steps = reached[0]
-    for more in reached[1:]:
-        steps = steps.union(more)
-    return members.join(steps.withColumnRenamed("node", "entity_id"), "entity_id").select(
-        "cluster", "entity_id", "level", "joined_via"
+    level = F.when(F.col("entity_id") == F.col("cluster"), 0).otherwise(F.col("level")).cast("int")
+    seed = F.when(F.col("entity_id") == F.col("cluster"), F.lit("seed"))
+    return (
+        members.join(at.withColumnRenamed("node", "entity_id"), "entity_id", "left")
+        .join(parents, "entity_id", "left")
+        .select("cluster", "entity_id", level.alias("level"), F.coalesce(seed, "joined_via").alias("joined_via"))
+        .where(F.col("level").isNotNull())
     )
 
 

@@ -25,9 +25,10 @@ from tieline.functions.fixed import units
 from tieline.functions.lineage import cut
 from tieline.functions.ranking import global_rank
 from tieline.operators.components import connected_components
+from tieline.operators.levels import packed
 from tieline.operators.links import adjacency
 
-_SEQUENTIAL_SCHEMA = "node string, community string"
+_VISITED = "run int, node string, community string, converged boolean"
 
 
 def rotated_starts(accounts: DataFrame, runs: int) -> list[str]:
@@ -51,6 +52,16 @@ def louvain_communities(
 
     A community is named by its smallest member.  ``start`` rotates the order.
     """
+    return louvain_runs(edges, config, [start]).select("cluster", "entity_id")
+
+
+def louvain_runs(edges: DataFrame, config: DetectConfig, starts: list[str | None]) -> DataFrame:
+    """(run, cluster, entity_id, converged): one run for each start, over one adjacency.
+
+    Components and links are found and dealt once; a task visits each of its
+    components once a run.  ``converged`` tells, for the component a community
+    lies in, whether a pass without a move came within the pass limit.
+    """
     ways = adjacency(edges).select("node", "neighbour", "type", units(F.col("weight")).alias("weight"))
     ways = cut(
         ways.join(connected_components(edges), "node").select("component", "node", "neighbour", "type", "weight")
@@ -58,42 +69,36 @@ def louvain_communities(
     sizes = cut(ways.groupBy("component").agg(F.count("*").alias("rows"), F.sum("weight").alias("weight")))
     totals = sizes.agg(F.sum("rows").alias("rows"), F.sum("weight").alias("weight")).first()
     if not totals["weight"]:
-        return ways.select(F.col("component").alias("cluster"), F.col("node").alias("entity_id")).limit(0)
+        none = F.lit(0).alias("run"), F.col("component").alias("cluster"), F.col("node").alias("entity_id"), F.lit(True).alias("converged")
+        return ways.select(*none).limit(0)
 
-    small = sizes.where(F.col("rows") <= config.max_group_rows)
-    groups = max(1, -(-totals["rows"] // config.max_group_rows) * 4)
-    packed = ways.join(small.select("component"), "component", "left_semi").withColumn(
-        "pack", F.pmod(F.xxhash64("component"), F.lit(groups))
-    )
-    visit = _sequential(int(totals["weight"]), config.louvain_passes, start)
-    assigned = packed.groupBy("pack").applyInPandas(visit, _SEQUENTIAL_SCHEMA)
+    limit = config.max_group_rows
+    small = sizes.where(F.col("rows") <= limit).select("component")
+    dealt = packed(ways.join(small, "component", "left_semi"), "component", limit, totals["rows"])
+    visit = _sequential(int(totals["weight"]), config.louvain_passes, starts)
+    assigned = dealt.groupBy("pack").applyInPandas(visit, _VISITED)
 
-    large = sizes.where(F.col("rows") > config.max_group_rows)
+    large = sizes.where(F.col("rows") > limit)
     if not large.isEmpty():
         wide = cut(ways.join(large.select("component"), "component", "left_semi"))
-        assigned = assigned.union(_by_joins(wide, int(totals["weight"]), config.louvain_passes, start))
+        for run, start in enumerate(starts):
+            assigned = assigned.union(_by_joins(wide, int(totals["weight"]), config.louvain_passes, start, run))
 
     assigned = cut(assigned)
-    named = assigned.groupBy("community").agg(F.min("node").alias("cluster"), F.count("*").alias("size"))
+    named = assigned.groupBy("run", "community").agg(F.min("node").alias("cluster"), F.count("*").alias("size"))
     return cut(
-        assigned.join(named.where(F.col("size") >= config.min_cluster_size), "community").select(
-            "cluster", F.col("node").alias("entity_id")
+        assigned.join(named.where(F.col("size") >= config.min_cluster_size), ["run", "community"]).select(
+            "run", "cluster", F.col("node").alias("entity_id"), "converged"
         )
     )
 
 
-def _sequential(two_m: int, passes: int, start: str | None):
-    """The visit over one group of whole components."""
+def _sequential(two_m: int, passes: int, starts: list[str | None]):
+    """The visits over one group of whole components, component by component."""
 
-    def visit(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["node", "neighbour", "type"], kind="stable")
-        links: dict[str, list[tuple[str, int]]] = {}
-        for node, neighbour, weight in zip(rows["node"], rows["neighbour"], rows["weight"].astype(int)):
-            links.setdefault(node, []).append((neighbour, int(weight)))
-        order = sorted(links, key=lambda n: (start is not None and n < start, n))
-        strength = {n: sum(w for _, w in links[n]) for n in order}
+    def one(order: list[str], links: dict[str, list[tuple[str, int]]], strength: dict[str, int]) -> tuple[dict[str, str], bool]:
         community = {n: n for n in order}
-        total = dict(strength)
+        total = {n: strength[n] for n in order}
         for _ in range(passes):
             moved = False
             for node in order:
@@ -113,13 +118,30 @@ def _sequential(two_m: int, passes: int, start: str | None):
                     community[node] = best
                     moved = True
             if not moved:
-                break
-        return pd.DataFrame({"node": order, "community": [community[n] for n in order]}, dtype=object)
+                return community, True
+        return community, False
+
+    def visit(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["node", "neighbour", "type"], kind="stable")
+        links: dict[str, list[tuple[str, int]]] = {}
+        inside: dict[str, list[str]] = {}
+        for component, node, neighbour, weight in zip(rows["component"], rows["node"], rows["neighbour"], rows["weight"]):
+            if node not in links:
+                inside.setdefault(component, []).append(node)
+            links.setdefault(node, []).append((neighbour, int(weight)))
+        strength = {n: sum(w for _, w in near) for n, near in links.items()}
+        found = []
+        for run, start in enumerate(starts):
+            for nodes in inside.values():
+                order = nodes if start is None else sorted(nodes, key=lambda n: (n < start, n))
+                community, converged = one(order, links, strength)
+                found += [(run, n, community[n], converged) for n in order]
+        return pd.DataFrame(found, columns=["run", "node", "community", "converged"])
 
     return visit
 
 
-def _by_joins(ways: DataFrame, two_m: int, passes: int, start: str | None) -> DataFrame:
+def _by_joins(ways: DataFrame, two_m: int, passes: int, start: str | None, run: int) -> DataFrame:
     """The same visit for components of any size.
 
     A node reads and writes only the communities it touches: its own and its
@@ -131,6 +153,7 @@ def _by_joins(ways: DataFrame, two_m: int, passes: int, start: str | None) -> Da
     strength = ways.groupBy("node").agg(F.sum("weight").alias("strength"))
     state = cut(strength.select("node", "strength", F.col("node").alias("community")))
     exact = lambda c: c.cast("decimal(38,0)")
+    restless = None
     for _ in range(passes):
         waiting = cut(state.select("node"))
         at_start = state
@@ -184,6 +207,11 @@ def _by_joins(ways: DataFrame, two_m: int, passes: int, start: str | None) -> Da
         changed = state.join(at_start.select("node", F.col("community").alias("was")), "node").where(
             F.col("community") != F.col("was")
         )
-        if changed.isEmpty():
+        restless = cut(changed.join(ways.select("component", "node").distinct(), "node").select("component").distinct())
+        if restless.isEmpty():
             break
-    return state.select("node", "community")
+    homes = ways.select("component", "node").distinct()
+    moving = homes.join(restless.withColumn("converged", F.lit(False)), "component", "left").select("node", "converged")
+    return state.join(moving, "node").select(
+        F.lit(run).alias("run"), "node", "community", F.coalesce("converged", F.lit(True)).alias("converged")
+    )

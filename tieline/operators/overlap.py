@@ -37,26 +37,23 @@ def overlaps(left: DataFrame, right: DataFrame) -> DataFrame:
     )
 
 
-def stability(members: DataFrame, perturbed: list[DataFrame]) -> DataFrame:
-    """Mean over perturbed runs of each cluster's best overlap; a run without any counts 0."""
+def stability(members: DataFrame, runs: DataFrame, count: int) -> DataFrame:
+    """Mean over ``count`` perturbed runs of each cluster's best overlap; a run without any counts 0.
+
+    ``runs`` has (run, cluster, entity_id); the run is part of the group, so one
+    join serves all of them.
+    """
     groups = members.select(F.col("cluster").alias("group"), F.col("entity_id").alias("member"))
     clusters = members.select("cluster").distinct()
-    if not perturbed:
+    if not count:
         return clusters.withColumn("stability", F.lit(1).cast("decimal(9,4)"))
-    runs = None
-    for number, run in enumerate(perturbed):
-        # the run number is part of the group, so one join serves all runs
-        tagged = run.select(
-            F.struct(F.lit(number).alias("run"), F.col("cluster")).alias("group"),
-            F.col("entity_id").alias("member"),
-        )
-        runs = tagged if runs is None else runs.union(tagged)
+    tagged = runs.select(F.struct("run", "cluster").alias("group"), F.col("entity_id").alias("member"))
     best = (
-        overlaps(groups, runs)
+        overlaps(groups, tagged)
         .groupBy(F.col("left_group").alias("cluster"), "right_group.run")
         .agg(F.max("overlap").alias("best"))
         .groupBy("cluster")
         .agg(F.sum("best").alias("total"))
     )
-    mean = scaled(half_up(units(F.coalesce("total", F.lit(0).cast("decimal(9,4)"))), len(perturbed)), 4)
+    mean = scaled(half_up(units(F.coalesce("total", F.lit(0).cast("decimal(9,4)"))), count), 4)
     return clusters.join(best, "cluster", "left").select("cluster", mean.alias("stability"))

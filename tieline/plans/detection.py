@@ -13,7 +13,7 @@ from tieline.functions.ids import digest_id
 from tieline.functions.lineage import cut, keep
 from tieline.operators import aggregate, components, incidence, links, scoring, screening
 from tieline.operators.features import extract_features
-from tieline.operators.louvain import louvain_communities, rotated_starts
+from tieline.operators.louvain import louvain_runs, rotated_starts
 from tieline.operators.overlap import stability
 from tieline.sources.tables import Activity
 
@@ -74,7 +74,7 @@ class Detection:
     def members(self) -> DataFrame:
         """(cluster, entity_id)"""
         if self.method == LOUVAIN:
-            return louvain_communities(self.edges, self.config)
+            return self.louvain_runs.where("run = 0").select("cluster", "entity_id")
         spanning = links.spanning_links(self.guarded, self.config)
         return cut(components.clusters_of(components.connected_components(spanning), self.config))
 
@@ -100,14 +100,27 @@ class Detection:
             return components.community_join_paths(self.inside, self.members)
         return components.join_paths(self.inside, self.members, self.config)
 
+    @cached_property
+    def rotations(self) -> list[str]:
+        """Nodes that the perturbed runs start from."""
+        return rotated_starts(self.activity.accounts, self.config.stability_runs) if self.config.stability_runs else []
+
+    @cached_property
+    def louvain_runs(self) -> DataFrame:
+        """Run 0 in id order and the perturbed runs, over one contraction and one adjacency."""
+        return louvain_runs(self.edges, self.config, [None, *self.rotations])
+
     @cached_property
     def stability(self) -> DataFrame | None:
         """Only measured for Louvain; components do not depend on node order."""
-        if self.method != LOUVAIN or self.config.stability_runs == 0:
+        if self.method != LOUVAIN or not self.rotations:
             return None
-        starts = rotated_starts(self.activity.accounts, self.config.stability_runs)
-        runs = [louvain_communities(self.edges, self.config, start) for start in starts]
-        return stability(self.members, runs)
+        return stability(self.members, self.louvain_runs.where("run > 0"), len(self.rotations))
+
+    @cached_property
+    def convergence(self) -> DataFrame:
+        """(cluster, converged) of Louvain clusters."""
+        return self.louvain_runs.where("run = 0").groupBy("cluster").agg(F.every("converged").alias("converged"))
 
     # --- behaviour -----------------------------------------------------------
     @cached_property
