@@ -297,7 +297,7 @@ def covering(rows: list[tuple[str, list[int], int]], toxic: int, most: int = COV
     chosen: list[str] = []
     while left and len(chosen) < most:
         gain, unit = max((sum(covered.get(d, 0) < deep for d in docs) - 3 * clean, u) for u, (docs, clean) in left.items())
-        if gain < max(2, toxic // 400):
+        if gain < max(4, toxic // 400):
             break
         for d in left.pop(unit)[0]:
             covered[d] = covered.get(d, 0) + 1
