@@ -423,11 +423,12 @@ SELECT o.id, o.cluster_id, o.reason_code, o.machine_verdict, o.risk_u, o.confide
 FROM opened o LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY review_id ORDER BY sequence DESC) AS k
     FROM judged WHERE rejection IS NULL) WHERE k = 1) n ON n.review_id = o.id""")
 # --- audit -------------------------------------------------------------------------
-cte("log", "scored20 opened judged", f"""
+cte("log", "scored scored20 opened judged", f"""
 SELECT row_number() OVER (ORDER BY ts, id) AS sequence, * FROM (
   SELECT 'aud_' || substr(sha256(to_json([action, object_id, 'audit', strftime(ts, '%Y-%m-%d %H:%M:%S')])::VARCHAR), 1, 20) AS id, * FROM (
     SELECT TIMESTAMP '{NOW}' AS ts, unnest(['DETECTION_STARTED', 'DETECTION_COMPLETED']) AS action, 'run_1' AS object_id, NULL::VARCHAR AS cluster_id, unnest(['INFO', 'SUCCESS']) AS result, 'info' AS severity
     UNION ALL SELECT TIMESTAMP '{NOW}', 'GUARDRAIL_APPLIED', cluster_id, cluster_id, 'BLOCKED', 'notice' FROM scored20 WHERE capped
+    UNION ALL SELECT TIMESTAMP '{NOW}' + INTERVAL 10 MINUTE, 'EXPLANATION_REJECTED', cluster_id, cluster_id, 'BLOCKED', 'warning' FROM scored WHERE account_count % 4 IN (2, 3)
     UNION ALL SELECT TIMESTAMP '{NOW}' + INTERVAL 1 MINUTE, 'HUMAN_REVIEW_REQUESTED', id, cluster_id, 'SUCCESS', 'notice' FROM opened
     UNION ALL SELECT TIMESTAMP '{NOW}' + INTERVAL 2 MINUTE + to_seconds(sequence), 'HUMAN_REVIEW_COMPLETED', review_id, cluster_id, 'SUCCESS',
         CASE WHEN reviewer_verdict <> machine_verdict THEN 'notice' ELSE 'info' END FROM judged WHERE rejection IS NULL))""")
@@ -546,10 +547,10 @@ def oracles() -> dict[str, str]:
             'ACCOUNT' AS entity_type, ({half_up('risk_u', '(size * 100)', 4)})::DOUBLE / 10000 AS contribution, joined_via
             FROM members m JOIN scored USING (cluster) JOIN paths p ON p.entity_id = m.entity_id"""),
         "explanations": s("scored", f"""SELECT cluster_id, CASE WHEN verdict = 'INSUFFICIENT_DATA'
-              THEN account_count || ' accounts are linked, but there is too little activity to tell coordination from ordinary sharing.'
-              ELSE account_count || ' accounts are connected through shared infrastructure. Score ' || ({half_up('risk_u', '100')})::VARCHAR || ' of 100: '
-                || ({half_up('behavioural_u', '100')})::VARCHAR || ' from behaviour and ' || ({half_up('structural_u', '100')})::VARCHAR
-                || ' from structure, at ' || ({half_up('confidence_u', '100')})::VARCHAR || '% confidence.' END AS summary,
+              THEN 'Too few orders and returns to judge the ' || account_count || ' accounts of this cluster.'
+              ELSE 'Risk ' || ({half_up('risk_u', '100')})::VARCHAR || '/100 for a cluster of ' || account_count || ' accounts: links give '
+                || ({half_up('structural_u', '100')})::VARCHAR || ', conduct gives ' || ({half_up('behavioural_u', '100')})::VARCHAR
+                || '; the data support this to ' || ({half_up('confidence_u', '100')})::VARCHAR || '%.' END AS summary,
             ({' + '.join(f'CASE WHEN {n}_p > 5 THEN 1 ELSE 0 END' for n in POINTS)})::BIGINT AS signals,
             (counters + CASE WHEN capped THEN 2 ELSE 1 END)::BIGINT AS caveats,
             (SELECT f.signal FROM ({signals}) f WHERE f.cluster_id = scored.cluster_id AND f.p > 5 ORDER BY f.p DESC, f.w LIMIT 1) AS first_signal FROM scored"""),
@@ -560,14 +561,14 @@ def oracles() -> dict[str, str]:
         "account_baseline": s("baseline", f"SELECT account_id, entity_id, score::BIGINT AS score, flagged, {_q('rate_u', 'return_rate')}, {_q('share_u', 'refund_share')}, order_count FROM baseline"),
         "baseline_sweep": s("rates", f"""SELECT cut::DOUBLE / 10000 AS return_rate, count(*) FILTER (order_count >= 3 AND ({_account_points('cut')}) >= 45) AS flagged
             FROM rates, (SELECT unnest([2500, 3000, 3500, 4000, 4500, 5000, 6000, 7000]) AS cut) GROUP BY cut"""),
-        "baseline_reasons": s("baseline", f"""SELECT account_id, unnest(CASE WHEN order_count < 3 THEN ['Only ' || order_count || ' order(s), below the 3-order minimum.']
-            WHEN len(found) = 0 THEN ['Return and refund behaviour is within normal range for a single account.'] ELSE found END) AS reason
+        "baseline_reasons": s("baseline", f"""SELECT account_id, unnest(CASE WHEN order_count < 3 THEN ['History too short to judge: ' || order_count || ' of 3 orders.']
+            WHEN len(found) = 0 THEN ['Nothing in the returns or refunds of this account stands out.'] ELSE found END) AS reason
             FROM (SELECT *, list_filter([
-              CASE WHEN rate_u >= 4500 THEN 'Return rate ' || ({half_up('rate_u', '100')}) || '% is at or above the 45% threshold.'
-                   WHEN rate_u * 10 >= 31500 THEN 'Return rate ' || ({half_up('rate_u', '100')}) || '% is elevated.' END,
-              CASE WHEN share_u >= 5000 THEN 'Refund value is ' || ({half_up('share_u', '100')}) || '% of order value, at or above the 50% threshold.' END,
-              CASE WHEN return_count >= 3 AND fast_returns * 10 > return_count * 6 THEN fast_returns || ' of ' || return_count || ' returns initiated within 5 days.' END,
-              CASE WHEN tenure_days < 90 AND rate_u > 3000 THEN 'Account is ' || tenure_days || ' days old with a ' || ({half_up('rate_u', '100')}) || '% return rate.' END
+              CASE WHEN rate_u >= 4500 THEN 'Sends back ' || ({half_up('rate_u', '100')}) || '% of orders; the limit is 45%.'
+                   WHEN rate_u * 10 >= 31500 THEN 'Sends back ' || ({half_up('rate_u', '100')}) || '% of orders, close to the limit.' END,
+              CASE WHEN share_u >= 5000 THEN 'Got ' || ({half_up('share_u', '100')}) || '% of its spending refunded; the limit is 50%.' END,
+              CASE WHEN return_count >= 3 AND fast_returns * 10 > return_count * 6 THEN 'Quick returns, within 5 days: ' || fast_returns || ' out of ' || return_count || '.' END,
+              CASE WHEN tenure_days < 90 AND rate_u > 3000 THEN 'New customer (' || tenure_days || ' days) who already sends back ' || ({half_up('rate_u', '100')}) || '%.' END
             ], lambda x: x IS NOT NULL) AS found FROM baseline)"""),
         # evaluation
         "evaluation_list": s("predictions", f"""SELECT 'evr_1' AS id, 'held-out' AS split, 'graph' AS detector, 'shared-entity' AS method,
@@ -624,7 +625,7 @@ def oracles() -> dict[str, str]:
         "header_counts": s("scored reviewed", "SELECT (SELECT count(*) FROM scored) AS clusters, (SELECT count(*) FROM reviewed WHERE status = 'PENDING') AS pending_reviews"),
         "failure_summary": s("log scored findings", """SELECT category, coalesce(events, 0) AS events FROM (
             SELECT 'GUARDRAIL_APPLIED' AS category, (SELECT count(*) FROM log WHERE action = 'GUARDRAIL_APPLIED') AS events
-            UNION ALL SELECT 'INJECTION_DETECTED', (SELECT count(*) FROM findings) UNION ALL SELECT 'EXPLANATION_REJECTED', 0
+            UNION ALL SELECT 'INJECTION_DETECTED', (SELECT count(*) FROM findings) UNION ALL SELECT 'EXPLANATION_REJECTED', (SELECT count(*) FROM log WHERE action = 'EXPLANATION_REJECTED')
             UNION ALL SELECT 'ENFORCEMENT_REFUSED', 0 UNION ALL SELECT 'INSUFFICIENT_DATA', (SELECT count(*) FROM scored WHERE verdict = 'INSUFFICIENT_DATA'))"""),
         "recent_failures": s("log", "SELECT sequence, action, object_id FROM log WHERE result IN ('FAILURE', 'BLOCKED') ORDER BY sequence DESC LIMIT 50"),
         # reviews and audit

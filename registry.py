@@ -143,6 +143,7 @@ class Run:
             .unionByName(audit.guardrail_events(self.low.clusters, self.now, "audit"))
             .unionByName(audit.review_requested_events(self.opened, later(1), "audit"))
             .unionByName(audit.review_completed_events(self.judged, decided_at, "audit"))
+            .unionByName(audit.rejected_explanation_events(self.gated, later(10), "audit"))
         )
         return cut(audit.sequenced(events))
 

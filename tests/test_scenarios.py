@@ -68,10 +68,10 @@ def test_explanation_passes_its_own_gate(spark):
     clusters = Detection(scenario(spark, "clear-ring")).clusters
     (gated,) = scoring.validate_explanations(scoring.explanations(clusters)).collect()
     assert gated.valid and gated.signals
-    assert "not a finding of fraud" in " ".join(gated.caveats)
+    assert "no account has been touched" in " ".join(gated.caveats)
     lines = scoring.explain_score(clusters).first().lines
-    assert any("Return rate" in line for line in lines)
-    assert "total risk (structural" in lines[-1] and lines[-1].startswith("  97.5")
+    assert any("Sent back" in line for line in lines)
+    assert "risk in all:" in lines[-1] and lines[-1].startswith("  97.5")
     assert "+ 20.0  Return rate" in lines[0]
 
 
