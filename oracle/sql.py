@@ -641,6 +641,12 @@ def oracles() -> dict[str, str]:
         "audit_log": s("log", f"SELECT sequence, id, {ts('ts', 'timestamp')}, action, object_id, cluster_id, result, severity FROM log"),
         "audit_query": s("log", f"SELECT sequence, action, object_id FROM log WHERE action = 'HUMAN_REVIEW_COMPLETED' AND severity = 'notice' AND ts >= TIMESTAMP '{NOW}' ORDER BY sequence DESC LIMIT 100 OFFSET 5"),
         "cluster_history": s("log", "SELECT cluster_id, sequence, action FROM log WHERE cluster_id IS NOT NULL"),
+        # stored tables
+        "upserted_clusters": s("scored scored20", f"""SELECT cluster_id, account_count, {_q('risk_u', 'risk_score', 2)}, verdict, 1::BIGINT AS version FROM scored WHERE account_count % 2 = 1
+            UNION ALL SELECT cluster_id, account_count, {_q('risk_u', 'risk_score', 2)}, verdict, 2::BIGINT FROM scored20 WHERE account_count % 2 = 0"""),
+        "inserted_accounts": s("m_accounts", """SELECT id, customer_key, CASE WHEN id::BIGINT % 3 = 2 THEN 2 ELSE 1 END::BIGINT AS batch FROM m_accounts"""),
+        "edge_halves": s("edges observed", """SELECT derived, type, count(*) AS links FROM (
+            SELECT true AS derived, type FROM edges WHERE weight_u >= 5000 UNION ALL SELECT false, type FROM observed) GROUP BY ALL"""),
         # text
         "injection_scan": s("hits", "SELECT account_id, id, rule, excerpt FROM hits"),
         "injection_rule_counts": s("m_returns", f"""SELECT rule, hits FROM (WITH corpus AS (SELECT text FROM documents UNION ALL SELECT text FROM conversations

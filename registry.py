@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import datetime
 from functools import cached_property
@@ -12,13 +13,13 @@ from pyspark.sql import types as T
 
 from tieline.config import DetectConfig
 from tieline.functions import ids
-from tieline.functions.lineage import clear, cut, keep
+from tieline.functions.lineage import application_dir, clear, cut, keep
 from tieline.operators import (
     audit, baseline, evaluation, incidence, links, reports, reviews, scoring, screening,
 )
 from tieline.plans.detection import LOUVAIN, Detection, member_rows, ranked, run_outcome, top_breakdown
 from tieline.plans.evaluation import Evaluation
-from tieline.sources import adapter, dossier
+from tieline.sources import adapter, dossier, store
 from tieline.sources.tables import read_table
 from tieline.vocabulary import FEATURES
 
@@ -256,6 +257,37 @@ def _masked(r: Run) -> DataFrame:
     )
 
 
+def _written_twice(r: Run) -> DataFrame:
+    """Clusters of two runs, and an older version of some, in one table by cluster id."""
+    path = f"{application_dir(r.spark)}/{uuid.uuid4().hex}"
+    rows = lambda d, version: d.clusters.select("cluster_id", "account_count", "risk_score", "verdict", F.lit(version).alias("version"))
+    odd = F.col("account_count") % 2 == 1
+    store.upsert(rows(r.detection, 1).where(odd | (F.col("account_count") % 4 == 0)), path, "cluster_id", "version")
+    store.upsert(rows(r.low, 2).where(~odd), path, "cluster_id", "version")
+    store.upsert(rows(r.low, 0), path, "cluster_id", "version")
+    return store.read_latest(r.spark, path)
+
+
+def _inserted(r: Run) -> DataFrame:
+    """Accounts in two overlapping batches; the first to come stays."""
+    path = f"{application_dir(r.spark)}/{uuid.uuid4().hex}"
+    third = F.col("id").cast("bigint") % 3
+    rows = lambda batch: r.activity.accounts.select("id", "customer_key", F.lit(batch).alias("batch"))
+    store.insert_new(rows(1).where(third != 2), path, "id")
+    store.insert_new(rows(2).where(third != 0), path, "id")
+    return store.read_inserted(r.spark, path)
+
+
+def _edge_halves(r: Run) -> DataFrame:
+    """Links a type after the inferred half was written and replaced by its heavy links."""
+    path = f"{application_dir(r.spark)}/{uuid.uuid4().hex}"
+    told = ("src", "dst", "type", "derived")
+    store.write_observed(r.detection.observed.select(*told), path)
+    store.replace_inferred(r.detection.edges.select(*told), path)
+    store.replace_inferred(r.detection.edges.where("weight >= 0.5").select(*told), path)
+    return store.read_edges(r.spark, path).groupBy("derived", "type").agg(F.count("*").alias("links"))
+
+
 def build() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     d = lambda r: r.detection
     e = lambda r: r.evaluation
@@ -367,6 +399,10 @@ def build() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             r.log, action="HUMAN_REVIEW_COMPLETED", severity="notice", since=datetime(2002, 1, 1), offset=5
         ).select("sequence", "action", "object_id"),
         "cluster_history": lambda r: audit.cluster_history(r.log).select("cluster_id", "sequence", "action"),
+        # stored tables
+        "upserted_clusters": _written_twice,
+        "inserted_accounts": _inserted,
+        "edge_halves": _edge_halves,
         # text
         "injection_scan": lambda r: screening.injection_scan(
             r.activity.returns.select("account_id", "id", F.col("reason").alias("text")), "text", "account_id", "id"

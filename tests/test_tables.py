@@ -264,9 +264,11 @@ def test_inserts_and_upserts(spark, tmp_path):
     path = str(tmp_path / "rows")
     store.insert_new(frame([("a", 1, 1), ("a", 1, 1), ("b", 1, 2)]), path, "id")
     store.insert_new(frame([("b", 2, 9), ("c", 2, 3)]), path, "id")
-    assert {tuple(r) for r in spark.read.parquet(path).collect()} == {("a", 1, 1), ("b", 1, 2), ("c", 2, 3)}
-    store.append(frame([("a", 3, 3)]), path)
-    assert spark.read.parquet(path).count() == 4
+    assert {tuple(r) for r in store.read_inserted(spark, path).collect()} == {("a", 1, 1), ("b", 1, 2), ("c", 2, 3)}
+    log = str(tmp_path / "log")
+    store.append(frame([("a", 3, 3)]), log)
+    store.append(frame([("a", 3, 3)]), log)
+    assert spark.read.parquet(log).count() == 2
 
     table = str(tmp_path / "clusters")
     store.upsert(frame([("a", 1, 10), ("b", 1, 20)]), table, "id", "run")
@@ -276,6 +278,40 @@ def test_inserts_and_upserts(spark, tmp_path):
     assert store.read_latest(spark, str(tmp_path / "nothing")) is None
 
 
+def test_upsert_leaves_untouched_buckets_alone(spark, tmp_path):
+    frame = lambda rows: spark.createDataFrame(rows, "id string, run int, risk int")
+    table = str(tmp_path / "clusters")
+    store.upsert(frame([(f"k{i}", 1, i) for i in range(200)]), table, "id", "run")
+    before = store.manifest(spark, table)
+    store.upsert(frame([("k7", 2, -7)]), table, "id", "run")
+    after = store.manifest(spark, table)
+    changed = [b for b in after if before.get(b) != after[b]]
+    assert len(changed) == 1 and len(after) > 40
+    kept = {p.name for p in (tmp_path / "clusters").glob("part-*/*") if p.is_dir() and list(p.glob("*.parquet"))}
+    assert len(list((tmp_path / "clusters").glob("part-*/key_bucket=*"))) == len(after) and kept
+    got = {r.id: r.risk for r in store.read_latest(spark, table).collect()}
+    assert got == {f"k{i}": (-7 if i == 7 else i) for i in range(200)}
+    store.upsert(frame([]), table, "id", "run")
+    assert store.manifest(spark, table) == after
+
+
+def test_filter_spares_the_stored_rows(spark, tmp_path, monkeypatch):
+    frame = lambda ids: spark.createDataFrame([(i, 1) for i in ids], "id string, run int")
+    path = str(tmp_path / "labels")
+    store.insert_new(frame([f"a{i}" for i in range(300)]), path, "id")
+    news, both = frame([f"b{i}" for i in range(300)]), frame(["a5", "b5", "a299"])
+    named = lambda rows: rows.withColumn(store.BUCKET, store._bucket(("id",)))
+    assert {r.id for r in store.possible_repeats(named(both), path, "id").collect()} == {"a5", "a299"}
+    assert store.possible_repeats(named(news), path, "id").count() == 0
+    reads = []
+    real = store._exists
+    monkeypatch.setattr(store, "_exists", lambda s, p: reads.append(p) or real(s, p))
+    store.insert_new(news, path, "id")
+    assert not reads  # nothing could be a repeat, so the stored rows were not asked for
+    store.insert_new(both, path, "id")
+    assert reads and store.read_inserted(spark, path).count() == 600
+
+
 def test_orders_of_unknown_accounts_drop_out(spark, detection):
     strangers = detection.activity.accounts.where(F.col("id") != "clear-ring_00")
     seen = incidence.incidence(detection.activity.orders, strangers)
