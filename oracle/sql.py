@@ -489,7 +489,13 @@ def oracles() -> dict[str, str]:
         one("SELECT count(*) FROM scored WHERE review_reason IS NOT NULL", "review_required"),
         one("SELECT count(*) FROM scored WHERE capped", "capped_by_guardrail"),
         one(f"SELECT ({half_up('sum(risk_u)', 'count(*)')})::DOUBLE / 100 FROM scored", "average_risk"),
-        one("SELECT 1", "runs"), one("SELECT 1", "evaluations"),
+        one("SELECT 2", "runs"), one("SELECT 3", "evaluations"),
+        one("SELECT count(*) FROM reviewed WHERE status <> 'PENDING'", "reviews_decided"),
+        "SELECT 'latest_run', 'entity_count', count(*)::DOUBLE FROM entities",
+        "SELECT 'latest_run', 'derived_edge_count', count(*)::DOUBLE FROM edges WHERE weight_u >= 5000",
+        "SELECT 'latest_run', 'cluster_count', count(*)::DOUBLE FROM scored WHERE verdict <> 'INSUFFICIENT_DATA'",
+        "SELECT 'latest_evaluation', 'ring_count', count(*)::DOUBLE FROM predictions WHERE split = 'dev'",
+        "SELECT 'latest_evaluation', 'risk_threshold', 20::DOUBLE",
         one(f"SELECT {ratio('(SELECT count(*) FROM orphans)', '(SELECT count(*) FROM m_accounts)')}", "unclusterable_rate"),
         one(f"SELECT {ratio('(SELECT count(*) FROM m_returns)', '(SELECT count(*) FROM m_orders)')}", "return_rate"),
     ])
@@ -571,8 +577,9 @@ def oracles() -> dict[str, str]:
               CASE WHEN tenure_days < 90 AND rate_u > 3000 THEN 'New customer (' || tenure_days || ' days) who already sends back ' || ({half_up('rate_u', '100')}) || '%.' END
             ], lambda x: x IS NOT NULL) AS found FROM baseline)"""),
         # evaluation
-        "evaluation_list": s("predictions", f"""SELECT 'evr_1' AS id, 'held-out' AS split, 'graph' AS detector, 'shared-entity' AS method,
-            20::BIGINT AS risk_threshold, count(*) AS ring_count, '{NOW}' AS started_at, '{NOW}' AS finished_at FROM predictions WHERE split = 'held-out'"""),
+        "evaluation_list": s("predictions", f"""SELECT id, split, 'graph' AS detector, 'shared-entity' AS method, 20::BIGINT AS risk_threshold,
+            (SELECT count(*) FROM predictions p WHERE p.split = r.split) AS ring_count, {ts("taken", "started_at")}, {ts("taken", "finished_at")}
+            FROM (SELECT unnest(['evr_1', 'evr_2', 'evr_3']) AS id, unnest(['train', 'held-out', 'dev']) AS split, TIMESTAMP '{NOW}' + to_hours(unnest([0, 1, 2])) AS taken) r"""),
         "ring_match": s("predictions", f"SELECT {PREDICTION_COLUMNS} FROM predictions"),
         "evaluation_cases": s("predictions", f"""SELECT ring_id, cluster_id, template, difficulty, actual_label, {_q('risk_u', 'predicted_risk', 2)},
             flagged AS predicted_flagged, abstained, {OUTCOME} AS classification, {_q('overlap_u', 'member_overlap')} FROM predictions WHERE split = 'held-out'"""),
@@ -618,10 +625,12 @@ def oracles() -> dict[str, str]:
             SELECT account_id, placed_at AS happened, 'ORDER' AS kind, id, amount_minor FROM m_orders
             UNION ALL SELECT account_id, initiated_at, 'RETURN', id, 0 FROM m_returns
             UNION ALL SELECT account_id, processed_at, 'REFUND', id, amount_minor FROM m_refunds) JOIN owned USING (account_id) JOIN ids USING (cluster)"""),
-        "overview": s("entities edges observed scored reviewed orphans m_orders m_returns m_refunds", overview),
-        "run_summary": s("entities edges observed scored", f"""SELECT 'run_1' AS id, 'shared-entity' AS method, (SELECT count(*) FROM entities) AS entity_count,
-            (SELECT count(*) FROM observed) AS edge_count, (SELECT count(*) FROM edges) AS derived_edge_count, (SELECT count(*) FROM scored) AS cluster_count, '{NOW}' AS created_at"""),
-        "latest_run": s("scored", f"SELECT 'run_1' AS id, 'shared-entity' AS method, (SELECT count(*) FROM scored) AS cluster_count, '{NOW}' AS created_at"),
+        "overview": s("entities edges observed scored reviewed predictions orphans m_orders m_returns m_refunds", overview),
+        "run_summary": s("entities edges observed scored", f"""SELECT id, 'shared-entity' AS method, (SELECT count(*) FROM entities) AS entity_count, (SELECT count(*) FROM observed) AS edge_count,
+            (SELECT count(*) FROM edges WHERE id = 'run_1' OR weight_u >= 5000) AS derived_edge_count, (SELECT count(*) FROM scored WHERE id = 'run_1' OR verdict <> 'INSUFFICIENT_DATA') AS cluster_count,
+            {ts("taken", "created_at")} FROM (SELECT 'run_1' AS id, TIMESTAMP '{NOW}' AS taken UNION ALL SELECT 'run_2', TIMESTAMP '{NOW}' + INTERVAL 1 HOUR)"""),
+        "latest_run": s("scored", f"""SELECT 'run_2' AS id, 'shared-entity' AS method, (SELECT count(*) FROM scored WHERE verdict <> 'INSUFFICIENT_DATA') AS cluster_count,
+            {ts(f"TIMESTAMP '{NOW}' + INTERVAL 1 HOUR", "created_at")}"""),
         "header_counts": s("scored reviewed", "SELECT (SELECT count(*) FROM scored) AS clusters, (SELECT count(*) FROM reviewed WHERE status = 'PENDING') AS pending_reviews"),
         "failure_summary": s("log scored findings", """SELECT category, coalesce(events, 0) AS events FROM (
             SELECT 'GUARDRAIL_APPLIED' AS category, (SELECT count(*) FROM log WHERE action = 'GUARDRAIL_APPLIED') AS events
@@ -642,6 +651,9 @@ def oracles() -> dict[str, str]:
         "audit_query": s("log", f"SELECT sequence, action, object_id FROM log WHERE action = 'HUMAN_REVIEW_COMPLETED' AND severity = 'notice' AND ts >= TIMESTAMP '{NOW}' ORDER BY sequence DESC LIMIT 100 OFFSET 5"),
         "cluster_history": s("log", "SELECT cluster_id, sequence, action FROM log WHERE cluster_id IS NOT NULL"),
         # stored tables
+        "dossier_parsed": s("scored", f"""SELECT cluster_id, account_count % 3 = 0 AS damaged, CASE WHEN account_count % 3 <> 0 THEN account_count END AS account_count,
+            CASE WHEN account_count % 3 <> 0 THEN ({_q('risk_u', 'x', 2).removesuffix(' AS x')}) END AS risk_score, CASE WHEN account_count % 3 <> 0 THEN verdict END AS verdict,
+            CASE WHEN account_count % 3 <> 0 THEN {len(POINTS)} END::BIGINT AS signals, CASE WHEN account_count % 3 <> 0 THEN {sum(POINTS.values())} END::BIGINT AS max_points FROM scored"""),
         "upserted_clusters": s("scored scored20", f"""SELECT cluster_id, account_count, {_q('risk_u', 'risk_score', 2)}, verdict, 1::BIGINT AS version FROM scored WHERE account_count % 2 = 1
             UNION ALL SELECT cluster_id, account_count, {_q('risk_u', 'risk_score', 2)}, verdict, 2::BIGINT FROM scored20 WHERE account_count % 2 = 0"""),
         "inserted_accounts": s("m_accounts", """SELECT id, customer_key, CASE WHEN id::BIGINT % 3 = 2 THEN 2 ELSE 1 END::BIGINT AS batch FROM m_accounts"""),

@@ -165,15 +165,22 @@ class Run:
 
     @cached_property
     def evaluation_runs(self) -> DataFrame:
-        return self.evaluation.run_row("evr_1", "held-out", self.now)
+        """Three evaluations an hour apart, as the table of evaluations stores them."""
+        later = lambda hours: F.timestamp_millis(F.unix_millis(self.now) + hours * 3_600_000)
+        rows = [self.evaluation.run_row(f"evr_{n + 1}", split, later(n)) for n, split in enumerate(("train", "held-out", "dev"))]
+        return cut(rows[0].unionByName(rows[1]).unionByName(rows[2]))
 
     @cached_property
     def runs(self) -> DataFrame:
+        """Two runs as the table of runs stores them, the later one over heavy links only."""
         d = self.detection
-        return reports.run_summary(
-            "run_1", d.method, self.now, d.entities, d.edges, d.observed, d.clusters,
-            reports.coverage(self.activity, d.orphans),
+        quality = reports.coverage(self.activity, d.orphans)
+        later = F.timestamp_millis(F.unix_millis(self.now) + 3_600_000)
+        told = lambda name, at, edges, clusters: reports.run_summary(
+            name, d.method, at, d.entities, edges, d.observed, clusters, quality
         )
+        sparse = d.clusters.where(F.col("verdict") != "INSUFFICIENT_DATA")
+        return cut(told("run_1", self.now, d.edges, d.clusters).unionByName(told("run_2", later, d.edges.where("weight >= 0.5"), sparse)))
 
     def corpus(self) -> DataFrame:
         text = [self.table("documents").select("text"), self.table("conversations").select("text"),
@@ -288,6 +295,18 @@ def _edge_halves(r: Run) -> DataFrame:
     return store.read_edges(r.spark, path).groupBy("derived", "type").agg(F.count("*").alias("links"))
 
 
+def _parsed(r: Run) -> DataFrame:
+    """Stored dossier lines of clusters read back; those of every third size were cut short on the way."""
+    d = r.detection
+    sent = dossier.cluster_lines(d.clusters, r.now).join(d.clusters.select("cluster_id", "account_count"), "cluster_id")
+    short = F.substring("document", F.lit(1), F.length("document") - 1)
+    sent = sent.withColumn("document", F.when(F.col("account_count") % 3 == 0, short).otherwise(F.col("document")))
+    return dossier.read_clusters(sent).select(
+        "cluster_id", "damaged", "account_count", "risk_score", "verdict", F.size("signals").alias("signals"),
+        F.reduce("signals", F.lit(0).cast("bigint"), lambda a, x: a + x["max_points"]).alias("max_points"),
+    )
+
+
 def build() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     d = lambda r: r.detection
     e = lambda r: r.evaluation
@@ -380,7 +399,7 @@ def build() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "timeline": lambda r: reports.timeline(d(r).cluster_accounts, r.activity).drop("detail"),
         "overview": lambda r: reports.overview(
             d(r).entities, d(r).edges.select("derived").union(d(r).observed.select("derived")), r.activity, d(r).orphans,
-            d(r).clusters, r.reviewed, r.runs.select("id"), r.evaluation_runs.select("id"),
+            d(r).clusters, r.reviewed, r.runs, r.evaluation_runs,
         ),
         "run_summary": lambda r: r.runs.select("id", "method", "entity_count", "edge_count", "derived_edge_count", "cluster_count", "created_at"),
         "latest_run": lambda r: reports.latest(r.runs.select("id", "method", "cluster_count", "created_at"), "created_at"),
@@ -400,6 +419,7 @@ def build() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         ).select("sequence", "action", "object_id"),
         "cluster_history": lambda r: audit.cluster_history(r.log).select("cluster_id", "sequence", "action"),
         # stored tables
+        "dossier_parsed": _parsed,
         "upserted_clusters": _written_twice,
         "inserted_accounts": _inserted,
         "edge_halves": _edge_halves,

@@ -235,13 +235,36 @@ def test_coverage_and_overview(spark, detection):
     row = reports.coverage(detection.activity, detection.orphans).first()
     assert (row.accounts, row.with_device, row.orphan_accounts, float(row.missing_device)) == (12, 12, 0, 0.0)
     empty = spark.createDataFrame([], reviews.REVIEWS)
+    runs = spark.createDataFrame(
+        [("r1", 5, 4, 3, datetime(2021, 3, 1)), ("r2", 7, 6, 2, datetime(2021, 3, 2))],
+        "id string, entity_count bigint, derived_edge_count bigint, cluster_count bigint, created_at timestamp",
+    )
+    none = spark.createDataFrame([], "id string, ring_count bigint, risk_threshold int, started_at timestamp")
     summary = reports.overview(
         detection.entities, detection.edges.select("derived"), detection.activity, detection.orphans,
-        detection.clusters, empty, spark.range(2).select("id"), spark.range(0).select("id"),
+        detection.clusters, empty, runs, none,
     )
     values = {(r.section, r.key): r.value for r in summary.collect()}
     assert values["totals", "clusters"] == 2 and values["totals", "runs"] == 2 and values["totals", "evaluations"] == 0
     assert values["entities_by_type", "ACCOUNT"] == 12
+    assert values["latest_run", "cluster_count"] == 2 and values["totals", "reviews_decided"] == 0
+    assert not any(section == "latest_evaluation" for section, _ in values)
+
+
+def test_stored_lines_are_read_back(spark, detection):
+    lines = dossier.cluster_lines(detection.clusters, F.lit("2021-01-01").cast("timestamp"))
+    whole = detection.clusters.orderBy("cluster_id").collect()
+    read = dossier.read_clusters(lines).orderBy("cluster_id").collect()
+    for was, now in zip(whole, read, strict=True):
+        assert not now.damaged and (now.risk_score, now.verdict) == (was.risk_score, was.verdict)
+        assert [(s.signal, s.points) for s in now.signals] == [(s.signal, s.points) for s in was.signals]
+        assert [s.detail for s in now.counter_signals] == [s.detail for s in was.counter_signals]
+    bad = spark.createDataFrame(
+        [("a", "cluster", '{"risk_score": '), ("b", "cluster", None), ("c", "cluster", '{"account_count": "many"}'), ("d", "node", "{}")],
+        "cluster_id string, section string, document string",
+    )
+    got = {r.cluster_id: (r.damaged, r.risk_score, r.signals) for r in dossier.read_clusters(bad).collect()}
+    assert got == {name: (True, None, None) for name in "abc"}
 
 
 def test_edge_table_replaces_only_the_inferred_half(spark, detection, tmp_path):

@@ -202,7 +202,11 @@ def overview(
     entities: DataFrame, edges: DataFrame, activity: Activity, orphans: DataFrame, clusters: DataFrame,
     reviews: DataFrame, runs: DataFrame, evaluations: DataFrame,
 ) -> DataFrame:
-    """The whole dashboard as (section, key, value) rows; undefined rates are NULL."""
+    """The whole dashboard as (section, key, value) rows; undefined rates are NULL.
+
+    ``runs`` and ``evaluations`` are the stored tables; besides their counts the
+    figures of the latest row of each are told, if there is one.
+    """
     counted = [
         long_counts(entities, "entities_by_type", "type"),
         long_counts(edges.select(F.when(F.col("derived"), "derived").otherwise("observed").alias("class")), "edges", "class"),
@@ -221,6 +225,7 @@ def overview(
             F.count_if("capped_by_guardrail").alias("capped_by_guardrail"),
             scaled(half_up(units(F.sum("risk_score"), 2), F.count("*")), 2).alias("average_risk"),
         ),
+        reviews.agg(F.count_if(F.col("status") != "PENDING").alias("reviews_decided")),
         runs.agg(F.count("*").alias("runs")),
         evaluations.agg(F.count("*").alias("evaluations")),
     ).withColumns(
@@ -231,11 +236,20 @@ def overview(
     )
     flat = totals.select(*[F.col(c).cast("decimal(18,4)").alias(c) for c in totals.columns])
     rows = flat.unpivot([], flat.columns, "key", "value").select(F.lit("totals").alias("section"), "key", "value")
-    for part in counted:
+    newest = [
+        _figures(latest(runs, "created_at"), "latest_run", "entity_count", "derived_edge_count", "cluster_count"),
+        _figures(latest(evaluations, "started_at"), "latest_evaluation", "ring_count", "risk_threshold"),
+    ]
+    for part in counted + newest:
         rows = rows.unionByName(part)
     return rows
 
 
+def _figures(row: DataFrame, section: str, *columns: str) -> DataFrame:
+    flat = row.select(*[F.col(c).cast("decimal(18,4)").alias(c) for c in columns])
+    return flat.unpivot([], list(columns), "key", "value").select(F.lit(section).alias("section"), "key", "value")
+
+
 def latest(df: DataFrame, at: str) -> DataFrame:
     """The row with the greatest timestamp, as columns."""
     return df.agg(F.max_by(F.struct(*df.columns), F.struct(at, "id")).alias("row")).where(
