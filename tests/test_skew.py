@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tieline.functions.skew import attach
+from tieline.functions.skew import attach, heavy_keys
 
 
 def test_attach_is_a_plain_join_spread_out(spark):
@@ -23,6 +23,27 @@ def test_attach_is_a_plain_join_spread_out(spark):
         spark.conf.set(merging, "true")
 
 
+def test_only_hot_keys_are_named_and_repeated(spark):
+    key = F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 10 == 1, "warm").otherwise(F.col("id").cast("string"))
+    rows = spark.range(0, 60_000, 1, 8).select(key.alias("k"), "id")
+    hot = heavy_keys(rows, "k")
+    hashed = {r.k: r.h for r in rows.select("k", F.xxhash64("k").alias("h")).where("k in ('hot', 'warm', '2')").distinct().collect()}
+    assert set(hot) == {hashed["hot"], hashed["warm"]}
+    assert 21 <= hot[hashed["hot"]] <= 24 and 4 <= hot[hashed["warm"]] <= 7
+    assert heavy_keys(rows.where("id < 0"), "k") == {}
+    # only facts of hot keys are copied
+    facts = rows.groupBy("k").agg(F.count("*").alias("n"))
+    copies = attach(facts.withColumn("one", F.lit(1)), facts, "k", "one")
+    assert copies.count() == facts.count()
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        placed = attach(rows, facts.hint("merge"), "k", "id").select("k", F.spark_partition_id().alias("p"))
+        tasks = {r.k: r["count"] for r in placed.where("k in ('hot', '2')").distinct().groupBy("k").count().collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert tasks["hot"] > 3 and tasks["2"] == 1
+
+
 def test_adaptive_execution_splits_a_hot_key_unless_it_is_grouped_by_again(spark, tmp_path):
     """Why some joins are left to the planner and others are salted."""
     settings = {

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tieline.config import DetectConfig
 from tieline.functions.fixed import half_up, ratio, scaled, units
 from tieline.functions.ids import money_text, node_label
+from tieline.functions.skew import attach
 from tieline.operators.scoring import contributing
 from tieline.sources.tables import Activity
 from tieline.vocabulary import FAILURE_CATEGORIES
@@ -72,13 +73,17 @@ def subgraph_edges(members: DataFrame, inside: DataFrame, observed: DataFrame) -
 def subgraph_nodes(
     members: DataFrame, edges: DataFrame, entities: DataFrame, link_fanout: DataFrame
 ) -> DataFrame:
-    """Nodes of every cluster: its members and the infrastructure they touched."""
+    """Nodes of every cluster: its members and the infrastructure they touched.
+
+    What is known of a node is put together first, one row a node, and joined
+    once; a node that very many clusters touch is spread over tasks.
+    """
     infra = edges.where(~F.col("derived")).select("cluster", F.col("dst").alias("id"))
     ids = members.select("cluster", F.col("entity_id").alias("id")).union(infra).distinct()
     fan = link_fanout.select(F.col("infra").alias("id"), "link_count", "account_count")
+    facts = entities.join(fan, "id", "left")
     return (
-        ids.join(entities, "id")
-        .join(fan, "id", "left")
+        attach(ids, facts, "id", "cluster")
         .select(
             "cluster", "id", "type", "anonymized_key",
             node_label(F.col("type"), F.col("anonymized_key")).alias("label"),
