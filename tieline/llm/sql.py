@@ -1,6 +1,6 @@
 """DuckDB SQL for the queries that SQL can express."""
 
-from tieline.llm.quality_rules import STOP_WORDS
+from tieline.llm.quality_rules import LANGUAGES, STOP_WORDS
 from tieline.llm.text import LOWER, UPPER, WORD
 
 ORACLES: dict[str, str] = {}
@@ -28,7 +28,7 @@ FROM reach LEFT JOIN sizes ON sizes.doc_id = node GROUP BY node
 
 ORACLES["op4_quality_rules"] = f"""
 WITH d AS (
-  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w,
+  SELECT doc_id, lang, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w,
          list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '{WORD}')) AS lines
   FROM documents
 ), windows AS (
@@ -37,17 +37,17 @@ WITH d AS (
 ), covered AS (
   SELECT doc_id, count(DISTINCT i + k) AS n FROM windows JOIN repeated USING (doc_id, s), range(5) AS r(k) GROUP BY doc_id
 ), counts AS (
-  SELECT d.doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(t, '[\\x20\\x09-\\x0D]', '', 'g')) AS word_chars,
+  SELECT d.doc_id, lang, len(w)::BIGINT AS n_words, length(regexp_replace(t, '[\\x20\\x09-\\x0D]', '', 'g')) AS word_chars,
          length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, length(regexp_replace(t, '[^A-Z]', '', 'g')) AS n_capitals,
          len(list_filter(w, lambda x: translate(x, '{UPPER}', '{LOWER}') IN ({', '.join(repr(s) for s in sorted(set(STOP_WORDS)))})))::BIGINT AS n_stop_words,
          len(lines)::BIGINT AS n_lines, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n, 0) AS n_repeat_words
   FROM d LEFT JOIN covered USING (doc_id)
 ), base AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM counts)
-SELECT *, NOT base_failed AND n_words <= 1000000
+SELECT * EXCLUDE (lang), NOT base_failed
        AND word_chars / greatest(n_words, 1) BETWEEN 2 AND 12
        AND n_symbols / greatest(n_words, 1) <= 0.1::DOUBLE
        AND (n_words < 20 OR n_capitals / greatest(word_chars, 1) <= 0.4::DOUBLE)
-       AND (n_words < 50 OR n_stop_words / greatest(n_words, 1) >= 0.01::DOUBLE)
+       AND (n_words < 50 OR coalesce(lang NOT IN ({', '.join(map(repr, LANGUAGES))}), true) OR n_stop_words / greatest(n_words, 1) >= 0.01::DOUBLE)
        AND (n_words < 20 OR n_dup_lines / greatest(n_lines, 1) <= 0.5::DOUBLE) AS kept
 FROM base
 """
