@@ -51,6 +51,13 @@ def test_quality_filter_keeps_columns(docs):
     assert Counter(r["doc_id"] for r in kept.select("doc_id").collect()) == want
 
 
+def test_quality_counts_leave_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "some words here", "a", "b", "c")], "doc_id long, text string, _w string, _lines string, _h string")
+    row = quality_rules.judge(docs).first()
+    assert (row["_w"], row["_lines"], row["_h"], row["n_words"]) == ("a", "b", "c", 3)
+    assert quality_rules.judge(docs).columns[:5] == docs.columns
+
+
 def test_clean_texts_in_other_languages(spark):
     other = " ".join(f"kissa{i} istuu{i * 3} puussa{i * 5}" for i in range(30))
     rows = [(2, "fi", other), (3, None, other), (4, "en", other)]
@@ -94,7 +101,22 @@ def test_drop_exact_copies(docs):
     assert kept.columns == docs.columns
     texts = [r["text"] or "" for r in kept.select("text", "doc_id").collect()]
     assert set(texts) == {t for _, t, _ in brute.rows_of(docs)}
-    assert max(Counter(texts).values()) == 2  # the row that repeats id and text
+    assert max(Counter(texts).values()) == 1
+
+
+@pytest.mark.parametrize("keep", ["smallest", "largest"])
+def test_rows_that_repeat_id_and_text_leave_one(spark, keep):
+    rows = [(1, "x", "b"), (1, "x", "a"), (None, "z", "n"), (None, "z", "m"), (None, "y", "o"), (4, "y", "p"), (5, "x", "q"), (1, "w", "r")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _id string")
+    want = {"x": (1, "a") if keep == "smallest" else (5, "q"), "z": (None, "m"), "y": (4, "p"), "w": (1, "r")}
+    left = exact_dedup.drop_exact_copies(docs, keep=keep).collect()
+    assert len(left) == 4 and {r["text"]: (r["doc_id"], r["_id"]) for r in left} == want
+
+
+def test_groups_of_null_ids_keep_all(spark):
+    docs = spark.createDataFrame([(None, "z"), (None, "z"), (None, None), (3, "")], "doc_id long, text string")
+    rows = Counter((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.exact_groups(docs).collect())
+    assert rows == Counter({(None, None, 2, True): 2, (None, 3, 2, False): 1, (3, 3, 2, True): 1})
 
 
 def test_least_loaded():
@@ -192,6 +214,20 @@ def test_mixed_documents_hold_what_is_taken(docs):
     assert got == +want
 
 
+def test_mixed_rows_that_repeat_one_document(spark):
+    """Rows of equal id, source and text are rows of their own, with their other columns."""
+    rows = [(1, "one two three four", "a", n) for n in range(5)] + [(None, "five six", None, 9), (2, None, "a", 10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n long")
+    mixed = mixing.mixed_documents(docs, block=2).collect()
+    got, want = Counter(), Counter()
+    for r in mixed:
+        got[r["doc_id"], r["n"] if r["doc_id"] is None else 0] += len(r["text"].split())
+        assert r["n"] in range(5) if r["doc_id"] == 1 else r["n"] == 9
+    for r in mixing.mixed_sizes(docs, block=2).collect():
+        want[r["doc_id"], 9 if r["doc_id"] is None else 0] += r["taken"]
+    assert got == +want
+
+
 def test_shard_counts_vary_around_their_shares(docs):
     made = mixing.mixture(docs, shard=256)
     counts = made["counts"].collect()

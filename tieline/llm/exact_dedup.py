@@ -57,8 +57,20 @@ def exact_groups(
 
 
 def drop_exact_copies(docs: DataFrame, **how) -> DataFrame:
-    """The rows of ``docs`` that stay, all their columns."""
+    """One row of each text, with all its columns.
+
+    It is the row that ``exact_groups`` keeps.  Of rows that repeat both its id
+    and its text, null ids included, the one that is smallest as JSON stays.
+    """
     key, sha = docs[how.get("doc_id", "doc_id")], F.sha2(whole(docs[how.get("text", "text")]), 256)
-    gone = exact_groups(docs, **how).where(~F.col("kept"))
-    gone = cut(gone.select(F.col("doc_id").alias("_gone"), F.col("text_sha256").alias("_sha")).distinct())
-    return docs.join(gone, (key == F.col("_gone")) & (sha == F.col("_sha")), "left_anti")
+    told = cut(exact_groups(docs, **how).where("group_size > 1").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"), "kept"))
+    same = lambda df: key.eqNullSafe(df["_id"]) & (sha == df["_sha"])
+    gone = cut(told.where(~F.col("kept")).select("_id", "_sha").distinct())
+    again = cut(told.where("kept").groupBy("_id", "_sha").agg(F.count("*").alias("n")).where("n > 1").drop("n"))
+    left = docs.join(gone, same(gone), "left_anti")
+    if again.isEmpty():
+        return left
+    row = F.struct(*docs.columns)
+    held = docs.join(again, same(again), "left_semi").select(key.alias("_id"), sha.alias("_sha"), row.alias("_row"))
+    first = held.groupBy("_id", "_sha").agg(F.min_by("_row", F.to_json("_row")).alias("_row"))
+    return left.join(again, same(again), "left_anti").unionByName(first.select("_row.*"))

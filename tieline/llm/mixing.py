@@ -59,13 +59,14 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
 
 def mixture(
     docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source",
-    weights: tuple[int, ...] = WEIGHTS, most: int = MOST, block: int = BLOCK, shard: int = SHARD, seed: int = 7,
+    weights: tuple[int, ...] = WEIGHTS, most: int = MOST, block: int = BLOCK, shard: int = SHARD, seed: int = 7, name: str | None = None,
 ) -> dict[str, DataFrame]:
     """What is drawn from where.
 
     ``documents`` (doc_id, source, tie, rank, size, source_size, target, start):
     one row per input row, with a hash of its text and its place among the words
-    of its source; (rank, start) names a row that has words.
+    of its source; (rank, start) names a row that has words.  ``name``, a column of
+    ``docs`` with one number a row, comes along where it is given.
     ``counts`` (shard, rank, n): blocks of each source in each output shard.
     ``slots`` (slot, shard, rank, block): the drawn block for each output slot.
     ``fragments`` (rank, start, block, skip, length, uses): which words of a row a
@@ -88,6 +89,7 @@ def mixture(
         docs.select(
             F.col(doc_id).alias("doc_id"), F.col(source).alias("source"),
             F.regexp_count(t, F.lit(WORD)).cast("bigint").alias("size"), F.xxhash64(t).alias("tie"),
+            *([F.col(name).alias("name")] if name else []),
         )
     )
     shares = cut(
@@ -100,7 +102,7 @@ def mixture(
     attach = placed["source"].eqNullSafe(shares["source"])
     documents = cut(
         placed.join(shares, attach)
-        .select("doc_id", placed["source"], "tie", "rank", "size", "source_size", "target", "start")
+        .select("doc_id", placed["source"], "tie", "rank", "size", "source_size", "target", "start", *(["name"] if name else []))
     )
     total = shares.agg(F.max("upto")).first()[0] or 0
     spark = docs.sparkSession
@@ -158,24 +160,22 @@ def mixed_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     so all rows together hold every word as often as it was taken.  A row used
     whole keeps its text, another has its words joined by spaces, and ``n_chars``
     follows.  Rows that nothing is drawn from are not in the mix.
+
+    Rows are numbered once, in a written table, and meet their draws by that
+    number, so texts move once and only those that are drawn from.
     """
-    made = mixture(docs, doc_id=doc_id, text=text, source=source, **how)
+    rows = cut(docs.select(F.struct(*docs.columns).alias("_row"), F.monotonically_increasing_id().alias("_name")), "zstd")
+    given = lambda c: F.col("_row")[c].alias(f"_{c}")
+    keys = rows.select("_name", given(doc_id), given(text), given(source))
+    made = mixture(keys, doc_id=f"_{doc_id}", text=f"_{text}", source=f"_{source}", name="_name", **how)
     drawn = made["fragments"].groupBy("rank", "start").agg(
         F.array_sort(F.collect_list(F.struct("skip", "length", "uses"))).alias("parts"), F.max("uses").alias("times")
     )
-    # rows of equal id, source and text are told apart by number
-    keys = ["_id", "_source", "_tie"]
-    numbered = lambda df, order: df.withColumn("_copy", F.row_number().over(Window.partitionBy(*keys).orderBy(order)))
-    plan = made["documents"].where("size > 0").join(drawn, ["rank", "start"]).select(
-        F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("tie").alias("_tie"), "size", "start", "parts", "times"
-    )
-    plan = cut(numbered(plan, "start"))
-    rows = docs.select(
-        F.struct(*docs.columns).alias("_row"), F.col(doc_id).alias("_id"), F.col(source).alias("_source"), F.xxhash64(whole(text)).alias("_tie")
+    plan = cut(
+        made["documents"].where("size > 0").join(drawn, ["rank", "start"])
+        .select(F.col("name").alias("_name"), "size", "parts", "times")
     )
-    rows = numbered(rows, "_tie")
-    same = [rows[k].eqNullSafe(plan[k]) for k in (*keys, "_copy")]
-    used = rows.join(plan, same).select("_row", "size", "parts", F.explode(F.sequence(F.lit(1).cast("bigint"), "times")).alias("k"))
+    used = rows.join(plan, "_name").select("_row", "size", "parts", F.explode(F.sequence(F.lit(1).cast("bigint"), "times")).alias("k"))
     used = used.withColumn("parts", F.filter("parts", lambda p: p["uses"] >= F.col("k")))
     used = used.withColumn("held", F.aggregate("parts", F.lit(0).cast("bigint"), lambda a, p: a + p["length"]))
     body = F.col("_row")[text]

@@ -86,28 +86,31 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with a column for every count the rules use, from the whole text, null as empty."""
     t = whole(text)
     lines = F.filter(F.split(t, "\n", -1), lambda x: F.length(_dropped(x, SPACES)) > 0)
-    made = docs.withColumn("_w", words(t)).withColumn("_lines", lines)
-    window = lambda i: F.xxhash64(F.slice(F.col("_w"), i, WINDOW))
-    last = F.size("_w") - WINDOW + 1
+    # names that no column of the table has
+    free = "_" * (1 + max(map(len, docs.columns), default=0))
+    w, l, h = free + "w", free + "l", free + "h"
+    made = docs.withColumn(w, words(t)).withColumn(l, lines)
+    window = lambda i: F.xxhash64(F.slice(F.col(w), i, WINDOW))
+    last = F.size(w) - WINDOW + 1
     made = made.withColumn(
-        "_h", F.when(last >= 1, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), window))
+        h, F.when(last >= 1, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), window))
         .otherwise(F.array().cast("array<bigint>"))
     )
-    stop = F.filter(F.transform("_w", lowered), lambda x: x.isin(STOP_WORDS))
+    stop = F.filter(F.transform(w, lowered), lambda x: x.isin(STOP_WORDS))
     counts = {
-        "n_words": F.size("_w"),
+        "n_words": F.size(w),
         "word_chars": F.length(_dropped(t, SPACES)),
         "n_symbols": F.length(t) - F.length(_dropped(t, SYMBOLS)),
         "n_capitals": F.length(t) - F.length(_dropped(t, UPPER)),
         "n_stop_words": F.size(stop),
-        "n_lines": F.size("_lines"),
-        "n_dup_lines": F.size("_lines") - F.size(F.array_distinct("_lines")),
-        "n_repeat_words": repeat_words(F.col("_w"), F.col("_h")),
+        "n_lines": F.size(l),
+        "n_dup_lines": F.size(l) - F.size(F.array_distinct(l)),
+        "n_repeat_words": repeat_words(F.col(w), F.col(h)),
     }
     # The condition always holds.  As it names the task, a filter on a count stays above the counts;
     # pushed below, it would repeat their expressions, once for each word even.
     held = lambda v: F.when(F.spark_partition_id() >= 0, v.cast("bigint"))
-    return made.withColumns({k: held(v) for k, v in counts.items()}).drop("_w", "_lines", "_h")
+    return made.withColumns({k: held(v) for k, v in counts.items()}).drop(w, l, h)
 
 
 def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, *, text: str = "text", lang: str | None = None, reasons: bool = True) -> DataFrame:
