@@ -207,6 +207,36 @@ def test_null_ids_stay_apart(spark):
     assert rows == {None: None, 5: 3, 3: 3}
 
 
+@pytest.mark.parametrize("swapped", [False, True])
+def test_one_id_with_two_texts_links_both(spark, swapped):
+    left, right = ([f"{c}{k}" for k in range(40)] for c in "ab")
+    texts = [" ".join(left), " ".join(right)]
+    rows = [(1, texts[swapped]), (1, texts[not swapped]), (2, " ".join([*left, "x"])), (3, " ".join([*right, "y"])), (4, "c d e f g h"), (5, texts[0])]
+    rows += [(3, ""), (6, None), (6, "p q r s t"), (None, texts[0])]
+    for order in (rows, rows[::-1]):
+        found = ngram_join.near_groups(spark.createDataFrame(order, "doc_id long, text string")).collect()
+        assert len(found) == len(rows)
+        assert {(r["doc_id"], r["component_id"]) for r in found} == {(1, 1), (2, 1), (3, 1), (4, 4), (5, 1), (6, 6), (None, None)}
+
+
+@pytest.mark.parametrize("asked", [1, 2])
+def test_rounds_of_few_candidates_find_all_links(spark, monkeypatch, asked):
+    """Long texts whose bound passes far below the threshold, so that first candidates are refused."""
+    monkeypatch.setattr(ngram_join, "ASKED", 2)
+    monkeypatch.setattr(ngram_join, "ORDERS", 1)
+    monkeypatch.setattr(ngram_join, "EARLY", asked)
+    random = np.random.default_rng(asked)
+    stem, texts = [f"s{i}" for i in range(1500)], {}
+    for i in range(24):
+        own = list(stem)
+        for k in random.choice(1500, 24 + 2 * (i % 8), replace=False):
+            own[k] = f"own{i}x{k}"
+        texts[i] = " ".join(own)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    rows = ngram_join.near_groups(docs, slice_size=7).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows} == brute.near_components(texts)
+
+
 def test_no_near_rows(spark):
     assert ngram_join.near_groups(brute.no_documents(spark)).collect() == []
     assert ngram_join.drop_near_copies(brute.no_documents(spark)).collect() == []

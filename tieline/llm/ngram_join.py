@@ -14,7 +14,10 @@ Equal sets are one node.  Cells first give each member's pairs with the member
 before it and with the first one, which is linear in the cell and, up to three
 members, complete; verified links make components.  Only cells of four or more
 that still span components get trees, and only pairs across components are asked
-for, so a large group of near copies never becomes all its pairs.
+for, so a large group of near copies never becomes all its pairs.  A pair is
+given by the first cell it shares, as far as the first few cells of both tell.
+A point gives its closest candidates only; links found so far merge components,
+and as long as some point had more candidates a next round gives more of them.
 """
 
 from __future__ import annotations
@@ -39,6 +42,8 @@ GROUPS = 256
 ORDERS = 4  # ways in which members of cells follow each other
 CLASSES = 1 << 18  # counted together to tell frequent shingles
 SLICE = 2048  # points of a tree
+EARLY = 8  # first cells of a document that tell whether an earlier cell gives a pair
+ASKED = 8  # candidates of a point in the first round, and how many times as many in the next
 LEAF = 32
 
 
@@ -216,31 +221,50 @@ class Box:
             child.search(point, size, comp, percent, found)
 
 
-def tree_pairs(right: dict[str, np.ndarray], left: dict[str, np.ndarray], percent: int = PERCENT) -> list[tuple[int, int]]:
-    """(left doc, right doc) of different components whose bound passes."""
+def tree_pairs(right: dict[str, np.ndarray], left: dict[str, np.ndarray], most: int, percent: int = PERCENT) -> tuple[list[tuple[int, int]], bool]:
+    """(left doc, right doc) of different components whose bound passes, and whether a point had more than ``most``.
+
+    The closest by the bound come first.  A pair is left to an earlier cell that
+    both have among their first ones, and to the smaller id where both ask.
+    """
     tree = Box(np.arange(len(right["doc"])), right["counts"], right["n"], right["comp"])
-    out = []
-    for doc, n, comp, point in zip(left["doc"].tolist(), left["n"].tolist(), left["comp"].tolist(), left["counts"]):
+    out, more = [], False
+    for doc, n, comp, point, cell, early in zip(
+        left["doc"].tolist(), left["n"].tolist(), left["comp"].tolist(), left["counts"], left["cell"].tolist(), left["early"]
+    ):
         leaves: list[np.ndarray] = []
         tree.search(point, n, comp, percent, leaves)
-        if leaves:
-            at = np.concatenate(leaves)
-            shared = np.minimum(right["counts"][at], point).sum(1, dtype=np.int64)
-            fits = (100 + percent) * shared >= overlap_needed(n, right["n"][at], percent)
-            fits &= right["comp"][at] != comp
-            out.extend((doc, other) for other in right["doc"][at[fits]].tolist())
-    return out
-
-
-def searched(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(a, b) from (cell, i, j, side, doc, n, comp, counts): a tree of each group's side 1, asked by its side 0."""
+        if not leaves:
+            continue
+        at = np.concatenate(leaves)
+        at = at[(right["comp"][at] != comp) & (right["main"][at] | (right["doc"][at] > doc))]
+        shared = np.minimum(right["counts"][at], point).sum(1, dtype=np.int64)
+        fits = (100 + percent) * shared >= overlap_needed(n, right["n"][at], percent)
+        before = early[early < cell]  # rows are padded with the largest long
+        if len(before):
+            fits[fits] = ~np.isin(right["early"][at[fits]], before).any(1)
+        at, shared = at[fits], shared[fits]
+        if len(at) > most:
+            more = True
+            near = shared / (n + right["n"][at])
+            at = at[np.lexsort((right["doc"][at], -near))[:most]]
+        out.extend((doc, other) for other in right["doc"][at].tolist())
+    return out, more
+
+
+def searched(rows: DataFrame, most: int, percent: int = PERCENT) -> DataFrame:
+    """(a, b) from (cell, i, j, side, doc, n, comp, main, counts, early): a tree of each group's side 1, asked by its side 0.
+
+    A row of nulls tells that some point had more than ``most`` candidates.
+    """
+    names = ("cell", "i", "j", "side", "doc", "n", "comp", "main")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("cell", "i", "j", "side", "doc", "n", "comp")
         rest: dict[str, np.ndarray] | None = None
         for batch in batches:
-            now = {c: batch.column(c).to_numpy() for c in names}
+            now = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in names}
             now["counts"] = as_points(batch.column("counts"))
+            now["early"] = batch.column("early").flatten().to_numpy().reshape(-1, EARLY)
             if rest is not None:
                 now = {c: np.concatenate([rest[c], now[c]]) for c in now}
             change = np.flatnonzero(np.any([now[c][1:] != now[c][:-1] for c in ("cell", "i", "j")], axis=0)) + 1
@@ -251,19 +275,21 @@ def searched(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
             yield from pairs(rest, np.array([len(rest["cell"])]))
 
     def pairs(held: dict[str, np.ndarray], change: np.ndarray) -> Iterator[pa.RecordBatch]:
-        found, start = [], 0
+        found, start, more = [], 0, False
         for stop in change.tolist():
             group = {c: v[start:stop] for c, v in held.items()}
             sides = [{c: v[group["side"] == s] for c, v in group.items()} for s in (0, 1)]
             if len(sides[0]["doc"]) and len(sides[1]["doc"]):
-                found.extend(tree_pairs(sides[1], sides[0], percent))
+                some, left = tree_pairs(sides[1], sides[0], most, percent)
+                found.extend(some)
+                more |= left
             start = stop
-        both = np.array(sorted({(min(p), max(p)) for p in found}), np.int64).reshape(-1, 2)
-        yield pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], ["a", "b"])
+        both = sorted({(min(p), max(p)) for p in found}) + [(None, None)] * more
+        yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in both], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     # a group holds 2 * SLICE points at most, about
     ordered = rows.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j")
-    return ordered.mapInArrow(run, "a bigint, b bigint").distinct()
+    return ordered.select(*names, "counts", "early").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def within_bound(pairs: DataFrame, nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -380,22 +406,63 @@ def near_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
 
     Texts without words have no shingles and link with nothing; so do rows with a
     null id, whose component is null.  Pairs at the threshold link.  Repeated
-    rows share a component; rows of one id are one document.  No rows give no
-    rows; other columns are not read.  Shingles go by 64-bit hashes and equal
+    rows share a component.  Rows of one id are one document whatever their
+    texts: each row tells its own set's size, and links of any of them count for
+    all.  No rows give no rows; other columns are not read.  Shingles go by 64-bit hashes and equal
     sets by a 128-bit digest of them; ids must fit a long.
     """
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), whole(text).cast("binary").alias("text"))
     with small_batches(docs.sparkSession):
-        member, groups = _groups(rows, percent, slice_size)
+        counts = class_counts(rows)
+        made = cut(points(rows, counts, percent))
+        odd = cut(several_sets(made))
+        if odd.isEmpty():
+            member, groups = _groups(rows, made, percent, slice_size)
+        else:
+            return _by_texts(rows, odd, counts, percent, slice_size)
     found = member.join(groups, "node", "left")
     # the smallest id of a component is a node, as nodes are the smallest ids of their sets
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node", "doc_id"))
     return found.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
-def _groups(rows: DataFrame, percent: int, slice_size: int) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n, node) of every row, and (node, component) of linked nodes; both are written."""
-    made = cut(points(rows, class_counts(rows), percent))
+def several_sets(made: DataFrame) -> DataFrame:
+    """(doc) for ids whose rows differ in their sets."""
+    sig = F.xxhash64("sig")
+    ids = made.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(sig).alias("least"), F.max(sig).alias("most"))
+    return ids.where("least != most").select(F.col("doc_id").alias("doc"))
+
+
+def _by_texts(rows: DataFrame, odd: DataFrame, counts: np.ndarray, percent: int, slice_size: int) -> DataFrame:
+    """The result where rows of one id have several texts: each text is a document, linked with the others of its id.
+
+    A hash of id and text names the rows of such ids, and of few others by a bit
+    table; the smallest id of a component names it at the end.
+    """
+    marked = rows.withColumn("p", place("doc_id")).withColumn("w", F.shiftright("p", 5))
+    marked = marked.join(F.broadcast(cut(bit_table(odd))), "w", "left")
+    named = F.coalesce(F.expr("shiftright(bits, cast(p & 31 AS int)) & 1") == 1, F.lit(False))
+    marked = marked.select(F.col("doc_id").alias("id"), F.when(named, F.xxhash64("doc_id", "text")).otherwise(F.col("doc_id")).alias("doc_id"), "text")
+    ids = cut(marked.where("id != doc_id").select("id", "doc_id").distinct())
+    rows = marked.select("doc_id", "text")
+    member, groups = _groups(rows, cut(points(rows, counts, percent)), percent, slice_size, ids)
+    held = member.join(groups, "node", "left").join(ids, "doc_id", "left")
+    held = cut(held.select(F.coalesce("id", "doc_id").alias("doc_id"), "n", F.coalesce("component", "node").alias("c")))
+    least = held.where("c IS NOT NULL").groupBy("c").agg(F.min("doc_id").alias("component_id"))
+    held = held.join(least, "c", "left")
+    # rows without words follow the other rows of their id
+    of_id = held.join(ids.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("component_id").alias("other"))
+    return held.join(of_id, "doc_id", "left").select(
+        "doc_id", F.col("n").alias("n_shingles"),
+        F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "other", "doc_id")).alias("component_id"),
+    )
+
+
+def _groups(rows: DataFrame, made: DataFrame, percent: int, slice_size: int, ids: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n, node) of every row, and (node, component) of linked nodes; both are written.
+
+    Ids that share an ``id`` in ``ids`` (id, doc_id) are linked.
+    """
     some = made.where("n > 0 AND doc_id IS NOT NULL")
     nodes_of = cut(some.groupBy("sig").agg(F.min("doc_id").alias("node")))
     member = cut(made.select("doc_id", "n", "sig").join(nodes_of, "sig", "left").select("doc_id", "n", "node"))
@@ -409,24 +476,37 @@ def _groups(rows: DataFrame, percent: int, slice_size: int) -> tuple[DataFrame,
     pair = lambda other: members.where(
         f"place > 0 AND {other} != doc AND 100 * least(n, n_{other}) >= {percent} * greatest(n, n_{other})"
     ).select(F.least("doc", other).alias("a"), F.greatest("doc", other).alias("b"))
-    near = cut(within_bound(pair("before").unionByName(pair("first")).distinct(), shapes, percent))
-    links = cut(verified(rows, near, percent))
+    checked = cut(within_bound(pair("before").unionByName(pair("first")).distinct(), shapes, percent))
+    links = verified(rows, checked, percent)
+    if ids is not None:
+        named = cut(ids.join(member.where("node IS NOT NULL").select("doc_id", "node").distinct(), "doc_id").select("id", "node").distinct())
+        first = named.groupBy("id").agg(F.min("node").alias("a"))
+        links = links.unionByName(named.join(first, "id").where("a != node").select("a", F.col("node").alias("b")))
+    links = cut(links)
     groups = cut(connected_components(links.toDF("src", "dst")))
 
-    across = searched(_split(members, groups, slice_size).join(shapes.drop("n"), "doc"), percent)
-    later = cut(across.join(near, ["a", "b"], "left_anti"))
-    if not later.isEmpty():
-        links = links.unionByName(verified(rows, later, percent))
-        groups = cut(connected_components(links.toDF("src", "dst")))
+    # each round gives more candidates of a point than the one before, and the last gives all that are left
+    most, more = ASKED, True
+    while more:
+        found = cut(searched(_split(members, groups, slice_size).join(shapes.drop("n"), "doc"), most, percent))
+        more = not found.where("a IS NULL").isEmpty()
+        most *= ASKED
+        later = cut(found.where("a IS NOT NULL").join(checked, ["a", "b"], "left_anti"))
+        if not later.isEmpty():
+            links = links.unionByName(cut(verified(rows, later, percent)))
+            groups = cut(connected_components(links.toDF("src", "dst")))
+            if more:
+                checked = cut(checked.unionByName(later))
     return member, groups.select("node", "component")
 
 
 def _split(members: DataFrame, groups: DataFrame, slice_size: int) -> DataFrame:
-    """Trees to search: (cell, i, j, side, doc, n, comp) for cells of four members that span components.
+    """Trees to search: (cell, i, j, side, doc, n, comp, main, early) for cells of four members that span components.
 
     In a cell, members outside its largest component ask (side 0, in slices i)
     all members (side 1, in slices j); every slice of one side meets every slice
-    of the other, and none has many more than ``slice_size`` points.
+    of the other, and none has many more than ``slice_size`` points.  ``main`` marks
+    the largest component; ``early`` has the first of the document's cells here.
     """
     # cells of up to three members are done: each pair was one with the row before or the first
     wide = members.where("place = 3").select("cell")
@@ -442,12 +522,15 @@ def _split(members: DataFrame, groups: DataFrame, slice_size: int) -> DataFrame:
             F.ceil((F.col("all") - F.col("top.k")) / slice_size).cast("int").alias("asks"), F.ceil(F.col("all") / slice_size).cast("int").alias("holds"),
         )
     )
-    told = placed.join(cells, "cell")
+    told = cut(placed.join(cells, "cell").withColumn("main", F.col("comp") == F.col("major")))
+    firsts = F.slice(F.array_sort(F.collect_list("cell")), 1, EARLY)
+    none = F.array_repeat(F.lit(2**63 - 1), EARLY)
+    early = told.groupBy("doc").agg(F.slice(F.concat(firsts, none), 1, EARLY).alias("early"))
     slice_of = lambda n: F.pmod(F.xxhash64("doc"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    ask = told.where("comp != major").select("cell", slice_of("asks").alias("i"), every("holds").alias("j"), F.lit(0).alias("side"), "doc", "n", "comp")
-    hold = told.select("cell", every("asks").alias("i"), slice_of("holds").alias("j"), F.lit(1).alias("side"), "doc", "n", "comp")
-    return ask.unionByName(hold)
+    ask = told.where("NOT main").select("cell", slice_of("asks").alias("i"), every("holds").alias("j"), F.lit(0).alias("side"), "doc", "n", "comp", "main")
+    hold = told.select("cell", every("asks").alias("i"), slice_of("holds").alias("j"), F.lit(1).alias("side"), "doc", "n", "comp", "main")
+    return ask.unionByName(hold).join(early, "doc")
 
 
 def drop_near_copies(docs: DataFrame, *, doc_id: str = "doc_id", **how) -> DataFrame:
