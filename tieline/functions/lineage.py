@@ -8,6 +8,9 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
+BUCKETED = "tieline_by_"
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The session's reliable checkpoint folder.
 
@@ -31,6 +34,8 @@ def application_dir(spark: SparkSession) -> str:
 
 def clear(spark: SparkSession) -> None:
     """Delete this application's written tables; frames that read them can't be used any more."""
+    for table in spark.catalog.listTables(pattern=f"{BUCKETED}*"):
+        spark.sql(f"DROP TABLE IF EXISTS `{table.name}`")
     folder = spark._jvm.org.apache.hadoop.fs.Path(application_dir(spark))
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
@@ -49,6 +54,22 @@ def cut(df: DataFrame, compression: str = "snappy") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def cut_by(df: DataFrame, key: str) -> DataFrame:
+    """Like ``cut``, in buckets by hash of the key: grouping by it, or joining on it, moves no row of the table again.
+
+    There are as many buckets as a shuffle of the session has partitions, and
+    one file in each.
+    """
+    spark = df.sparkSession
+    name = uuid.uuid4().hex
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    (
+        df.repartition(buckets, key).write.format("parquet").option("path", f"{application_dir(spark)}/{name}")
+        .bucketBy(buckets, key).saveAsTable(f"{BUCKETED}{name}")
+    )
+    return spark.table(f"{BUCKETED}{name}")
+
+
 def keep(df: DataFrame) -> DataFrame:
     """Cache a frame used several times; lost blocks are recomputed from lineage."""
     return df.persist(StorageLevel.MEMORY_AND_DISK)

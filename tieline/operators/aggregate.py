@@ -109,9 +109,9 @@ def aggregate_clusters(
         F.max(top_rate).alias("max_account_return_rate"),
         F.sum(rate.cast("decimal(28,0)")).alias("rate_sum"),
     )
-    distinct_keys = incidence.distinct_keys(
-        orders.join(owned.select("cluster", "account_id"), "account_id"), "cluster"
-    )
+    # one narrow row per account, hashed by partition: events are not sorted for the join
+    owners = owned.select("cluster", "account_id").hint("shuffle_hash")
+    distinct_keys = incidence.distinct_keys(orders.join(owners, "account_id"), "cluster")
     distinct_counts = distinct_keys.groupBy("cluster").agg(
         *[
             F.count_if(F.col("kind") == kind).alias(name)
@@ -121,9 +121,7 @@ def aggregate_clusters(
             )
         ]
     )
-    came_back = owned.select("cluster", "account_id").join(
-        returns.select("account_id", "initiated_at", "days_after_delivery"), "account_id"
-    )
+    came_back = returns.select("account_id", "initiated_at", "days_after_delivery").join(owners, "account_id")
     delays = came_back.groupBy("cluster").agg(F.median("days_after_delivery").alias("median_days"))
     spread = return_spread(came_back)
     zero = F.lit(0)

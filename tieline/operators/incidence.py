@@ -10,8 +10,10 @@ from tieline.functions.ids import digest_id, entity_id
 from tieline.sources.tables import Activity
 from tieline.vocabulary import LINKING
 
+ACCOUNT_ID = "ent_acc_"  # as entity_id names accounts
 
-def touches(orders: DataFrame) -> DataFrame:
+
+def touches(orders: DataFrame, *also: str) -> DataFrame:
     """One row per order and infrastructure key it carries; null keys give none."""
     keys = F.array(
         *[
@@ -20,9 +22,9 @@ def touches(orders: DataFrame) -> DataFrame:
         ]
     )
     return (
-        orders.select("id", "account_id", "placed_at", F.explode(keys).alias("touched"))
+        orders.select("id", "account_id", "placed_at", *also, F.explode(keys).alias("touched"))
         .where(F.col("touched.key").isNotNull())
-        .select("id", "account_id", "placed_at", "touched.kind", "touched.key")
+        .select("id", "account_id", "placed_at", *also, "touched.kind", "touched.key")
     )
 
 
@@ -108,33 +110,43 @@ def account_rates(rollup: DataFrame) -> DataFrame:
     )
 
 
-def observed_edges(accounts: DataFrame, orders: DataFrame) -> DataFrame:
-    """Edges asserted by events, with the first event as provenance."""
+def observed_edges(accounts: DataFrame, orders: DataFrame, *also: str) -> DataFrame:
+    """Edges asserted by events, with the first event as provenance.
+
+    Events are folded by account and key as they come, where orders kept by
+    account need no shuffle; ids and texts are made of the folded rows.
+    ``also`` names columns of both tables that depend on the source alone and
+    are passed on.
+    """
+    event = lambda prefix, suffix: F.concat(F.lit(prefix), "id", F.lit(suffix))
+    folded = lambda events, *key: events.groupBy(*key, *also).agg(
+        F.min("at").alias("first_seen"),
+        F.max("at").alias("last_seen"),
+        F.count("*").alias("observation_count"),
+        F.min_by("event", F.struct("at", "event")).alias("provenance"),
+    )
+    told = ("first_seen", "last_seen", "observation_count", "provenance", *also)
     edge_type = F.coalesce(
         *[F.when(F.col("kind") == kind, F.lit(edge)) for kind, (_, edge, *_) in LINKING.items()]
     )
-    used = touches(orders).select(
-        entity_id(F.lit("ACCOUNT"), F.col("account_id")).alias("src"),
-        entity_id(F.col("kind"), F.col("key")).alias("dst"),
-        edge_type.alias("type"),
-        F.col("placed_at").alias("at"),
-        F.concat(F.lit("order "), "id").alias("event"),
+    used = touches(orders, *also).select(
+        "account_id", "kind", "key", F.col("placed_at").alias("at"), event("order ", "").alias("event"), *also
     )
     owned = accounts.select(
-        entity_id(F.lit("CUSTOMER"), F.col("customer_key")).alias("src"),
-        F.col("entity_id").alias("dst"),
-        F.lit("OWNS").alias("type"),
-        F.col("opened_at").alias("at"),
-        F.concat(F.lit("account "), "id", F.lit(" opened")).alias("event"),
+        "customer_key", "entity_id", F.col("opened_at").alias("at"), event("account ", " opened").alias("event"), *also
     )
     return (
-        used.unionByName(owned)
-        .groupBy("src", "dst", "type")
-        .agg(
-            F.min("at").alias("first_seen"),
-            F.max("at").alias("last_seen"),
-            F.count("*").alias("observation_count"),
-            F.min_by("event", F.struct("at", "event")).alias("provenance"),
+        folded(used, "account_id", "kind", "key")
+        .select(
+            entity_id(F.lit("ACCOUNT"), F.col("account_id")).alias("src"),
+            entity_id(F.col("kind"), F.col("key")).alias("dst"),
+            edge_type.alias("type"), *told,
+        )
+        .unionByName(
+            folded(owned, "customer_key", "entity_id").select(
+                entity_id(F.lit("CUSTOMER"), F.col("customer_key")).alias("src"),
+                F.col("entity_id").alias("dst"), F.lit("OWNS").alias("type"), *told,
+            )
         )
         .select(
             digest_id("edg", F.col("src"), F.col("dst"), F.col("type")).alias("id"),
@@ -143,11 +155,21 @@ def observed_edges(accounts: DataFrame, orders: DataFrame) -> DataFrame:
             F.lit(1).cast("decimal(9,4)").alias("weight"),
             "provenance",
             F.lit(None).cast("string").alias("via"),
-            "first_seen", "last_seen", "observation_count",
+            "first_seen", "last_seen", "observation_count", *also,
         )
     )
 
 
+def member_edges(members: DataFrame, accounts: DataFrame, orders: DataFrame) -> DataFrame:
+    """Observed edges from members of clusters, with their cluster; events of all others are left out first."""
+    accounts_of = members.where(F.col("entity_id").startswith(ACCOUNT_ID)).select(
+        F.substring("entity_id", F.lit(len(ACCOUNT_ID) + 1), F.length("entity_id")).alias("account_id"), "cluster"
+    )
+    customer = entity_id(F.lit("CUSTOMER"), F.col("customer_key"))
+    owned = accounts.join(members.select(F.col("entity_id").alias("_member"), "cluster"), customer == F.col("_member"))
+    return observed_edges(owned, orders.join(accounts_of.hint("shuffle_hash"), "account_id"), "cluster")
+
+
 def incidence(orders: DataFrame, accounts: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """Account-to-infrastructure incidences, resolved to node ids.
 
@@ -161,7 +183,8 @@ def incidence(orders: DataFrame, accounts: DataFrame, nodes: DataFrame | None =
         F.max("placed_at").alias("last_seen"),
     )
     owners = accounts.select(F.col("id").alias("account_id"), F.col("entity_id").alias("account"))
-    resolved = folded.join(owners, "account_id")
+    # one narrow row per account: hashed by partition, so that the folded rows are not sorted
+    resolved = folded.join(owners.hint("shuffle_hash"), "account_id")
     if nodes is None:
         resolved = resolved.withColumn("infra", entity_id(F.col("kind"), F.col("key")))
     else:

@@ -14,6 +14,10 @@ from tieline.vocabulary import DECAY_FLOOR, DECAY_HORIZON_DAYS, DECAY_SLOPE, LIN
 # HOT_SHARE cases, whatever the data, so a list of such nodes may be broadcast.
 HOT_SHARE = 50_000
 
+# Usable nodes are marked in FILTER_SLOTS bitmaps of 32,768 bits, 16 MB in all
+# however many nodes there are, so that list may be broadcast as well.
+FILTER_SLOTS = 4_096
+
 DAY_MS = 86_400_000
 
 
@@ -57,7 +61,9 @@ def guarded(
 
     A default value or gateway seen by a large share of all accounts would put
     its rows into one task only to be dropped there, so such nodes are removed
-    by a broadcast list of provably bounded length before the shuffle.
+    by a broadcast list of provably bounded length before the shuffle.  Of the
+    others most have one account only; a bitmap over hashes of the usable nodes
+    drops nearly all of them before the exact semi join.
     """
     counts = fan_out(incidences) if counts is None else counts
     share = counts.agg(F.sum("account_count") / HOT_SHARE).scalar()
@@ -65,7 +71,23 @@ def guarded(
         (F.col("account_count") > config.max_accounts_per_node) & (F.col("account_count") > share)
     ).select("infra")
     usable = counts.where(F.col("account_count").between(2, config.max_accounts_per_node)).select("infra")
-    return incidences.join(F.broadcast(hot), "infra", "left_anti").join(usable, "infra", "left_semi")
+    slot, bit = _mark(F.col("infra"))
+    marks = usable.select(slot.alias("_slot"), bit.alias("_bit")).groupBy("_slot").agg(
+        F.bitmap_construct_agg("_bit").alias("_bits")
+    )
+    byte = F.conv(F.hex(F.substring("_bits", F.call_function("div", bit, F.lit(8)).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    marked = F.call_function("shiftright", byte, (bit % 8).cast("int")).bitwiseAND(F.lit(1)) == 1
+    return (
+        incidences.join(F.broadcast(hot), "infra", "left_anti")
+        .join(F.broadcast(marks), (slot == F.col("_slot")) & marked, "left_semi")
+        .join(usable, "infra", "left_semi")
+    )
+
+
+def _mark(node: Column) -> tuple[Column, Column]:
+    """Bitmap and bit that stand for a node; several nodes may share them."""
+    h = F.xxhash64(node)
+    return F.pmod(h, F.lit(FILTER_SLOTS)), F.pmod(F.call_function("div", h, F.lit(FILTER_SLOTS)), F.lit(32_768))
 
 
 def inferred_edges(guarded_incidences: DataFrame) -> DataFrame:

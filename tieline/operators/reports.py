@@ -62,11 +62,14 @@ def top_signals(clusters: DataFrame, count: int = 3) -> DataFrame:
 def subgraph_edges(members: DataFrame, inside: DataFrame, observed: DataFrame) -> DataFrame:
     """Edges of every cluster: inferred ones among its members, observed ones from them.
 
-    ``members`` is (cluster, entity_id); ``inside`` inferred edges with their cluster.
+    ``members`` is (cluster, entity_id); ``inside`` inferred edges with their cluster;
+    ``observed`` may be all observed edges, or those of members with their cluster.
     """
     columns = ("cluster", "id", "src", "dst", "type", "derived", "weight", "provenance", "via",
                "first_seen", "last_seen", "observation_count")
-    of_members = observed.join(members.select(F.col("entity_id").alias("src"), "cluster"), "src")
+    of_members = observed
+    if "cluster" not in observed.columns:
+        of_members = observed.join(members.select(F.col("entity_id").alias("src"), "cluster"), "src")
     return inside.select(*columns).unionByName(of_members.select(*columns))
 
 

@@ -42,11 +42,11 @@ class Detection:
     # --- graph ---------------------------------------------------------------
     @cached_property
     def incidence(self) -> DataFrame:
-        return keep(incidence.incidence(self.activity.orders, self.activity.accounts))
+        return incidence.incidence(self.activity.orders, self.activity.accounts)
 
     @cached_property
     def fan_out(self) -> DataFrame:
-        return keep(links.fan_out(self.incidence))
+        return cut(links.fan_out(self.incidence))
 
     @cached_property
     def guarded(self) -> DataFrame:
@@ -61,6 +61,11 @@ class Detection:
     def observed(self) -> DataFrame:
         return incidence.observed_edges(self.activity.accounts, self.activity.orders)
 
+    @cached_property
+    def observed_inside(self) -> DataFrame:
+        """Observed edges from members, with their cluster."""
+        return incidence.member_edges(self.members, self.activity.accounts, self.activity.orders)
+
     @cached_property
     def entities(self) -> DataFrame:
         return incidence.entities(self.activity.accounts, self.activity.orders)
@@ -143,7 +148,7 @@ class Detection:
         """(cluster, injection_findings) over whole return reasons."""
         reasons = self.activity.returns.select("account_id", "id", F.col("reason").alias("text"))
         hits = screening.injection_scan(reasons, "text", "account_id", "id")
-        return (
+        return cut(
             hits.join(self.owned.select("account_id", "cluster"), "account_id")
             .groupBy("cluster")
             .agg(F.count("*").alias("injection_findings"))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tieline.functions.ids import anonymised_key, entity_id
-from tieline.functions.lineage import cut
+from tieline.functions.lineage import cut, cut_by
 from tieline.operators.components import connected_components
 from tieline.sources.tables import Activity, read_table
 from tieline.vocabulary import BENIGN_TEMPLATES, DIFFICULTIES, SUSPICIOUS_TEMPLATES
@@ -30,8 +30,10 @@ def _table(spark: SparkSession, path: str, name: str, *columns: str) -> DataFram
 def order_lines(spark: SparkSession, path: str) -> DataFrame:
     """One row per ordered line with its account, ids, category and dates.
 
-    The only join of the large tables: written once, after which every model
-    table is a projection over the columns it needs.
+    The only join of the large tables: written once, in buckets by account, after
+    which every model table is a projection over the columns it needs and is
+    folded by account without another shuffle.  Texts made of other columns are
+    made when read, not stored.
     """
     lines = _table(
         spark, path, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
@@ -39,17 +41,17 @@ def order_lines(spark: SparkSession, path: str) -> DataFrame:
     )
     owners = _table(spark, path, "orders", "o_orderkey", "o_custkey")
     parts = _table(spark, path, "part", "p_partkey", "p_brand")
-    day = F.date_format("l_shipdate", "yyyy-MM-dd")
     joined = lines.join(owners, lines.l_orderkey == owners.o_orderkey).join(
         parts, lines.l_partkey == parts.p_partkey
     ).select(
-        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", day).alias("line_id"),
-        F.col("o_custkey").cast("string").alias("account_id"),
+        F.col("o_custkey").cast("string").alias("account_id"), "l_orderkey",
         F.col("l_shipdate").cast("timestamp").alias("placed_at"),
         F.col("p_brand").alias("product_category"),
         "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_discount", "l_returnflag",
     )
-    return cut(joined)
+    day = F.date_format("placed_at", "yyyy-MM-dd")
+    line = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", day)
+    return cut_by(joined, "account_id").withColumn("line_id", line)
 
 
 def orders(lines: DataFrame) -> DataFrame:
