@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import random
+
 import duckdb
 
-from tieline.llm import registry, sql
+from tieline.llm import quality_rules, registry, sql
 
 
 def test_rules_and_sql_agree_on_languages_and_odd_texts(spark, tmp_path):
@@ -20,3 +22,18 @@ def test_rules_and_sql_agree_on_languages_and_odd_texts(spark, tmp_path):
     told = con.execute(f"SELECT {', '.join(made.columns)} FROM ({sql.ORACLES['op4_quality_rules']})").fetchall()
     assert sorted(map(tuple, made.collect())) == sorted(told)
     assert {r["doc_id"] for r in made.where("kept").collect()} == {1, 3, 4, 7}
+
+
+def test_windows_are_sorted_by_hash_and_only_recurring_ones_by_words(spark):
+    draw = random.Random(5)
+    texts = [" ".join(draw.choice("abc") for _ in range(draw.randrange(40))) for _ in range(60)] + ["", None, "x " * 30]
+
+    def brute(text):
+        w = (text or "").split()
+        windows = [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+        return len({i + k for i, x in enumerate(windows) if windows.count(x) > 1 for k in range(5)})
+
+    told = quality_rules.measures(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert {r["doc_id"]: r["n_repeat_words"] for r in told.collect()} == {i: brute(t) for i, t in enumerate(texts)}
+    # a sort that asks an expression for each pair took most of the operator's time
+    assert "array_sort(" not in told._jdf.queryExecution().optimizedPlan().toString()
