@@ -85,3 +85,40 @@ def test_guard_drops_single_accounts_before_the_join(spark):
     guarded = links.guarded(seen, counts=counts)
     assert rows(guarded) == rows(expected)
     assert "bitmap_construct_agg" in plan(guarded)
+
+
+def test_entities_are_dealt_by_id_so_that_what_is_known_of_a_node_joins_in_place(spark, folder):
+    run = Detection(adapter.activity(spark, folder))
+    fan = run.fan_out.select(F.col("infra").alias("id"), "account_count")
+    joined = run.entities.join(fan.hint("merge"), "id")
+    assert joined.count() > 0
+    by_type_and_key = re.compile(r"hashpartitioning\((?:type|kind)#\d+, key#\d+")
+    assert not by_type_and_key.search(plan(joined))
+    assert plan(joined).count("Exchange hashpartitioning(") <= 2
+
+
+def test_entities_without_key_stay_one_row_a_type(spark):
+    accounts = spark.createDataFrame(
+        [("1", "c1", datetime(2001, 1, 2)), (None, None, datetime(2001, 1, 1)), (None, "c1", None)],
+        "id string, customer_key string, opened_at timestamp",
+    )
+    none = spark.createDataFrame([], "id string, account_id string, placed_at timestamp, device_key string, address_key string, payment_key string")
+    told = incidence.entities(accounts, none)
+    assert rows(told) == sorted([
+        ("ent_acc_1", "ACCOUNT", "1", datetime(2001, 1, 2), datetime(2001, 1, 2), 1),
+        ("ent_cus_c1", "CUSTOMER", "c1", datetime(2001, 1, 2), datetime(2001, 1, 2), 2),
+        (None, "ACCOUNT", None, datetime(2001, 1, 1), datetime(2001, 1, 1), 2),
+        (None, "CUSTOMER", None, datetime(2001, 1, 1), datetime(2001, 1, 1), 1),
+    ], key=str)
+
+
+def test_guard_marks_every_bit_of_a_bitmap(spark):
+    """Two accounts on each of many nodes: none may be lost by the bits."""
+    seen = spark.range(6000).select(
+        F.concat(F.lit("a"), F.col("id").cast("string")).alias("account"),
+        F.concat(F.lit("n"), (F.col("id") % 3000).cast("string")).alias("infra"), F.lit("DEVICE").alias("kind"),
+    )
+    guarded = links.guarded(seen)
+    assert guarded.count() == 6000
+    # no text is made to ask for a bit
+    assert not re.search(r"BroadcastHashJoin [^\n]*conv\(", plan(guarded))

@@ -42,22 +42,28 @@ def entities(accounts: DataFrame, orders: DataFrame) -> DataFrame:
     from_orders = touches(orders).select(
         F.col("kind").alias("type"), "key", F.col("placed_at").alias("at")
     )
-    return (
-        from_accounts.unionByName(from_orders)
-        .groupBy("type", "key")
-        .agg(
-            F.min("at").alias("first_seen"),
-            F.max("at").alias("last_seen"),
-            F.count("*").alias("event_count"),
-        )
-        .select(
-            entity_id(F.col("type"), F.col("key")).alias("id"),
-            "type",
-            F.col("key").alias("anonymized_key"),
-            "first_seen",
-            "last_seen",
-            "event_count",
-        )
+    seen = (
+        F.min("at").alias("first_seen"),
+        F.max("at").alias("last_seen"),
+        F.count("*").alias("event_count"),
+    )
+    # an id names its type and whole key, so rows are dealt by it alone and a join on it moves none again
+    by_id = (
+        from_accounts.where(F.col("key").isNotNull()).unionByName(from_orders)
+        .groupBy(entity_id(F.col("type"), F.col("key")).alias("id"))
+        .agg(*seen)
+    )
+    start = lambda kind: entity_id(F.lit(kind), F.lit(""))
+    kinds = ("ACCOUNT", "CUSTOMER", *LINKING)
+    key = F.substring("id", F.length(start(kinds[0])) + 1, F.length("id"))
+    named = by_id.select(
+        "id", F.coalesce(*[F.when(F.col("id").startswith(start(k)), F.lit(k)) for k in kinds]).alias("type"),
+        key.alias("anonymized_key"), "first_seen", "last_seen", "event_count",
+    )
+    unnamed = from_accounts.where(F.col("key").isNull()).groupBy("type").agg(*seen)
+    no = F.lit(None).cast("string")
+    return named.unionByName(
+        unnamed.select(no.alias("id"), "type", no.alias("anonymized_key"), "first_seen", "last_seen", "event_count")
     )
 
 

@@ -72,11 +72,16 @@ def guarded(
     ).select("infra")
     usable = counts.where(F.col("account_count").between(2, config.max_accounts_per_node)).select("infra")
     slot, bit = _mark(F.col("infra"))
-    marks = usable.select(slot.alias("_slot"), bit.alias("_bit")).groupBy("_slot").agg(
+    bits = usable.select(slot.alias("_slot"), bit.alias("_bit")).groupBy("_slot").agg(
         F.bitmap_construct_agg("_bit").alias("_bits")
     )
-    byte = F.conv(F.hex(F.substring("_bits", F.call_function("div", bit, F.lit(8)).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    marked = F.call_function("shiftright", byte, (bit % 8).cast("int")).bitwiseAND(F.lit(1)) == 1
+    # as whole numbers once, so that asking for a bit makes no text
+    word = lambda i: F.conv(F.hex(F.substring("_bits", i * 8 + 1, F.lit(8))), 16, -10).cast("bigint")
+    marks = bits.select("_slot", F.transform(F.sequence(F.lit(0), F.lit(511)), word).alias("_words"))
+    at = F.get(F.col("_words"), F.call_function("div", bit, F.lit(64)).cast("int"))
+    # bytes lie from the first up, bits in them from the lowest
+    place = F.lit(56) - (F.call_function("div", bit, F.lit(8)) % 8 * 8).cast("int") + (bit % 8).cast("int")
+    marked = F.call_function("shiftright", at, place).bitwiseAND(F.lit(1).cast("bigint")) == 1
     return (
         incidences.join(F.broadcast(hot), "infra", "left_anti")
         .join(F.broadcast(marks), (slot == F.col("_slot")) & marked, "left_semi")
