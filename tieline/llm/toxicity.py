@@ -168,6 +168,11 @@ class Units:
     sentence_start: np.ndarray
     text_start: np.ndarray  # first sentence of each text, and their number
 
+    def places(self) -> Iterator[slice]:
+        """The places of each text."""
+        bounds = self.sentence_start[self.text_start].tolist()
+        return map(slice, bounds, bounds[1:])
+
 
 def units_of(texts: pa.Array) -> Units:
     """Split at white space; a sentence ends after . ! or ?, at a line's end, or at ``UNITS`` units."""
@@ -318,6 +323,11 @@ def labelled(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label:
     return used.groupBy("_id", "_y").agg(F.min("_text").alias("_text"))
 
 
+def _parts(batches: Iterator[pa.RecordBatch], rows: int = 250) -> Iterator[pa.RecordBatch]:
+    """Batches of a few hundred texts."""
+    return (batch.slice(at, rows) for batch in batches for at in range(0, batch.num_rows, rows))
+
+
 def _stripped(word: str) -> str:
     return word.strip("".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()))
 
@@ -326,10 +336,12 @@ def _landmarks(sample: DataFrame) -> tuple[list[str], int]:
     """Landmark strings from the units of the sample, and how many of them cover toxic documents; only ``CANDIDATES`` units with their documents reach the driver."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _parts(batches):
+            u = units_of(batch.column("_text"))
+            names = [_stripped(w) for w in u.words]
             ids, ys, found = [], [], []
-            for i, y, t in zip(batch.column("_n").to_pylist(), batch.column("_y").to_pylist(), batch.column("_text")):
-                mine = {_stripped(w) for w in units_of(pa.array([t.as_py()])).words}
+            for i, y, at in zip(batch.column("_n").to_pylist(), batch.column("_y").to_pylist(), u.places()):
+                mine = {names[k] for k in np.unique(u.at[at]).tolist()}
                 mine = [w for w in mine if SHORTEST <= len(w) <= WINDOW // 2]
                 found += mine
                 ids += [i] * len(mine)
@@ -355,12 +367,15 @@ def _instances(sample: DataFrame, landmarks: list[str]) -> tuple[np.ndarray, np.
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks = [Landmark(z) for z in landmarks]
-        for batch in batches:
+        for batch in _parts(batches):
+            # equal units of several texts are looked at once
+            u = units_of(batch.column("_text"))
+            near = kernels(u.words, marks)
             ids, ys, found = [], [], []
-            for i, y, t in zip(batch.column("_n").to_pylist(), batch.column("_y").to_pylist(), batch.column("_text")):
-                u = units_of(pa.array([t.as_py()]))
-                each = kernels(u.words, marks)[u.at].astype(float)
-                sums = np.diff(np.vstack([np.zeros(len(marks)), np.cumsum(each, 0)])[u.sentence_start], axis=0)
+            for n, (i, y, at) in enumerate(zip(batch.column("_n").to_pylist(), batch.column("_y").to_pylist(), u.places())):
+                each = near[u.at[at]].astype(float)
+                starts = u.sentence_start[u.text_start[n] : u.text_start[n + 1] + 1] - at.start
+                sums = np.diff(np.vstack([np.zeros(len(marks)), np.cumsum(each, 0)])[starts], axis=0)
                 sums = sums if len(sums) else np.zeros((1, len(marks)))
                 rows = sums[np.argsort(-sums.max(1), kind="stable")[:SENTENCES]]
                 found += rows.tolist()
