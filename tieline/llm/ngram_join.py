@@ -30,10 +30,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tieline.functions.lineage import cut
+from tieline.functions.lineage import cut, cut_by
 from tieline.llm.context_tree import BLANK, LOWER, batches_of
 from tieline.llm.pretokens import Spans
-from tieline.llm.text import small_batches, whole
+from tieline.llm.text import BITS, bit_table, place, small_batches, whole
 from tieline.operators.components import connected_components
 
 WIDTH = 5  # words of a shingle
@@ -45,6 +45,7 @@ SLICE = 2048  # points of a tree
 EARLY = 8  # first cells of a document that tell whether an earlier cell gives a pair
 ASKED = 8  # candidates of a point in the first round, and how many times as many in the next
 LEAF = 32
+TREE = "array<struct<i:int,j:int,side:int>>"
 
 
 def shingle_sets(texts: list[bytes], spans: Spans, width: int = WIDTH) -> list[np.ndarray]:
@@ -306,19 +307,6 @@ def within_bound(pairs: DataFrame, nodes: DataFrame, percent: int = PERCENT) ->
     return both.select("a", "b", "na", "nb", "ca", "cb").mapInArrow(bound, "a bigint, b bigint")
 
 
-BITS = 1 << 24
-
-
-def place(doc: str) -> Column:
-    return F.pmod(F.xxhash64(doc), F.lit(BITS))
-
-
-def bit_table(docs: DataFrame) -> DataFrame:
-    """(w, bits) with a bit for the place of every ``doc``: BITS / 32 rows at most, whatever the input."""
-    placed = docs.select(place("doc").alias("p"))
-    return placed.groupBy(F.shiftright("p", 5).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(p & 31 AS int)))").alias("bits"))
-
-
 def among(rows: DataFrame, doc: str, wanted: DataFrame) -> DataFrame:
     """Rows whose ``doc`` may be wanted by a bit table: all that are, and few others."""
     marked = rows.withColumn("p", place(doc)).withColumn("w", F.shiftright("p", 5))
@@ -468,10 +456,10 @@ def _groups(rows: DataFrame, made: DataFrame, percent: int, slice_size: int, ids
     member = cut(made.select("doc_id", "n", "sig").join(nodes_of, "sig", "left").select("doc_id", "n", "node"))
     entries = node_rows(some, nodes_of).select(F.col("doc_id").alias("doc"), "n", F.explode("prefix").alias("cell"))
     members = cut(cell_members(entries.select("cell", "doc", "n")))
-    shapes = cut(
-        some.select(F.col("doc_id").alias("doc"), "n", "counts")
-        .join(members.select("doc").distinct(), "doc", "left_semi").dropDuplicates(["doc"])
-    )
+    # kept by id, so that no reader moves them again
+    shapes = cut_by(
+        among(some.select(F.col("doc_id").alias("doc"), "n", "counts"), "doc", members.select("doc")), "doc"
+    ).dropDuplicates(["doc"])
     # the larger of two linked sets is at most 100 / percent times the smaller
     pair = lambda other: members.where(
         f"place > 0 AND {other} != doc AND 100 * least(n, n_{other}) >= {percent} * greatest(n, n_{other})"
@@ -486,9 +474,9 @@ def _groups(rows: DataFrame, made: DataFrame, percent: int, slice_size: int, ids
     groups = cut(connected_components(links.toDF("src", "dst")))
 
     # each round gives more candidates of a point than the one before, and the last gives all that are left
-    most, more = ASKED, True
+    most, more, held = ASKED, True, cut(_wide_cells(members))
     while more:
-        found = cut(searched(_split(members, groups, slice_size).join(shapes.drop("n"), "doc"), most, percent))
+        found = cut(searched(_split(held, groups, shapes, slice_size), most, percent))
         more = not found.where("a IS NULL").isEmpty()
         most *= ASKED
         later = cut(found.where("a IS NOT NULL").join(checked, ["a", "b"], "left_anti"))
@@ -500,18 +488,24 @@ def _groups(rows: DataFrame, made: DataFrame, percent: int, slice_size: int, ids
     return member, groups.select("node", "component")
 
 
-def _split(members: DataFrame, groups: DataFrame, slice_size: int) -> DataFrame:
-    """Trees to search: (cell, i, j, side, doc, n, comp, main, early) for cells of four members that span components.
+def _wide_cells(members: DataFrame) -> DataFrame:
+    """(cell, doc, n) of the cells of four members or more.
+
+    Cells of up to three are done: each pair was one with the row before or the first.
+    """
+    wide = members.where("place = 3").select("cell")
+    return members.select("cell", "doc", "n").join(wide, "cell", "left_semi").distinct()
+
+
+def _split(held: DataFrame, groups: DataFrame, shapes: DataFrame, slice_size: int) -> DataFrame:
+    """Trees to search: (cell, i, j, side, doc, n, comp, main, early, counts) for wide cells that span components.
 
     In a cell, members outside its largest component ask (side 0, in slices i)
     all members (side 1, in slices j); every slice of one side meets every slice
     of the other, and none has many more than ``slice_size`` points.  ``main`` marks
     the largest component; ``early`` has the first of the document's cells here.
     """
-    # cells of up to three members are done: each pair was one with the row before or the first
-    wide = members.where("place = 3").select("cell")
-    held = members.select("cell", "doc", "n").join(wide, "cell", "left_semi")
-    placed = held.join(groups.toDF("doc", "c"), "doc", "left").distinct()
+    placed = held.join(groups.toDF("doc", "c"), "doc", "left")
     placed = cut(placed.select("cell", "doc", "n", F.coalesce("c", "doc").alias("comp")))
     sizes = placed.groupBy("cell", "comp").agg(F.count("*").alias("k"))
     cells = cut(
@@ -527,10 +521,14 @@ def _split(members: DataFrame, groups: DataFrame, slice_size: int) -> DataFrame:
     none = F.array_repeat(F.lit(2**63 - 1), EARLY)
     early = told.groupBy("doc").agg(F.slice(F.concat(firsts, none), 1, EARLY).alias("early"))
     slice_of = lambda n: F.pmod(F.xxhash64("doc"), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    ask = told.where("NOT main").select("cell", slice_of("asks").alias("i"), every("holds").alias("j"), F.lit(0).alias("side"), "doc", "n", "comp", "main")
-    hold = told.select("cell", every("asks").alias("i"), slice_of("holds").alias("j"), F.lit(1).alias("side"), "doc", "n", "comp", "main")
-    return ask.unionByName(hold).join(early, "doc")
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    at = lambda i, j, side: F.struct(i.alias("i"), j.alias("j"), F.lit(side).alias("side"))
+    ask = F.when(~F.col("main"), F.transform(every("holds"), lambda j: at(slice_of("asks"), j, 0)))
+    hold = F.transform(every("asks"), lambda i: at(i, slice_of("holds"), 1))
+    # points are attached before the rows are repeated for the slices
+    whole_rows = told.join(early, "doc").join(shapes.drop("n"), "doc")
+    spread = whole_rows.withColumn("at", F.explode(F.concat(F.coalesce(ask, F.array().cast(TREE)), hold)))
+    return spread.select("cell", "at.i", "at.j", "at.side", "doc", "n", "comp", "main", "early", "counts")
 
 
 def drop_near_copies(docs: DataFrame, *, doc_id: str = "doc_id", **how) -> DataFrame:
