@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from itertools import product
 
+import numpy as np
+
 from tieline.llm import exact_dedup, ngram_join
 from tieline.llm.text import told_apart
 
@@ -53,3 +55,50 @@ def test_wide_cells_are_told_once(spark):
     rows = [(1, k, 9, place) for place, k in enumerate((5, 6, 7, 7, 8))] + [(2, k, 9, place) for place, k in enumerate((5, 6, 7))]
     members = spark.createDataFrame(rows, "cell bigint, doc bigint, n bigint, place bigint")
     assert sorted(map(tuple, ngram_join._wide_cells(members).collect())) == [(1, k, 9) for k in (5, 6, 7, 8)]
+
+
+def test_cells_keep_members_that_may_link(spark):
+    """Cells of few members are told as by comparing all; larger ones pass whole, over batches of any size."""
+    random = np.random.default_rng(3)
+    entries, cells = [], {}
+    for cell, size in enumerate([1, 2, 3, 5, 8, 40, 64, 65, 200, 2, 2] * 6):
+        for doc in random.choice(10_000, size, replace=False).tolist():
+            n = int(random.integers(5, 400))
+            entries.append((cell, doc, n, int(random.integers(0, n // 4 + 1))))
+            cells.setdefault(cell, []).append(entries[-1][1:])
+    # the first shingle in common is the p-th of both, so this many can be in common at most; p is told in 256ths
+    left = lambda a: a[1] - -(-(a[2] * 256 // a[1]) * a[1] // 256)
+    may = lambda a, b: 175 * min(left(a), left(b)) >= 75 * (a[1] + b[1])
+    able = lambda rows: [a for a in rows if len(rows) > ngram_join.LARGE or any(may(a, b) for b in rows if a != b)]
+    want = {c: {a[0]: a for a in able(rows)} for c, rows in cells.items()}
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for batch in ("7", "1000"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+            found = ngram_join.cell_members(spark.createDataFrame(entries, "cell bigint, doc bigint, n bigint, p int")).collect()
+            assert sorted((r["cell"], r["doc"]) for r in found) == sorted((c, d) for c, rows in want.items() for d in rows if len(rows) > 1)
+            assert len(found) < len(entries)
+            at = {(r["cell"], r["place"]): r["doc"] for r in found}
+            for r in found:
+                rows = want[r["cell"]]
+                assert r["first"] == at[r["cell"], 0] and r["before"] == at[r["cell"], max(r["place"] - 1, 0)]
+                for other in ("before", "first"):
+                    if r["place"]:
+                        assert r[f"fits_{other}"] == may(rows[r["doc"]], rows[r[other]])
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_only_points_with_more_candidates_ask_again(spark):
+    frame = lambda data, schema: spark.createDataFrame(data, schema)
+    held = frame([(cell, 10 * cell + k, 20 + k) for cell in (1, 2) for k in range(6)], "cell bigint, doc bigint, n bigint")
+    found = frame([(None, 10, 11), (1, 12, None), (1, 15, None)], "cell bigint, a bigint, b bigint")
+    again = ngram_join._again(held, found)
+    assert sorted(map(tuple, again.collect())) == [(1, 10 + k, 20 + k, k in (2, 5)) for k in range(6)]
+    shapes = frame([(10 + k, 20 + k, bytes([k])) for k in range(6)], "doc bigint, n bigint, counts binary")
+    groups = frame([(10, 10), (11, 10), (12, 10)], "node bigint, component bigint")
+    rows = ngram_join._split(again, groups, shapes, 2).collect()
+    # also the largest component's, as it may have grown since
+    assert {r["doc"] for r in rows if r["side"] == 0} == {12, 15}
+    met = {(a["doc"], b["doc"]) for a, b in product(rows, rows) if (a["side"], b["side"]) == (0, 1) and (a["i"], a["j"]) == (b["i"], b["j"])}
+    assert met == set(product((12, 15), range(10, 16)))

@@ -10,27 +10,31 @@ other's, so every such shingle has a cell with the documents that hold it there,
 and a tree per cell finds the pairs whose bound passes.  Surviving pairs are
 verified on the whole sets.
 
-Equal sets are one node.  Cells first give each member's pairs with the member
+Equal sets are one node.  Of the shingles that two sets have in common, those
+before the rarest one are in one set only, so its place in both and their sizes
+bound the overlap; a member that could link with no other one of its cell in that
+way leaves it, and with it most shingles that texts share by chance.  Cells first give each member's pairs with the member
 before it and with the first one, which is linear in the cell and, up to three
 members, complete; verified links make components.  Only cells of four or more
 that still span components get trees, and only pairs across components are asked
 for, so a large group of near copies never becomes all its pairs.  A pair is
 given by the first cell it shares, as far as the first few cells of both tell.
 A point gives its closest candidates only; links found so far merge components,
-and as long as some point had more candidates a next round gives more of them.
+and where some point had more candidates a next round gives that point more of them.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tieline.functions.lineage import cut, cut_by
+from tieline.functions.lineage import cut, cut_by, scratch
 from tieline.llm.context_tree import BLANK, LOWER, batches_of
 from tieline.llm.pretokens import Spans
 from tieline.llm.text import BITS, bit_table, place, small_batches, whole
@@ -40,6 +44,7 @@ WIDTH = 5  # words of a shingle
 PERCENT = 75
 GROUPS = 256
 ORDERS = 4  # ways in which members of cells follow each other
+LARGE = 64  # members of a cell that are compared with each other at once
 CLASSES = 1 << 18  # counted together to tell frequent shingles
 SLICE = 2048  # points of a tree
 EARLY = 8  # first cells of a document that tell whether an earlier cell gives a pair
@@ -153,46 +158,101 @@ def as_points(counts: pa.Array) -> np.ndarray:
     return np.array([np.frombuffer(c, f"<u{len(c) // GROUPS}") for c in cells], np.uint32).reshape(-1, GROUPS)
 
 
-def cell_members(entries: DataFrame) -> DataFrame:
-    """(cell, doc, n, place, before, n_before, first, n_first) for cells of two members or more; ``entries`` has (cell, doc, n).
+def size_bound(n: np.ndarray, p: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """The largest set that one of size ``n`` can link with if the first shingle in common is its ``p``-th."""
+    return (100 * n - (100 + percent) * p) // percent
 
-    Members follow each other by one of ORDERS hashes, by cell, so documents that
-    are together in many cells meet a few partners and not always the same one.
-    ``place`` counts them from 0, where ``before`` and ``first`` are null.  Rows
-    stream in order; none are held back but the last.
+
+def useful(batches: Iterator[pa.RecordBatch], percent: int = PERCENT) -> Iterator[dict[str, np.ndarray]]:
+    """Rows (cell, doc, n, bound) of (cell, doc, code), in order, that may link with another one of their cell first.
+
+    The members of a cell of up to LARGE are all compared; those of a larger one
+    pass as they come, so that no cell is ever held whole.
+    """
+    none = np.empty(0, np.int64)
+    rest, passing = {"cell": none, "doc": none, "code": none}, None
+    for batch in chain(batches, [None]):
+        now = rest if batch is None else {c: np.concatenate([v, batch.column(c).to_numpy()]) for c, v in rest.items()}
+        cell = now["cell"]
+        if not len(cell):
+            continue
+        stop = len(cell) if batch is None else int(np.searchsorted(cell, cell[-1]))
+        large = len(cell) - stop > LARGE or cell[-1] == passing
+        stop = len(cell) if large else stop
+        rest = {c: v[stop:] for c, v in now.items()}
+        cell = cell[:stop]
+        if not stop:
+            continue
+        starts = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
+        runs = np.diff(np.append(starts, stop))
+        run = np.repeat(runs, runs)
+        run[cell == passing] = LARGE + 1
+        if large:
+            passing = int(cell[-1])
+            run[cell == passing] = LARGE + 1
+        some = run > 1
+        out = {c: v[:stop][some] for c, v in now.items()}
+        cell, run, n = out["cell"], run[some], out["code"] >> 8
+        bound = size_bound(n, -(-n * (out["code"] & 255) // 256), percent)
+        keep = run > LARGE
+        for d in range(1, max(run[~keep], default=1)):
+            fits = (cell[d:] == cell[:-d]) & (n[d:] <= bound[:-d]) & (n[:-d] <= bound[d:])
+            keep[d:] |= fits
+            keep[:-d] |= fits
+        if keep.any():
+            yield {"cell": cell[keep], "doc": out["doc"][keep], "n": n[keep], "bound": bound[keep]}
+
+
+def cell_members(entries: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(cell, doc, n, place, before, fits_before, first, fits_first) for cells of two useful members or more.
+
+    ``entries`` has (cell, doc, n, p), where the cell is the ``p``-th shingle of
+    the document's, rarest first.  Members follow each other by one of ORDERS
+    hashes, by cell, so documents that are together in many cells meet a few
+    partners and not always the same one.  ``place`` counts them from 0, where
+    ``before`` and ``first`` are the document itself; ``fits_`` tells whether the
+    two may link with no rarer shingle in common.  Rows stream in order; none are
+    held back but the last and those of a cell of up to LARGE.
     """
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told = ("cell", "doc", "n", "place", "before", "fits_before", "first", "fits_first")
+        made = lambda rows, at: pa.RecordBatch.from_pydict({c: pa.array(rows[c][at].astype(np.int64)) for c in told})
         held = None  # the last row, and whether its cell had a row before
-        for batch in batches:
-            cell, doc, n = (batch.column(c).to_numpy() for c in ("cell", "doc", "n"))
-            if not len(cell):
-                continue
-            before = np.full(len(cell), -1, np.int64)
-            before[1:] = np.where(cell[1:] == cell[:-1], np.arange(len(cell) - 1), -1)
-            heads = np.maximum.accumulate(np.where(before < 0, np.arange(len(cell)), 0))
-            rows = {
-                "cell": cell, "doc": doc, "n": n, "place": np.arange(len(cell)) - heads,
-                "before": doc[before], "n_before": n[before], "first": doc[heads], "n_first": n[heads],
-            }
+        for now in useful(batches, percent):
+            cell, doc, n, bound = (now[c] for c in ("cell", "doc", "n", "bound"))
+            at = np.arange(len(cell))
+            before = at.copy()
+            before[1:] -= cell[1:] == cell[:-1]
+            heads = np.maximum.accumulate(np.where(before == at, at, 0))
+            rows = {"cell": cell, "doc": doc, "n": n, "bound": bound, "place": at - heads}
+            for name, to in (("before", before), ("first", heads)):
+                rows |= {name: doc[to], f"n_{name}": n[to], f"bound_{name}": bound[to]}
             if held is not None and held["cell"][0] == cell[0]:  # the cell goes on from the last batch
                 run = heads == 0
-                rows["first"], rows["n_first"] = (np.where(run, held[c], rows[c]) for c in ("first", "n_first"))
                 rows["place"] = np.where(run, rows["place"] + held["place"][0] + 1, rows["place"])
-                rows["before"][0], rows["n_before"][0] = held["doc"][0], held["n"][0]
+                for c, own in (("first", "first"), ("n_first", "n_first"), ("bound_first", "bound_first")):
+                    rows[c] = np.where(run, held[own], rows[c])
+                for c, own in (("before", "doc"), ("n_before", "n"), ("bound_before", "bound")):
+                    rows[c][0] = held[own][0]
+            for name in ("before", "first"):
+                rows[f"fits_{name}"] = (n <= rows[f"bound_{name}"]) & (rows[f"n_{name}"] <= bound)
             if held is not None and (held["place"][0] or held["cell"][0] == cell[0]):
-                yield pa.RecordBatch.from_pydict({c: pa.array(v) for c, v in held.items()})
+                yield made(held, slice(None))
             keep = rows["place"] > 0
             keep[:-1] |= cell[1:] == cell[:-1]
             keep[-1] = False  # whether the last row has a follower is not known yet
-            yield pa.RecordBatch.from_pydict({c: pa.array(v[keep]) for c, v in rows.items()})
+            yield made(rows, keep)
             held = {c: v[-1:].copy() for c, v in rows.items()}
         if held is not None and held["place"][0]:
-            yield pa.RecordBatch.from_pydict({c: pa.array(v) for c, v in held.items()})
+            yield made(held, slice(None))
 
     turn = F.xxhash64("doc", F.pmod("cell", F.lit(ORDERS)))
-    ordered = entries.repartition("cell").sortWithinPartitions("cell", turn, "doc")
-    names = ("cell", "doc", "n", "place", "before", "n_before", "first", "n_first")
+    # size and place in one number, the place in 256ths of the size, rounded down so that no bound is too
+    # small: this is the table with the most rows
+    packed = entries.select("cell", "doc", F.expr("shiftleft(n, 8) + shiftleft(cast(p AS bigint), 8) div n").alias("code"))
+    ordered = packed.repartition("cell").sortWithinPartitions("cell", turn, "doc")
+    names = ("cell", "doc", "n", "place", "before", "fits_before", "first", "fits_first")
     return ordered.mapInArrow(link, ", ".join(f"{c} bigint" for c in names))
 
 
@@ -222,14 +282,14 @@ class Box:
             child.search(point, size, comp, percent, found)
 
 
-def tree_pairs(right: dict[str, np.ndarray], left: dict[str, np.ndarray], most: int, percent: int = PERCENT) -> tuple[list[tuple[int, int]], bool]:
-    """(left doc, right doc) of different components whose bound passes, and whether a point had more than ``most``.
+def tree_pairs(right: dict[str, np.ndarray], left: dict[str, np.ndarray], most: int, percent: int = PERCENT) -> tuple[list[tuple[int, int]], list[int]]:
+    """(left doc, right doc) of different components whose bound passes, and the left docs that had more than ``most``.
 
     The closest by the bound come first.  A pair is left to an earlier cell that
     both have among their first ones, and to the smaller id where both ask.
     """
     tree = Box(np.arange(len(right["doc"])), right["counts"], right["n"], right["comp"])
-    out, more = [], False
+    out, more = [], []
     for doc, n, comp, point, cell, early in zip(
         left["doc"].tolist(), left["n"].tolist(), left["comp"].tolist(), left["counts"], left["cell"].tolist(), left["early"]
     ):
@@ -238,7 +298,7 @@ def tree_pairs(right: dict[str, np.ndarray], left: dict[str, np.ndarray], most:
         if not leaves:
             continue
         at = np.concatenate(leaves)
-        at = at[(right["comp"][at] != comp) & (right["main"][at] | (right["doc"][at] > doc))]
+        at = at[(right["comp"][at] != comp) & (~right["asks"][at] | (right["doc"][at] > doc))]
         shared = np.minimum(right["counts"][at], point).sum(1, dtype=np.int64)
         fits = (100 + percent) * shared >= overlap_needed(n, right["n"][at], percent)
         before = early[early < cell]  # rows are padded with the largest long
@@ -246,7 +306,7 @@ def tree_pairs(right: dict[str, np.ndarray], left: dict[str, np.ndarray], most:
             fits[fits] = ~np.isin(right["early"][at[fits]], before).any(1)
         at, shared = at[fits], shared[fits]
         if len(at) > most:
-            more = True
+            more.append(doc)
             near = shared / (n + right["n"][at])
             at = at[np.lexsort((right["doc"][at], -near))[:most]]
         out.extend((doc, other) for other in right["doc"][at].tolist())
@@ -254,11 +314,12 @@ def tree_pairs(right: dict[str, np.ndarray], left: dict[str, np.ndarray], most:
 
 
 def searched(rows: DataFrame, most: int, percent: int = PERCENT) -> DataFrame:
-    """(a, b) from (cell, i, j, side, doc, n, comp, main, counts, early): a tree of each group's side 1, asked by its side 0.
+    """(cell, a, b) from (cell, i, j, side, doc, n, comp, asks, counts, early): a tree of each group's side 1, asked by its side 0.
 
-    A row of nulls tells that some point had more than ``most`` candidates.
+    Pairs have no cell.  A row without b tells that the point a had more than
+    ``most`` candidates in the cell.
     """
-    names = ("cell", "i", "j", "side", "doc", "n", "comp", "main")
+    names = ("cell", "i", "j", "side", "doc", "n", "comp", "asks")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: dict[str, np.ndarray] | None = None
@@ -276,21 +337,21 @@ def searched(rows: DataFrame, most: int, percent: int = PERCENT) -> DataFrame:
             yield from pairs(rest, np.array([len(rest["cell"])]))
 
     def pairs(held: dict[str, np.ndarray], change: np.ndarray) -> Iterator[pa.RecordBatch]:
-        found, start, more = [], 0, False
+        found, start, more = [], 0, set()
         for stop in change.tolist():
             group = {c: v[start:stop] for c, v in held.items()}
             sides = [{c: v[group["side"] == s] for c, v in group.items()} for s in (0, 1)]
             if len(sides[0]["doc"]) and len(sides[1]["doc"]):
                 some, left = tree_pairs(sides[1], sides[0], most, percent)
                 found.extend(some)
-                more |= left
+                more |= {(int(group["cell"][0]), doc, None) for doc in left}
             start = stop
-        both = sorted({(min(p), max(p)) for p in found}) + [(None, None)] * more
-        yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in both], pa.int64()) for k in (0, 1)], ["a", "b"])
+        told = [(None, *p) for p in sorted({(min(p), max(p)) for p in found})] + sorted(more)
+        yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in told], pa.int64()) for k in range(3)], ["cell", "a", "b"])
 
     # a group holds 2 * SLICE points at most, about
     ordered = rows.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j")
-    return ordered.select(*names, "counts", "early").mapInArrow(run, "a bigint, b bigint").distinct()
+    return ordered.select(*names, "counts", "early").mapInArrow(run, "cell bigint, a bigint, b bigint").distinct()
 
 
 def within_bound(pairs: DataFrame, nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -400,14 +461,15 @@ def near_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     sets by a 128-bit digest of them; ids must fit a long.
     """
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), whole(text).cast("binary").alias("text"))
-    with small_batches(docs.sparkSession):
+    # of all that is written on the way only what the result reads stays
+    with small_batches(docs.sparkSession), scratch(docs.sparkSession) as kept:
         counts = class_counts(rows)
         made = cut(points(rows, counts, percent))
         odd = cut(several_sets(made))
         if odd.isEmpty():
-            member, groups = _groups(rows, made, percent, slice_size)
+            member, groups = map(kept, _groups(rows, made, percent, slice_size))
         else:
-            return _by_texts(rows, odd, counts, percent, slice_size)
+            return kept(_by_texts(rows, odd, counts, percent, slice_size))
     found = member.join(groups, "node", "left")
     # the smallest id of a component is a node, as nodes are the smallest ids of their sets
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node", "doc_id"))
@@ -454,16 +516,13 @@ def _groups(rows: DataFrame, made: DataFrame, percent: int, slice_size: int, ids
     some = made.where("n > 0 AND doc_id IS NOT NULL")
     nodes_of = cut(some.groupBy("sig").agg(F.min("doc_id").alias("node")))
     member = cut(made.select("doc_id", "n", "sig").join(nodes_of, "sig", "left").select("doc_id", "n", "node"))
-    entries = node_rows(some, nodes_of).select(F.col("doc_id").alias("doc"), "n", F.explode("prefix").alias("cell"))
-    members = cut(cell_members(entries.select("cell", "doc", "n")))
+    entries = node_rows(some, nodes_of).select(F.col("doc_id").alias("doc"), "n", F.posexplode("prefix").alias("p", "cell"))
+    members = cut(cell_members(entries, percent))
     # kept by id, so that no reader moves them again
     shapes = cut_by(
         among(some.select(F.col("doc_id").alias("doc"), "n", "counts"), "doc", members.select("doc")), "doc"
     ).dropDuplicates(["doc"])
-    # the larger of two linked sets is at most 100 / percent times the smaller
-    pair = lambda other: members.where(
-        f"place > 0 AND {other} != doc AND 100 * least(n, n_{other}) >= {percent} * greatest(n, n_{other})"
-    ).select(F.least("doc", other).alias("a"), F.greatest("doc", other).alias("b"))
+    pair = lambda other: members.where(f"place > 0 AND {other} != doc AND fits_{other} = 1").select(F.least("doc", other).alias("a"), F.greatest("doc", other).alias("b"))
     checked = cut(within_bound(pair("before").unionByName(pair("first")).distinct(), shapes, percent))
     links = verified(rows, checked, percent)
     if ids is not None:
@@ -477,9 +536,10 @@ def _groups(rows: DataFrame, made: DataFrame, percent: int, slice_size: int, ids
     most, more, held = ASKED, True, cut(_wide_cells(members))
     while more:
         found = cut(searched(_split(held, groups, shapes, slice_size), most, percent))
-        more = not found.where("a IS NULL").isEmpty()
+        held = cut(_again(held, found))
+        more = not held.isEmpty()
         most *= ASKED
-        later = cut(found.where("a IS NOT NULL").join(checked, ["a", "b"], "left_anti"))
+        later = cut(found.where("b IS NOT NULL").select("a", "b").join(checked, ["a", "b"], "left_anti"))
         if not later.isEmpty():
             links = links.unionByName(cut(verified(rows, later, percent)))
             groups = cut(connected_components(links.toDF("src", "dst")))
@@ -497,38 +557,49 @@ def _wide_cells(members: DataFrame) -> DataFrame:
     return members.select("cell", "doc", "n").join(wide, "cell", "left_semi").distinct()
 
 
+def _again(held: DataFrame, found: DataFrame) -> DataFrame:
+    """(cell, doc, n, asks) of the cells where a point had more candidates; these points alone ask again."""
+    more = found.where("b IS NULL").select("cell", F.col("a").alias("doc"), F.lit(True).alias("asks"))
+    left = held.select("cell", "doc", "n").join(more.select("cell"), "cell", "left_semi")
+    return left.join(more, ["cell", "doc"], "left").select("cell", "doc", "n", F.coalesce("asks", F.lit(False)).alias("asks"))
+
+
 def _split(held: DataFrame, groups: DataFrame, shapes: DataFrame, slice_size: int) -> DataFrame:
-    """Trees to search: (cell, i, j, side, doc, n, comp, main, early, counts) for wide cells that span components.
+    """Trees to search: (cell, i, j, side, doc, n, comp, asks, early, counts) for wide cells that span components.
 
-    In a cell, members outside its largest component ask (side 0, in slices i)
-    all members (side 1, in slices j); every slice of one side meets every slice
-    of the other, and none has many more than ``slice_size`` points.  ``main`` marks
-    the largest component; ``early`` has the first of the document's cells here.
+    In a cell, members that ask (side 0, in slices i) meet all members (side 1, in
+    slices j); every slice of one side meets every slice of the other, and none has
+    many more than ``slice_size`` points.  Those ask that ``held`` tells in ``asks``,
+    or, without it, members outside the largest component of the cell; ``early``
+    has the first of the document's cells here.
     """
+    told_before = "asks" in held.columns
     placed = held.join(groups.toDF("doc", "c"), "doc", "left")
-    placed = cut(placed.select("cell", "doc", "n", F.coalesce("c", "doc").alias("comp")))
-    sizes = placed.groupBy("cell", "comp").agg(F.count("*").alias("k"))
+    asks = F.col("asks") if told_before else F.lit(None).cast("boolean")
+    placed = cut(placed.select("cell", "doc", "n", F.coalesce("c", "doc").alias("comp"), asks.alias("asks")))
+    sizes = placed.groupBy("cell", "comp").agg(F.count("*").alias("k"), F.count_if("asks").alias("q"))
+    asking = F.col("q") if told_before else F.col("all") - F.col("top.k")
     cells = cut(
-        sizes.groupBy("cell").agg(F.sum("k").alias("all"), F.count("*").alias("comps"), F.max(F.struct("k", "comp")).alias("top"))
+        sizes.groupBy("cell").agg(F.sum("k").alias("all"), F.count("*").alias("comps"), F.sum("q").alias("q"), F.max(F.struct("k", "comp")).alias("top"))
         .where("comps > 1 AND all > 3")
         .select(
             "cell", F.col("top.comp").alias("major"),
-            F.ceil((F.col("all") - F.col("top.k")) / slice_size).cast("int").alias("asks"), F.ceil(F.col("all") / slice_size).cast("int").alias("holds"),
+            F.ceil(asking / slice_size).cast("int").alias("askers"), F.ceil(F.col("all") / slice_size).cast("int").alias("holds"),
         )
     )
-    told = cut(placed.join(cells, "cell").withColumn("main", F.col("comp") == F.col("major")))
+    told = cut(placed.join(cells, "cell").withColumn("asks", F.coalesce("asks", F.col("comp") != F.col("major"))))
     firsts = F.slice(F.array_sort(F.collect_list("cell")), 1, EARLY)
     none = F.array_repeat(F.lit(2**63 - 1), EARLY)
     early = told.groupBy("doc").agg(F.slice(F.concat(firsts, none), 1, EARLY).alias("early"))
     slice_of = lambda n: F.pmod(F.xxhash64("doc"), F.col(n)).cast("int")
     every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     at = lambda i, j, side: F.struct(i.alias("i"), j.alias("j"), F.lit(side).alias("side"))
-    ask = F.when(~F.col("main"), F.transform(every("holds"), lambda j: at(slice_of("asks"), j, 0)))
-    hold = F.transform(every("asks"), lambda i: at(i, slice_of("holds"), 1))
+    ask = F.when(F.col("asks"), F.transform(every("holds"), lambda j: at(slice_of("askers"), j, 0)))
+    hold = F.transform(every("askers"), lambda i: at(i, slice_of("holds"), 1))
     # points are attached before the rows are repeated for the slices
     whole_rows = told.join(early, "doc").join(shapes.drop("n"), "doc")
     spread = whole_rows.withColumn("at", F.explode(F.concat(F.coalesce(ask, F.array().cast(TREE)), hold)))
-    return spread.select("cell", "at.i", "at.j", "at.side", "doc", "n", "comp", "main", "early", "counts")
+    return spread.select("cell", "at.i", "at.j", "at.side", "doc", "n", "comp", "asks", "early", "counts")
 
 
 def drop_near_copies(docs: DataFrame, *, doc_id: str = "doc_id", **how) -> DataFrame:
