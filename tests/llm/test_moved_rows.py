@@ -5,8 +5,10 @@ from __future__ import annotations
 from itertools import product
 
 import numpy as np
+import pytest
 
-from tieline.llm import exact_dedup, ngram_join
+from tieline.functions.lineage import application_dir, cut, cut_by, scratch
+from tieline.llm import exact_dedup, mixing, ngram_join
 from tieline.llm.text import told_apart
 
 
@@ -102,3 +104,22 @@ def test_only_points_with_more_candidates_ask_again(spark):
     assert {r["doc"] for r in rows if r["side"] == 0} == {12, 15}
     met = {(a["doc"], b["doc"]) for a, b in product(rows, rows) if (a["side"], b["side"]) == (0, 1) and (a["i"], a["j"]) == (b["i"], b["j"])}
     assert met == set(product((12, 15), range(10, 16)))
+
+
+def test_tables_of_the_way_go_when_the_result_is_written(spark):
+    folder = spark._jvm.java.io.File(spark._jvm.org.apache.hadoop.fs.Path(application_dir(spark)).toUri().getPath())
+    held = lambda: set(folder.list() or ())
+    docs = spark.createDataFrame([(k, f"w{k // 2} b c d e f g h i j k l", "s") for k in range(40)], "doc_id long, text string, source string")
+    before = held()
+    groups = ngram_join.near_groups(docs)
+    assert len(held() - before) == 2  # members and components
+    assert len(groups.collect()) == 40
+    before = held()
+    mix = mixing.mixed_documents(docs)
+    assert len(held() - before) == 2  # rows and plan
+    assert mix.count() >= 40
+    with pytest.raises(ValueError), scratch(spark) as kept:
+        outer = kept(cut(docs))
+        cut_by(docs, "doc_id")
+        raise ValueError
+    assert outer.count() == 40 and not any(t.name.count("_") > 2 for t in spark.catalog.listTables(pattern="tieline_by_*"))

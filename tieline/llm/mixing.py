@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tieline.functions.lineage import cut
+from tieline.functions.lineage import cut, scratch
 from tieline.llm.text import WORD, running_sums, whole, words
 
 BLOCK = 32  # words
@@ -167,14 +167,16 @@ def mixed_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     rows = cut(docs.select(F.struct(*docs.columns).alias("_row"), F.monotonically_increasing_id().alias("_name")), "zstd")
     given = lambda c: F.col("_row")[c].alias(f"_{c}")
     keys = rows.select("_name", given(doc_id), given(text), given(source))
-    made = mixture(keys, doc_id=f"_{doc_id}", text=f"_{text}", source=f"_{source}", name="_name", **how)
-    drawn = made["fragments"].groupBy("rank", "start").agg(
-        F.array_sort(F.collect_list(F.struct("skip", "length", "uses"))).alias("parts"), F.max("uses").alias("times")
-    )
-    plan = cut(
-        made["documents"].where("size > 0").join(drawn, ["rank", "start"])
-        .select(F.col("name").alias("_name"), "size", "parts", "times")
-    )
+    # of what is written to find the draws only the plan stays
+    with scratch(docs.sparkSession) as kept:
+        made = mixture(keys, doc_id=f"_{doc_id}", text=f"_{text}", source=f"_{source}", name="_name", **how)
+        drawn = made["fragments"].groupBy("rank", "start").agg(
+            F.array_sort(F.collect_list(F.struct("skip", "length", "uses"))).alias("parts"), F.max("uses").alias("times")
+        )
+        plan = kept(
+            made["documents"].where("size > 0").join(drawn, ["rank", "start"])
+            .select(F.col("name").alias("_name"), "size", "parts", "times")
+        )
     used = rows.join(plan, "_name").select("_row", "size", "parts", F.explode(F.sequence(F.lit(1).cast("bigint"), "times")).alias("k"))
     used = used.withColumn("parts", F.filter("parts", lambda p: p["uses"] >= F.col("k")))
     used = used.withColumn("held", F.aggregate("parts", F.lit(0).cast("bigint"), lambda a, p: a + p["length"]))
