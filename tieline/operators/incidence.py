@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tieline.functions.fixed import ratio
 from tieline.functions.ids import digest_id, entity_id
+from tieline.functions.marks import marked, marks
 from tieline.sources.tables import Activity
 from tieline.vocabulary import LINKING
 
@@ -28,8 +29,54 @@ def touches(orders: DataFrame, *also: str) -> DataFrame:
     )
 
 
-def entities(accounts: DataFrame, orders: DataFrame) -> DataFrame:
-    """Every distinct node with first and last sighting and its event count."""
+def shared_nodes(orders: DataFrame, accounts: DataFrame) -> DataFrame:
+    """Marks of all infrastructure that two incidences or more may be of, and of few others.
+
+    Most keys are one account's own.  Only a hash of each account's keys moves to
+    tell which are not; what is known of all others is folded where their
+    account's orders lie.  An account that comes twice shares its keys with itself.
+    """
+    used = touches(orders).select("account_id", _node_hash().alias("h")).distinct()
+    rows = accounts.groupBy(F.col("id").alias("account_id")).agg(F.count("*").alias("n"))
+    times = used.join(rows.hint("shuffle_hash"), "account_id", "left").select("h", F.coalesce("n", F.lit(1)).alias("n"))
+    return marks(times.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1"), F.col("h"))
+
+
+def _node_hash(node: Column | None = None) -> Column:
+    """Of touches, for which no text is made, or of a node's id."""
+    return F.xxhash64("kind", "key") if node is None else F.xxhash64(node_type(node, *LINKING), node_key(node))
+
+
+def node_type(node: Column, *kinds: str) -> Column:
+    """The type that an id names, and null where that is none of ``kinds``."""
+    return F.coalesce(*[F.when(node.startswith(entity_id(F.lit(k), F.lit(""))), F.lit(k)) for k in kinds])
+
+
+def node_key(node: Column) -> Column:
+    return F.substring(node, F.length(entity_id(F.lit("ACCOUNT"), F.lit(""))) + 1, F.length(node))
+
+
+def not_own(rows: DataFrame, node: Column, shared: DataFrame) -> DataFrame:
+    """Rows whose node is no infrastructure of one account alone."""
+    kinds = marked(rows.where(node_type(node, *LINKING).isNotNull()), _node_hash(node), shared)
+    return kinds.unionByName(rows.where(node_type(node, *LINKING).isNull()))
+
+
+def own_nodes(edges: DataFrame, shared: DataFrame) -> DataFrame:
+    """Infrastructure at the end of one account's observed edges alone, with all that is known of it, and the edges' other columns."""
+    of = F.col("dst")
+    own = marked(edges.where(~F.col("derived") & node_type(of, *LINKING).isNotNull()), _node_hash(of), shared, False)
+    return own.select(
+        "*", of.alias("node"), node_type(of, *LINKING).alias("kind"), node_key(of).alias("key"),
+        F.col("observation_count").alias("event_count"),
+    )
+
+
+def entities(accounts: DataFrame, orders: DataFrame, shared: DataFrame | None = None) -> DataFrame:
+    """Every distinct node with first and last sighting and its event count.
+
+    With ``shared`` infrastructure that is one account's own is left out.
+    """
     from_accounts = accounts.select(
         F.explode(
             F.array(
@@ -39,9 +86,8 @@ def entities(accounts: DataFrame, orders: DataFrame) -> DataFrame:
         ).alias("node"),
         F.col("opened_at").alias("at"),
     ).select("node.type", "node.key", "at")
-    from_orders = touches(orders).select(
-        F.col("kind").alias("type"), "key", F.col("placed_at").alias("at")
-    )
+    touched = touches(orders) if shared is None else marked(touches(orders), _node_hash(), shared)
+    from_orders = touched.select(F.col("kind").alias("type"), "key", F.col("placed_at").alias("at"))
     seen = (
         F.min("at").alias("first_seen"),
         F.max("at").alias("last_seen"),
@@ -53,12 +99,9 @@ def entities(accounts: DataFrame, orders: DataFrame) -> DataFrame:
         .groupBy(entity_id(F.col("type"), F.col("key")).alias("id"))
         .agg(*seen)
     )
-    start = lambda kind: entity_id(F.lit(kind), F.lit(""))
-    kinds = ("ACCOUNT", "CUSTOMER", *LINKING)
-    key = F.substring("id", F.length(start(kinds[0])) + 1, F.length("id"))
     named = by_id.select(
-        "id", F.coalesce(*[F.when(F.col("id").startswith(start(k)), F.lit(k)) for k in kinds]).alias("type"),
-        key.alias("anonymized_key"), "first_seen", "last_seen", "event_count",
+        "id", node_type(F.col("id"), "ACCOUNT", "CUSTOMER", *LINKING).alias("type"),
+        node_key(F.col("id")).alias("anonymized_key"), "first_seen", "last_seen", "event_count",
     )
     unnamed = from_accounts.where(F.col("key").isNull()).groupBy("type").agg(*seen)
     no = F.lit(None).cast("string")
@@ -167,23 +210,43 @@ def observed_edges(accounts: DataFrame, orders: DataFrame, *also: str) -> DataFr
 
 
 def member_edges(members: DataFrame, accounts: DataFrame, orders: DataFrame) -> DataFrame:
-    """Observed edges from members of clusters, with their cluster; events of all others are left out first."""
+    """Observed edges from members of clusters, with their cluster; events of all others are left out first.
+
+    Other columns of ``members`` that its cluster decides are passed on.
+    """
+    also = [c for c in members.columns if c != "entity_id"]
     accounts_of = members.where(F.col("entity_id").startswith(ACCOUNT_ID)).select(
-        F.substring("entity_id", F.lit(len(ACCOUNT_ID) + 1), F.length("entity_id")).alias("account_id"), "cluster"
+        F.substring("entity_id", F.lit(len(ACCOUNT_ID) + 1), F.length("entity_id")).alias("account_id"), *also
     )
     customer = entity_id(F.lit("CUSTOMER"), F.col("customer_key"))
-    owned = accounts.join(members.select(F.col("entity_id").alias("_member"), "cluster"), customer == F.col("_member"))
-    return observed_edges(owned, orders.join(accounts_of.hint("shuffle_hash"), "account_id"), "cluster")
+    owned = accounts.join(members.withColumnRenamed("entity_id", "_member"), customer == F.col("_member"))
+    return observed_edges(owned, orders.join(accounts_of.hint("shuffle_hash"), "account_id"), *also)
+
+
+def own_entities(orders: DataFrame, shared: DataFrame) -> DataFrame:
+    """The entities that ``entities`` leaves out with ``shared``, folded by account where the orders lie."""
+    own = marked(touches(orders), _node_hash(), shared, False)
+    folded = own.groupBy("account_id", "kind", "key").agg(
+        F.min("placed_at").alias("first_seen"), F.max("placed_at").alias("last_seen"), F.count("*").alias("event_count")
+    )
+    return folded.select(
+        entity_id(F.col("kind"), F.col("key")).alias("id"), F.col("kind").alias("type"), F.col("key").alias("anonymized_key"),
+        "first_seen", "last_seen", "event_count",
+    )
 
 
-def incidence(orders: DataFrame, accounts: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+def incidence(
+    orders: DataFrame, accounts: DataFrame, nodes: DataFrame | None = None, shared: DataFrame | None = None
+) -> DataFrame:
     """Account-to-infrastructure incidences, resolved to node ids.
 
     Orders of unknown accounts drop out.  Events are folded to one row per
     (account, key) before anything is joined.  Node ids follow from type and
     key; pass ``nodes`` to resolve against an entity table with ids of its own.
+    With ``shared`` infrastructure that is one account's own is left out.
     """
-    folded = touches(orders).groupBy("account_id", "kind", "key").agg(
+    touched = touches(orders) if shared is None else marked(touches(orders), _node_hash(), shared)
+    folded = touched.groupBy("account_id", "kind", "key").agg(
         F.count("*").alias("observations"),
         F.min("placed_at").alias("first_seen"),
         F.max("placed_at").alias("last_seen"),

@@ -8,16 +8,13 @@ from pyspark.sql import functions as F
 from tieline.config import DetectConfig
 from tieline.functions.fixed import half_up, scaled
 from tieline.functions.ids import digest_id
+from tieline.functions.marks import marked, marks
 from tieline.vocabulary import DECAY_FLOOR, DECAY_HORIZON_DAYS, DECAY_SLOPE, LINKING
 
 # A node can hold more than one in HOT_SHARE of all incidences in fewer than
 # HOT_SHARE cases, whatever the data, so a list of such nodes may be broadcast.
 HOT_SHARE = 50_000
 
-# Usable nodes are marked in FILTER_SLOTS bitmaps of 32,768 bits, 16 MB in all
-# however many nodes there are, so that list may be broadcast as well.
-FILTER_SLOTS = 4_096
-
 DAY_MS = 86_400_000
 
 
@@ -71,30 +68,13 @@ def guarded(
         (F.col("account_count") > config.max_accounts_per_node) & (F.col("account_count") > share)
     ).select("infra")
     usable = counts.where(F.col("account_count").between(2, config.max_accounts_per_node)).select("infra")
-    slot, bit = _mark(F.col("infra"))
-    bits = usable.select(slot.alias("_slot"), bit.alias("_bit")).groupBy("_slot").agg(
-        F.bitmap_construct_agg("_bit").alias("_bits")
-    )
-    # as whole numbers once, so that asking for a bit makes no text
-    word = lambda i: F.conv(F.hex(F.substring("_bits", i * 8 + 1, F.lit(8))), 16, -10).cast("bigint")
-    marks = bits.select("_slot", F.transform(F.sequence(F.lit(0), F.lit(511)), word).alias("_words"))
-    at = F.get(F.col("_words"), F.call_function("div", bit, F.lit(64)).cast("int"))
-    # bytes lie from the first up, bits in them from the lowest
-    place = F.lit(56) - (F.call_function("div", bit, F.lit(8)) % 8 * 8).cast("int") + (bit % 8).cast("int")
-    marked = F.call_function("shiftright", at, place).bitwiseAND(F.lit(1).cast("bigint")) == 1
+    h = F.xxhash64("infra")
     return (
-        incidences.join(F.broadcast(hot), "infra", "left_anti")
-        .join(F.broadcast(marks), (slot == F.col("_slot")) & marked, "left_semi")
+        marked(incidences.join(F.broadcast(hot), "infra", "left_anti"), h, marks(usable, h))
         .join(usable, "infra", "left_semi")
     )
 
 
-def _mark(node: Column) -> tuple[Column, Column]:
-    """Bitmap and bit that stand for a node; several nodes may share them."""
-    h = F.xxhash64(node)
-    return F.pmod(h, F.lit(FILTER_SLOTS)), F.pmod(F.call_function("div", h, F.lit(FILTER_SLOTS)), F.lit(32_768))
-
-
 def inferred_edges(guarded_incidences: DataFrame) -> DataFrame:
     """Account pairs sharing a node, one edge per pair and kind.
 

@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from tieline.config import DetectConfig
 from tieline.functions.fixed import half_up, ratio, scaled, units
 from tieline.functions.ids import money_text, node_label
+from tieline.functions.lineage import cut
+from tieline.functions.marks import marked, marks
 from tieline.functions.skew import attach
+from tieline.operators import incidence
 from tieline.operators.scoring import contributing
 from tieline.sources.tables import Activity
 from tieline.vocabulary import FAILURE_CATEGORIES
@@ -64,28 +67,39 @@ def subgraph_edges(members: DataFrame, inside: DataFrame, observed: DataFrame) -
 
     ``members`` is (cluster, entity_id); ``inside`` inferred edges with their cluster;
     ``observed`` may be all observed edges, or those of members with their cluster.
+    Other columns of ``members``, which its cluster decides, are told as well.
     """
+    also = [c for c in members.columns if c not in ("cluster", "entity_id")]
     columns = ("cluster", "id", "src", "dst", "type", "derived", "weight", "provenance", "via",
                "first_seen", "last_seen", "observation_count")
     of_members = observed
     if "cluster" not in observed.columns:
-        of_members = observed.join(members.select(F.col("entity_id").alias("src"), "cluster"), "src")
-    return inside.select(*columns).unionByName(of_members.select(*columns))
+        of_members = observed.join(members.withColumnRenamed("entity_id", "src"), "src")
+    if also:
+        inside = inside.join(members.select(F.col("entity_id").alias("src"), *also), "src")
+    return inside.select(*columns, *also).unionByName(of_members.select(*columns, *also))
 
 
 def subgraph_nodes(
-    members: DataFrame, edges: DataFrame, entities: DataFrame, link_fanout: DataFrame
+    members: DataFrame, edges: DataFrame, entities: DataFrame, link_fanout: DataFrame, shared: DataFrame | None = None
 ) -> DataFrame:
     """Nodes of every cluster: its members and the infrastructure they touched.
 
     What is known of a node is put together first, one row a node, and joined
-    once; a node that very many clusters touch is spread over tasks.
+    once; a node that very many clusters touch is spread over tasks.  With
+    ``shared`` the infrastructure of one account, of which its edge tells all,
+    is made of the edge where that lies, and ``entities`` and ``link_fanout``
+    need hold no more than the rest.  Other columns of ``members``, which its
+    cluster decides, are told as well and must be in ``edges``.
     """
-    infra = edges.where(~F.col("derived")).select("cluster", F.col("dst").alias("id"))
-    ids = members.select("cluster", F.col("entity_id").alias("id")).union(infra).distinct()
+    also = [c for c in members.columns if c not in ("cluster", "entity_id")]
+    infra = edges.where(~F.col("derived")).select("cluster", F.col("dst").alias("id"), *also)
+    if shared is not None:
+        infra = incidence.not_own(infra, F.col("id"), shared)
+    ids = members.select("cluster", F.col("entity_id").alias("id"), *also).union(infra).distinct()
     fan = link_fanout.select(F.col("infra").alias("id"), "link_count", "account_count")
     facts = entities.join(fan, "id", "left")
-    return (
+    nodes = (
         attach(ids, facts, "id", "cluster")
         .select(
             "cluster", "id", "type", "anonymized_key",
@@ -93,25 +107,45 @@ def subgraph_nodes(
             "first_seen", "last_seen", "event_count",
             F.coalesce("link_count", F.lit(0)).alias("link_count"),
             F.coalesce("account_count", F.lit(0)).alias("account_count"),
+            *also,
         )
     )
+    if shared is None:
+        return nodes
+    own = incidence.own_nodes(edges, shared).select(
+        "cluster", F.col("node").alias("id"), F.col("kind").alias("type"), F.col("key").alias("anonymized_key"),
+        node_label(F.col("kind"), F.col("key")).alias("label"), "first_seen", "last_seen", "event_count",
+        F.lit(0).cast("bigint").alias("link_count"), F.lit(1).cast("bigint").alias("account_count"), *also,
+    )
+    return nodes.unionByName(own)
 
 
 def visible(
     nodes: DataFrame, edges: DataFrame, hidden_types: tuple[str, ...] = (), show_derived: bool = True,
     show_observed: bool = True,
 ) -> tuple[DataFrame, DataFrame]:
-    """Nodes of the types not hidden, and the edges between them of the classes shown."""
+    """Nodes of the types not hidden, and the edges between them of the classes shown.
+
+    An edge moves once, to the node it leads to.  Edges have few different
+    sources; of these the ones that are not shown are told first, and only edges
+    whose source may be one of them are asked again.
+    """
     shown = nodes.where(~F.col("type").isin(*hidden_types)) if hidden_types else nodes
-    ends = shown.select("cluster", "id")
-    kept = edges
+    ends = cut(shown.select("cluster", "id"))
+    kept = edges.where(F.col("src").isNotNull())
     if not show_derived:
         kept = kept.where(~F.col("derived"))
     if not show_observed:
         kept = kept.where("derived")
-    for end in ("src", "dst"):
-        kept = kept.join(ends.withColumnRenamed("id", end), ["cluster", end], "left_semi")
-    return shown, kept
+    of = lambda node: F.xxhash64("cluster", node)
+    sources = cut(kept.select("cluster", "src").distinct())
+    known = marked(ends, of("id"), cut(marks(sources, of("src")))).withColumnRenamed("id", "src")
+    unseen = cut(sources.join(known, ["cluster", "src"], "left_anti"))
+    if not unseen.isEmpty():
+        table = cut(marks(unseen, of("src")))
+        asked = marked(kept, of("src"), table).join(unseen, ["cluster", "src"], "left_anti")
+        kept = asked.unionByName(marked(kept, of("src"), table, False))
+    return shown, kept.join(ends.withColumnRenamed("id", "dst"), ["cluster", "dst"], "left_semi")
 
 
 def node_degree(edges: DataFrame) -> DataFrame:

@@ -48,9 +48,25 @@ class Detection:
     def fan_out(self) -> DataFrame:
         return cut(links.fan_out(self.incidence))
 
+    @cached_property
+    def shared_nodes(self) -> DataFrame:
+        """Marks of the infrastructure that may not be one account's own."""
+        return cut(incidence.shared_nodes(self.activity.orders, self.activity.accounts))
+
+    @cached_property
+    def shared_incidence(self) -> DataFrame:
+        """Incidences without the infrastructure of one account; written once."""
+        return cut(incidence.incidence(self.activity.orders, self.activity.accounts, shared=self.shared_nodes))
+
+    @cached_property
+    def shared_fan_out(self) -> DataFrame:
+        """``fan_out`` without the infrastructure of one account."""
+        return cut(links.fan_out(self.shared_incidence))
+
     @cached_property
     def guarded(self) -> DataFrame:
-        return keep(links.guarded(self.incidence, self.config, self.fan_out))
+        # a node of one account links no one
+        return keep(links.guarded(self.shared_incidence, self.config, self.shared_fan_out))
 
     @cached_property
     def edges(self) -> DataFrame:
@@ -70,6 +86,26 @@ class Detection:
     def entities(self) -> DataFrame:
         return incidence.entities(self.activity.accounts, self.activity.orders)
 
+    @cached_property
+    def shared_entities(self) -> DataFrame:
+        """Accounts, customers and shared infrastructure."""
+        return incidence.entities(self.activity.accounts, self.activity.orders, self.shared_nodes)
+
+    @cached_property
+    def all_entities(self) -> DataFrame:
+        """``entities`` in no place; only what is shared moves."""
+        return self.shared_entities.unionByName(incidence.own_entities(self.activity.orders, self.shared_nodes))
+
+    @cached_property
+    def entity_types(self) -> DataFrame:
+        """The type of every entity, for those that only count them; a few bytes a file."""
+        return cut(self.all_entities.select("type"))
+
+    @cached_property
+    def observed_classes(self) -> DataFrame:
+        """``derived`` of every observed edge, for those that only count them."""
+        return cut(self.observed.select("derived"))
+
     @cached_property
     def orphans(self) -> DataFrame:
         return links.orphans(self.activity.accounts, self.edges)

@@ -33,7 +33,8 @@ def order_lines(spark: SparkSession, path: str) -> DataFrame:
     The only join of the large tables: written once, in buckets by account, after
     which every model table is a projection over the columns it needs and is
     folded by account without another shuffle.  Texts made of other columns are
-    made when read, not stored.
+    made when read, not stored.  Lines of unknown parts are in no model table but
+    open their account as well; ``known_part`` is false for them.
     """
     lines = _table(
         spark, path, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
@@ -42,11 +43,11 @@ def order_lines(spark: SparkSession, path: str) -> DataFrame:
     owners = _table(spark, path, "orders", "o_orderkey", "o_custkey")
     parts = _table(spark, path, "part", "p_partkey", "p_brand")
     joined = lines.join(owners, lines.l_orderkey == owners.o_orderkey).join(
-        parts, lines.l_partkey == parts.p_partkey
+        parts, lines.l_partkey == parts.p_partkey, "left"
     ).select(
         F.col("o_custkey").cast("string").alias("account_id"), "l_orderkey",
         F.col("l_shipdate").cast("timestamp").alias("placed_at"),
-        F.col("p_brand").alias("product_category"),
+        F.col("p_brand").alias("product_category"), F.col("p_partkey").isNotNull().alias("known_part"),
         "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_discount", "l_returnflag",
     )
     day = F.date_format("placed_at", "yyyy-MM-dd")
@@ -113,20 +114,16 @@ def split_of(number: Column) -> Column:
     return F.when(digit <= 5, "train").when(digit <= 7, "dev").otherwise("held-out")
 
 
-def accounts(customers: DataFrame, orders: DataFrame, lines: DataFrame) -> DataFrame:
+def accounts(customers: DataFrame, lines: DataFrame) -> DataFrame:
     """One row per customer; those who never ordered have no opening date and no tenure."""
-    shipped = lines.groupBy("l_orderkey").agg(F.min("l_shipdate").cast("timestamp").alias("at"))
-    opened = (
-        orders.join(shipped, F.col("o_orderkey") == F.col("l_orderkey"))
-        .groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.min("at").alias("opened_at"))
-    )
+    opened = lines.groupBy("account_id").agg(F.min("placed_at").alias("opened_at"))
     number = F.col("c_custkey").cast("string")
     tenure = F.call_function(
         "div",
         F.unix_millis(F.lit(TENURE_UNTIL).cast("timestamp")) - F.unix_millis("opened_at"),
         F.lit(86_400_000).cast("bigint"),
     )
-    return customers.join(opened, "c_custkey", "left").select(
+    return customers.join(opened, number == F.col("account_id"), "left").select(
         number.alias("id"),
         entity_id(F.lit("ACCOUNT"), number).alias("entity_id"),
         anonymised_key("cus", number).alias("customer_key"),
@@ -138,10 +135,8 @@ def accounts(customers: DataFrame, orders: DataFrame, lines: DataFrame) -> DataF
 
 def activity(spark: SparkSession, path: str) -> Activity:
     lines = order_lines(spark, path)
-    known = accounts(
-        _table(spark, path, "customer", "c_custkey"), _table(spark, path, "orders", "o_orderkey", "o_custkey"),
-        _table(spark, path, "lineitem", "l_orderkey", "l_shipdate"),
-    )
+    known = accounts(_table(spark, path, "customer", "c_custkey"), lines)
+    lines = lines.where("known_part")
     return Activity(cut(known), orders(lines), returns(lines), refunds(lines))
 
 
