@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 import registry
 from tests.test_moved_rows import folder, plan, rows  # noqa: F401
 from tieline.functions.marks import marked, marks
-from tieline.operators import incidence, links, reports
+from tieline.operators import components, incidence, links, reports
 from tieline.plans.detection import Detection
 from tieline.sources import adapter, dossier
 
@@ -110,3 +110,17 @@ def test_named_nodes_and_edges_of_dossiers_meet_no_clusters(spark, folder):  # n
     assert rows(named) == rows(plain)
     line = dossier.dossier_json(d.clusters, members, nodes.limit(0), edges, r.now)
     assert "Join" not in plan(line.where("section = 'node'"))
+
+
+def test_stars_end_in_one_round(spark, monkeypatch):
+    rounds, told = [], components.keep
+
+    def counted(df):
+        rounds.append(df)
+        return told(df)
+
+    monkeypatch.setattr(components, "keep", counted)
+    stars = spark.range(2000).selectExpr("id * 7919 AS src", "(id div 40) * 7919 * 40 AS dst")
+    found = components.connected_components(stars)
+    assert found.count() == 2000 and found.select("component").distinct().count() == 50
+    assert len(rounds) <= 2

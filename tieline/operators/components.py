@@ -15,12 +15,12 @@ from tieline.operators.links import adjacency
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) with the smallest node id naming the component.
 
-    Randomised contraction: every node points at whichever of itself and its
-    neighbours hashes lowest, pointers are followed two steps, edges are
-    rewritten to the nodes pointed at, and duplicates and loops go.  A fresh
-    hash per round keeps chains short however the ids are laid out, so each
-    round works on a graph a fraction of the size of the last.  The written maps
-    are then composed from the smallest up.
+    Randomised contraction: every node points at whichever node within two links
+    hashes lowest, edges are rewritten to the nodes pointed at, and duplicates
+    and loops go.  So a star ends in one round, whichever of its nodes hash
+    lowest.  A fresh hash per round keeps chains short however the ids are laid
+    out, so each round works on a graph a fraction of the size of the last.  The
+    written maps are then composed from the smallest up.
     """
     remaining = cut(
         edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
@@ -29,14 +29,17 @@ def connected_components(edges: DataFrame) -> DataFrame:
     )
     maps: list[DataFrame] = []
     while not remaining.isEmpty():
-        order = lambda name: F.struct(F.xxhash64(F.lit(len(maps)), name).alias("hash"), F.col(name).alias("id"))
+        # a text is no part of the generated code, so every round runs the code of the first
+        turn = F.lit(f"{len(maps)}")
+        order = lambda name: F.struct(F.xxhash64(turn, name).alias("hash"), F.col(name).alias("id"))
         both = remaining.union(remaining.select("dst", "src")).toDF("node", "neighbour")
         # min() combines map-side, so a hub's rows shrink before the shuffle
         lowest = F.least(order("node"), F.min(order("neighbour")))
         nearest = both.groupBy("node").agg(lowest["id"].alias("parent"))
-        grand = nearest.toDF("parent", "target")
+        # a neighbour's lowest is never above a node's own: the node is a neighbour of it
+        farther = both.join(nearest.toDF("neighbour", "parent"), "neighbour")
         # three readers, one step away from a written table
-        jump = keep(nearest.join(grand, "parent").select("node", "target"))
+        jump = keep(farther.groupBy("node").agg(F.min(order("parent"))["id"].alias("target")))
         maps.append(jump)
         remaining = cut(
             remaining.join(jump.toDF("src", "s"), "src")
